@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, token_files, toxicity
+from lectern.llm import bpe, decontaminate, jaccard, pii, sharding, token_files, toxicity
 from lectern.llm.batches import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, copies of every document."""
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded text of every document."""
@@ -47,6 +53,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, n_items, item_ids, similarity (the best) of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").cast("bigint").alias("n_items"),
+        F.array_join(F.transform("leaks", lambda x: x["item_id"]), ",").alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("leaks", lambda x: x["similarity"])), F.lit(0.0)).alias("similarity"),
+    )
+
+
+@_query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, in eight shards of equal bytes."""
+    placed = sharding.shard(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, as read back by keyed access from the files."""
@@ -54,3 +81,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
     found = token_files.crc32_of_ids(token_files.read(spark, path)).join(token_files.starts(spark, path), ["part", "seq"])
     return found.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+
+
+@_query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts by base kind, digest of the base spans, all spans, and the highest score of every document."""
+    out = pii.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.BASE]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in base]
+    of_base = pii.listed(F.filter("spans", lambda s: s["kind"].isin(base)))
+    return out.select(
+        "doc_id",
+        *counts,
+        F.sha2(of_base.cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("max_score"),
+    )
