@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, jaccard, pii, sharding, token_files, toxicity
+from lectern.llm import bpe, decontaminate, jaccard, language, media, pii, sharding, token_files, toxicity
 from lectern.llm.batches import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,33 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@_query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document; learned from rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(crc_mod("doc_id", 3) != 1))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of every document's payload as read back from its FLAC stream, of the stream, and features."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = media.read_pcm(media.store_texts(docs))
+    return out.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        F.octet_length("pcm").cast("bigint").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pcm", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "error",
+    )
+
+
 @_query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts by base kind, digest of the base spans, all spans, and the highest score of every document."""
@@ -98,3 +125,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.listed(F.col("spans")).alias("spans"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("max_score"),
     )
+
+
+ORACLES["op2_ngram_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+),
+shingle as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when text = '' then [] when len(w) = 0 then ['= ' || text] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words) x
+),
+size as (select doc_id, count(*) as n from shingle group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b, c = x.n and c = y.n as same from common join size x on x.doc_id = a join size y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on l.a = r.b),
+class as (select a as doc_id, min(b) as class_id from reach group by 1),
+counted as (select a as doc_id, count(*) as n_links, count(*) filter (where same) as same from link group by 1)
+select doc_id, class_id, coalesce(n_links, 0) as n_links, coalesce(same, 0) + 1 as copies from class left join counted using (doc_id)
+"""
