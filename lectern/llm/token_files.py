@@ -33,13 +33,16 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +50,20 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from lectern.llm.batches import shared_folder, slices
-from lectern.llm.bpe import Recent
+from lectern.llm.bpe import byte_letters
 from lectern.llm.words import mixed
 
 #: A block ends after so many ids or rows.
 BLOCK_IDS, BLOCK_ROWS = 1 << 20, 4096
 END_ID = 0
+#: Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_RUNS = re.compile(r"\s (?!\S)")
+_DOUBLE = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+_SIGNS = frozenset(",.;:!?")
+_LETTERS = byte_letters()
+_ASCII = {b: _LETTERS[b] for b in range(128) if _LETTERS[b] != chr(b)}
+_BEYOND_LATIN = re.compile("[\x1c-\x1f]|[^\x00-\u024f]")
 KEYS_PER_BUCKET = 4
 #: Most bytes of block fences (two numbers each) that are sent to every executor for a lookup.
 FENCE_BYTES = 64 << 20
@@ -63,42 +74,101 @@ BLOCK = (
 )
 
 
+class Learned(dict):
+    """A bounded dictionary that makes what it lacks; what was not asked for during a whole turn goes."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if "\n" not in key:  # hardly any comes twice
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """The tokenizers library on pieces of text, each distinct piece once while it is remembered.
 
     A piece starts at a blank and holds no other. The file's pattern never joins a blank with what
     stands before it, except in runs of white space; texts with such runs, or with the name of a
-    special token, go to the library whole.
+    special token, go to the library whole. A new piece is cut into pre-tokens as the library does,
+    and of these only new ones are put through the library's merges.
     """
 
-    _runs = re.compile(r"\s (?!\S)")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.simple = self.library.normalizer is None and self.library.pre_tokenizer is not None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = Recent()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.merge = self.library.model.tokenize
+        # What was learned of pieces without a blank in front, with one, and of pre-tokens.
+        self.heads, self.pieces, self.parts = Learned(self._piece, 100_000), Learned(lambda x: self._piece(" " + x), 300_000), Learned(self._ids, 150_000)
 
-    def _of_library(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _ids(self, part: str) -> bytes:
+        """Ids of one pre-token in byte letters."""
+        tokens = self.merge(part)
+        return struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece. Letters alone, after a blank or not, are one pre-token; a sign behind them is another."""
+        known, word = (self.pieces, piece[1:]) if piece[0] == " " else (self.heads, piece)
+        if "\n" in word:
+            lines = word.split("\n")
+            if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):  # a line break alone is a pre-token
+                return known[lines[0]] + b"".join([self.parts["Ċ"] + self.heads[x] for x in lines[1:]])
+        if piece.isascii():
+            if word.isalpha():
+                return self._ids("Ġ" + word if known is self.pieces else word)
+            if word[-1:] in _SIGNS and word[:-1].isalpha():
+                return known[word[:-1]] + self.parts[word[-1]]
+        return b"".join([self.parts[part] for part in self._parts(piece)])
+
+    def _parts(self, piece: str) -> list[str]:
+        """Pre-tokens in byte letters; the library's own way for what is not plain Latin."""
+        if piece.isascii() and piece.isprintable():
+            return ["Ġ" + part[1:] if part[0] == " " else part for part in _PATTERN.findall(piece)]
+        if _BEYOND_LATIN.search(piece):
+            return [part for part, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+        if not piece.isascii():
+            return ["".join([_LETTERS[b] for b in part.encode()]) for part in _PATTERN.findall(piece)]
+        return [part.translate(_ASCII) for part in _PATTERN.findall(piece)]
+
+    def _runs(self, text: str) -> bool:
+        """Whether some blank has white space before it and white space or the end behind it."""
+        if text.isascii() and not any(x in text for x in _DOUBLE) and text[-1:] != " ":
+            return False
+        return _RUNS.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        out, at = [], []
+        heads, rest = self.heads, self.pieces.__getitem__
         for text in texts:
-            if self._runs.search(text) or any(x in text for x in self.special):
-                cut.append(None)
+            if not self.simple or self._runs(text) or any(x in text for x in self.special):
+                at.append(len(out))
+                out.append(text)
             else:
-                head, *rest = text.split(" ")
-                cut.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
-        new = list(self.pieces.missing({x for pieces in cut if pieces for x in pieces}))
-        known = self.pieces.now
-        known.update(zip(new, self._of_library(new)))
-        whole = iter(self._of_library([t for t, pieces in zip(texts, cut) if pieces is None]))
-        out = [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        self.pieces.turn()
+                pieces = text.split(" ")
+                first = heads[pieces[0]] if pieces[0] else b""
+                out.append(first + b"".join(map(rest, islice(pieces, 1, None))))
+        for k, x in zip(at, self.library.encode_batch([out[k] for k in at], add_special_tokens=False)):
+            out[k] = np.array(x.ids, self.dtype).tobytes()
+        for known in (self.heads, self.pieces, self.parts):
+            known.turn()
         return out
 
 
@@ -213,7 +283,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
         if ids:
             yield pa.RecordBatch.from_pylist([_block(part, seq, doc_ids, ids, own.dtype)], schema)
 
-    ordered.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
     return path
 
 
@@ -230,8 +300,11 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     return within.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("own")).alias("base"))
 
 
-def _each(rows: DataFrame, wanted: str | None) -> DataFrame:
-    """(part, seq, doc_id, own, n_tokens, ids): every row of each block, or those of the keys in column `wanted`, by keyed access."""
+def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False) -> DataFrame:
+    """(part, seq, doc_id, own, n_tokens, ids): every row of each block, or those of the keys in column `wanted`, by keyed access.
+
+    With `digest`, ids_crc32 in place of ids: the checksum of the ids as little-endian unsigned 32-bit integers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,23 +317,24 @@ def _each(rows: DataFrame, wanted: str | None) -> DataFrame:
                         listed += [(key, r) for r in block.rows_of(place)]
                 for i in range(0, len(listed), 256):
                     out = listed[i : i + 256]
-                    found = [block.ids(r).astype("<i4") for _, r in out]
+                    found = [block.ids(r).astype("<u4") for _, r in out]
                     sizes = np.array([len(x) for x in found], np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(out), block.part, np.int32)), pa.array(np.full(len(out), block.seq, np.int32)), pa.array([k for k, _ in out], pa.int64()),
-                            pa.array([int(block.at[r]) for _, r in out], pa.int64()), pa.array(sizes),
-                            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(found))),
-                        ],
-                        names=["part", "seq", "doc_id", "own", "n_tokens", "ids"],
-                    )
+                    if digest:
+                        values = pa.array([zlib.crc32(x) for x in found], pa.int64())
+                    else:
+                        values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(found).view(np.int32)))
+                    place = [pa.array(np.full(len(out), x, np.int32)) for x in (block.part, block.seq)]
+                    columns = [*place, pa.array([k for k, _ in out], pa.int64()), pa.array([int(block.at[r]) for _, r in out], pa.int64()), pa.array(sizes), values]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "part int, seq int, doc_id long, own long, n_tokens long, ids array<int>")
+    kind = "ids_crc32 long" if digest else "ids array<int>"
+    names = ["part", "seq", "doc_id", "own", "n_tokens", kind.split()[0]]
+    return rows.mapInArrow(run, f"part int, seq int, doc_id long, own long, n_tokens long, {kind}")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(part, seq, doc_id, own, n_tokens, ids) of all documents; own counts the block's ids before the document."""
-    return _each(blocks(spark, path), None)
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(part, seq, doc_id, own, n_tokens, ids or ids_crc32) of all documents; own counts the block's ids before the document."""
+    return _each(blocks(spark, path), digest=digest)
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
@@ -281,19 +355,3 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     wanted = placed.groupBy("part", "seq").agg(F.collect_list("doc_id").alias("wanted"))  # at most a block's rows
     return _each(blocks(spark, path).join(wanted, ["part", "seq"]), "wanted")
 
-
-def crc32_of_ids(read_back: DataFrame) -> DataFrame:
-    """ids replaced by ids_crc32: the checksum of the ids as little-endian 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            sums = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], sums], names=[*names, "ids_crc32"])
-
-    names = [c for c in read_back.columns if c != "ids"]
-    fields = [f for f in read_back.schema.fields if f.name != "ids"]
-    from pyspark.sql import types as T
-
-    return read_back.mapInArrow(run, T.StructType([*fields, T.StructField("ids_crc32", T.LongType())]))
