@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, jaccard, language, media, pii, sharding, token_files, toxicity
+from lectern.llm import bpe, decontaminate, jaccard, language, lm_score, media, pii, sharding, token_files, toxicity
 from lectern.llm.batches import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@_query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, both cross entropies and their difference of every document; the target is labelled good quality."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    table = lm_score.fit(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
+    return lm_score.score(docs, table)
+
+
 @_query
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and digests of every document's payload as read back from its FLAC stream, of the stream, and features."""
