@@ -334,7 +334,7 @@ def decode(streams: list[bytes | None]) -> list[Stream]:
                 out[n].sample_rate, out[n].channels, out[n].bits = layout >> 44, (layout >> 41 & 7) + 1, (layout >> 36 & 31) + 1
                 total[n], md5[n], own_bits[n] = layout & (1 << 36) - 1, body[18:34], out[n].bits
             elif kind == 3:
-                table = np.frombuffer(body[: size // 18 * 18], np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+                table = np.frombuffer(body[: len(body) // 18 * 18], np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
                 points = sorted({0, *table["offset"][table["sample"] != (1 << 64) - 1].tolist()})
             at += 4 + size
         if not last or not out[n].bits:
@@ -343,7 +343,7 @@ def decode(streams: list[bytes | None]) -> list[Stream]:
         points = [p for p in points if at + p < len(raw)]
         segment_stream += [n] * len(points)
         segment_at += [base + at + p for p in points]
-        segment_end += [*[base + at + p for p in points[1:]], end]
+        segment_end += [*[base + at + p for p in points[1:]], end][: len(points)]
     reader, found = _Reader(data), []
     stream, at, end = np.array(segment_stream, np.int64), np.array(segment_at, np.int64), np.array(segment_end, np.int64)
     while len(at):
