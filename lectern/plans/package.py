@@ -37,7 +37,12 @@ def _seed():
 
 
 def _with_all_buckets(found):
-    return F.map_zip_with(_seed(), found, lambda k, empty, own: F.coalesce(own, empty))
+    """found extended by empty lists: the three buckets in order, then other levels by name."""
+    buckets = F.array(*map(F.lit, BLOOM_BUCKETS))
+    empty = F.filter(F.map_entries(_seed()), lambda e: ~F.map_contains_key(found, e["key"]))
+    place = lambda key: F.coalesce(F.nullif(F.array_position(buckets, key), F.lit(0)), F.lit(len(BLOOM_BUCKETS) + 1))
+    ranked = F.transform(F.concat(F.map_entries(found), empty), lambda e: F.struct(place(e["key"]).alias("place"), e["key"], e["value"]))
+    return F.map_from_entries(F.transform(F.array_sort(ranked), lambda e: F.struct(e["key"], e["value"])))
 
 
 def packages(
@@ -104,3 +109,8 @@ def module_view(shown: DataFrame) -> DataFrame:
     lesson = F.struct("id", "title", "variants", "questions")
     listed = F.array_sort(F.collect_list(lesson), lambda a, b: (a["id"] - b["id"]).cast("int"))
     return shown.groupBy("module").agg(listed.alias("lesson_nodes")).select("module.id", "module.sequence_order", "module.title", "lesson_nodes")
+
+
+def as_json(package: DataFrame) -> DataFrame:
+    """(lesson_id, document): a package as the JSON text that a client gets, keys in their fixed order."""
+    return package.select(F.col("lesson_node.id").alias("lesson_id"), F.to_json(F.struct("module", "lesson_node", "variants", "questions"), {"ignoreNullFields": "false"}).alias("document"))
