@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import saved, slices
+from lectern.llm.batches import fresh_name, saved, slices
 from lectern.llm.components import connected
 from lectern.llm.words import mixed, shingles_of
 
@@ -227,13 +227,8 @@ def exact_links(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
     return dealt.select(*columns).groupBy("group", "lo", "hi").applyInArrow(verify, "rep binary, links long, to binary")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, copies) of each row of docs (doc_id, text).
-
-    class_id is the lowest doc_id of the documents that links connect; n_links counts the other documents with a
-    similarity of THRESHOLD or more, copies included; copies counts the documents with the same shingle set, itself included.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, component, class_id, n_links, copies) of each row of docs with a shingle."""
     each = saved(signatures(docs), "signatures")
     holder = F.min(F.struct("doc_id", "text_hash")).alias("holder")
     reps = saved(each.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"), holder, F.min("doc_id").alias("lowest"), F.first("values").alias("values")), "representatives")
@@ -245,8 +240,36 @@ def join(docs: DataFrame) -> DataFrame:
     named = named.withColumn("component", F.coalesce("component", "rep"))
     lowest = named.groupBy("component").agg(F.min("lowest").alias("class_id"))
     n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    named = saved(named.join(lowest, "component").select("rep", "class_id", n_links.alias("n_links"), "copies"), "classes")
-    alone = docs.where(F.coalesce("text", F.lit("")) == "").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies")
-    )
-    return each.select("doc_id", "rep").join(named, "rep").select("doc_id", "class_id", "n_links", "copies").unionByName(alone)
+    named = saved(named.join(lowest, "component").select("rep", "component", "class_id", n_links.alias("n_links"), "copies"), "classes")
+    return each.select("doc_id", "text_hash", "rep").join(named, "rep").drop("rep")
+
+
+def _ids_and_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _empty():
+    return F.coalesce("text", F.lit("")) == ""
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, copies) of each row of docs (doc_id, text).
+
+    class_id is the lowest doc_id of the documents that links connect; n_links counts the other documents with a
+    similarity of THRESHOLD or more, copies included; copies counts the documents with the same shingle set, itself included.
+    """
+    docs = _ids_and_texts(docs)
+    alone = docs.where(_empty()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    return _members(docs).select("doc_id", "class_id", "n_links", "copies").unionByName(alone)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, of each class only the one of the lowest doc_id (then text hash); rows equal in both count as one."""
+    key = ["doc_id", "text_hash"]
+    first = F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("first")
+    kept = _members(_ids_and_texts(docs)).groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
+    alone = docs.where(_empty()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = kept.unionByName(alone).select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"))
+    name = fresh_name(docs, "text_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col(name) == F.col("_h"))
+    return docs.withColumn(name, F.xxhash64("text")).join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
