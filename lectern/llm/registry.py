@@ -153,3 +153,52 @@ class as (select a as doc_id, min(b) as class_id from reach group by 1),
 counted as (select a as doc_id, count(*) as n_links, count(*) filter (where same) as same from link group by 1)
 select doc_id, class_id, coalesce(n_links, 0) as n_links, coalesce(same, 0) + 1 as copies from class left join counted using (doc_id)
 """
+
+
+#: Pieces between matches and the matches themselves give the spans' places, as in the operator; the checks are written anew.
+ORACLES["op10_pii"] = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+octet as (select '0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])' as o),
+kind(place, kind, pattern, base, context) as (values
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0.8, 'mail|contact|kontakt|contacto|write to|reach'),
+  (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 0.6, '\bip\b|address|adresse|host|server|client'),
+  (3, 'card', '[0-9](?:[ -]?[0-9])+', 0.8, 'card|karte|carte|tarjeta|visa|credit|master|amex'),
+  (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', 0.6, 'phone|call|tel\b|tel[.:ée]|mobile|mobil|fax'),
+  (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b', 0.85, 'iban|account|konto|compte|cuenta|bank')
+),
+split as (
+  select doc_id, place, kind, base, context, regexp_extract_all(t, pattern) as found, string_split_regex(t, pattern) as pieces from d cross join kind
+),
+match as (
+  select doc_id, place, kind, base, context, unnest(range(1, len(found) + 1)) as i, found, pieces from split where len(found) > 0
+),
+span as (
+  select doc_id, place, kind, base, found[i] as m, pieces[i] as p, context,
+    cast(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+  from match
+),
+plain as (select *, regexp_replace(m, '[^0-9]', '', 'g') as n, replace(m, ' ', '') as c from span),
+valid as (
+  select *, round(base + case when regexp_matches(lower(right(p, 40)), context) then 0.15 else 0 end, 2) as score
+  from plain
+  where case kind
+    when 'email' then true
+    when 'ip' then regexp_full_match(m, (select o from octet) || '(?:\.' || (select o from octet) || '){3}')
+    when 'card' then length(n) between 13 and 19 and list_sum(list_transform(range(1, length(n) + 1),
+      lambda i: case when (length(n) - i) % 2 = 1 then [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(substr(n, i, 1) as int) + 1] else cast(substr(n, i, 1) as int) end)) % 10 = 0
+    when 'phone' then length(n) between 9 and 15
+    else length(c) between 15 and 34 and list_reduce(list_prepend(0, list_transform(range(1, length(c) + 1),
+      lambda i: case when substr(substr(c, 5) || substr(c, 1, 4), i, 1) >= 'A' then ascii(substr(substr(c, 5) || substr(c, 1, 4), i, 1)) - 55 else cast(substr(substr(c, 5) || substr(c, 1, 4), i, 1) as int) end)),
+      lambda a, b: case when b >= 10 then (a * 100 + b) % 97 else (a * 10 + b) % 97 end) = 1 end
+),
+listed as (
+  select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card,
+    count(*) filter (where kind = 'phone') as n_phone, max(score) as max_score,
+    string_agg(kind || ':' || cast(start as varchar) || ':' || cast(start + length(m) as varchar), ',' order by place, start) as spans,
+    string_agg(kind || ':' || cast(start as varchar) || ':' || cast(start + length(m) as varchar), ',' order by place, start) filter (where place < 5) as base_spans
+  from valid group by doc_id
+)
+select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+  sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans, cast(coalesce(max_score, 0) as double) as max_score
+from d left join listed using (doc_id)
+"""

@@ -1,0 +1,96 @@
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from lectern.llm import jaccard
+from lectern.llm.components import connected
+
+from .conftest import SCHEMA, prose
+
+
+def shingles(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    if not words:
+        return {text} if text else set()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute(rows):
+    """(doc_id, class_id, n_links, copies) of each row, by comparing all with all."""
+    sets = [shingles(r[1]) for r in rows]
+    links = [[j for j in range(len(rows)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    seen, out = {}, []
+    for i in range(len(rows)):
+        if i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                for j in links[todo.pop()]:
+                    if j not in group:
+                        group.add(j)
+                        todo.append(j)
+            ids = [rows[j][0] for j in group if rows[j][0] is not None]
+            seen |= dict.fromkeys(group, min(ids, default=None))
+    for i, r in enumerate(rows):
+        out.append((r[0], seen[i], len(links[i]), 1 + sum(sets[j] == sets[i] for j in links[i])))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted((tuple(r) for r in jaccard.join(df).select("doc_id", "class_id", "n_links", "copies").collect()), key=str)
+
+
+def test_odd_rows(spark, odd_docs, odd_rows):
+    assert found(odd_docs) == brute(odd_rows)
+
+
+def test_empty_table(no_docs):
+    assert found(no_docs) == []
+    assert jaccard.keep_one(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_large_group_in_blocks(spark, monkeypatch, block):
+    """A large group of near copies and one of exact copies; every link is counted though no task sees the group."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    base = prose(11, 80).split()
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for k in range(i % 3):
+            words[(i * 7 + k * 31) % 80] = f"w{i}x{k}"
+        rows.append((i, " ".join(words), "en", "a", 0))
+    rows += [(500 + i, " ".join(base[:40] + [f"u{i}v{k}" for k in range(40)]), "en", "a", 0) for i in range(25)]  # share half with the group
+    rows += [(1000 + i, prose(12, 50), "en", "a", 0) for i in range(40)]
+    rows += [(2000 + i, prose(100 + i, 40), "en", "a", 0) for i in range(20)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_keep_one(spark, odd_docs, odd_rows):
+    kept = jaccard.keep_one(odd_docs.withColumnRenamed("source", "text_hash"))
+    assert kept.columns == ["doc_id", "text", "lang", "text_hash", "n_chars"]
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    # 2 and 3 follow 1, 7 follows 6, 9 follows 8, the second 10 equals the first; both rows without id, and both of 15, stay.
+    assert ids == sorted([1, 4, 5, 6, 8, 10, None, None, 12, 13, 14, 15, 15], key=str)
+
+
+def test_posterior_bound_never_drops_likely_pairs():
+    for n in range(jaccard.STEP_VALUES, jaccard.VALUES + 1, jaccard.STEP_VALUES):
+        least = jaccard.least_agreement(n)
+        assert 0 <= least < jaccard.THRESHOLD * n
+    left = np.arange(jaccard.VALUES, dtype=np.uint32)[None, :]
+    right = left.copy()
+    right[0, ::5] += 1000  # 0.8 of the values agree
+    assert [len(x) for x in jaccard.surviving_pairs(left, right)] == [1, 1]
+    right[0, ::2] += 1000
+    assert [len(x) for x in jaccard.surviving_pairs(left, right)] == [0, 0]
+
+
+def test_connected(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (7, 9), (20, 20), (4, 1)] + [(100 + i, 101 + i) for i in range(40)]
+    got = defaultdict(set)
+    for r in connected(spark.createDataFrame(edges, "a int, b int")).collect():
+        got[r.component].add(r.node)
+    assert dict(got) == {1: {1, 2, 3, 4}, 7: {7, 8, 9}, 20: {20}, 100: set(range(100, 141))}
+    assert connected(spark.createDataFrame([], "a int, b int")).count() == 0

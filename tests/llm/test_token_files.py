@@ -1,0 +1,82 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from lectern.llm import token_files
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+ENCODER = token_files.Encoder(PATH)
+
+
+def ids_of(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\tab's1.é漢\x1c"), st.characters()), max_size=40), max_size=6))
+def test_pieces_give_the_librarys_ids(texts):
+    want = [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode(texts)] == want
+
+
+def test_special_names():
+    texts = ["foo  <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>b c", "a   b ", "end \n", "\n a"]
+    assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode(texts)] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300))
+def test_index_is_minimal_and_perfect(keys):
+    keys = np.array(sorted(keys), np.int64)
+    pilots, prints, slots = token_files.build_index(keys)
+    assert len(slots) == len(prints) == len(keys) and sorted(slots.tolist()) == list(range(len(keys)))
+    block = object.__new__(token_files.Block)
+    block.keys, block.pilots, block.prints, block.slots = keys, pilots, prints, slots
+    assert block.find(keys).tolist() == list(range(len(keys)))
+    others = np.array([k for k in range(-50, 50) if k not in set(keys.tolist())], np.int64)
+    assert (block.find(others) == -1).all()
+
+
+def test_files_of_odd_rows(spark, odd_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_ROWS", 4)
+    path = token_files.write(odd_docs, PATH)
+    rows = token_files.read(spark, path).join(token_files.starts(spark, path), ["part", "seq"]).collect()
+    got = sorted(((r.base + r.own, r.doc_id, r.ids) for r in rows), key=lambda x: x[0])
+    at = 0
+    for start, _, ids in got:
+        assert start == at
+        at += len(ids)
+    assert sorted([(str(d), i) for _, d, i in got]) == sorted((str(r[0]), ids_of(r[1])) for r in odd_rows)
+    order = [d for _, d, _ in got]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+
+
+def test_lookup(spark, odd_docs, odd_rows, monkeypatch):
+    path = token_files.write(odd_docs, PATH)
+    keys = spark.createDataFrame([(15,), (15,), (6,), (99,), (None,)], "doc_id bigint")
+    want = sorted((r[0], ids_of(r[1])) for r in odd_rows if r[0] in (6, 15))
+    for most in (token_files.FENCE_BYTES, 0):
+        monkeypatch.setattr(token_files, "FENCE_BYTES", most)
+        assert sorted((r.doc_id, r.ids) for r in token_files.lookup(spark, path, keys).collect()) == want
+
+
+def test_empty_table(spark, no_docs):
+    path = token_files.write(no_docs, PATH)
+    assert token_files.read(spark, path).count() == 0
+
+
+def test_query(spark):
+    from lectern.llm.registry import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in QUERIES["op6_token_files"](spark, "/root/testdata/sf0.001").collect()}
+    start = 0
+    for doc_id in sorted(docs):
+        ids = np.array(ids_of(docs[doc_id]), "<u4")
+        assert tuple(rows[doc_id])[1:] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
