@@ -50,17 +50,17 @@ def window_length(words: int) -> int:
     return length
 
 
-def running_votes(hashes: np.ndarray) -> np.ndarray:
-    """Sums of the words' votes, bit by bit, before each word. 16 bits are enough: differences over a window are small."""
-    bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).astype(np.int16)
-    votes = np.zeros((len(hashes) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, out=votes[1:], dtype=np.int16)
+def running_votes(hashes: np.ndarray, longest: int) -> np.ndarray:
+    """Counts of set bits, bit by bit, before each word; they may wrap, as differences over `longest` words still fit."""
+    kind = np.min_scalar_type(longest)
+    votes = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64), axis=0, out=votes[1:], dtype=kind)
     return votes
 
 
 def fingerprints(votes: np.ndarray, length: int) -> np.ndarray:
     """SimHash of every `length` consecutive words: a bit is set if more than half of the words have it."""
-    return np.packbits(votes[length:] - votes[:-length] > length // 2, axis=1).view(np.uint64).ravel()
+    return np.packbits(votes[length:] - votes[:-length] > votes.dtype.type(length // 2), axis=1).view(np.uint64).ravel()
 
 
 def _weighted(hashes: np.ndarray, lengths: np.ndarray) -> tuple[Counter, dict]:
@@ -117,7 +117,7 @@ class Benchmark:
     def __init__(self, item_ids: list[int], texts: list[str]):
         w = words_of(pa.array(texts, pa.string()))
         hashes, lengths = w.hashes(), w.end - w.start
-        votes = running_votes(hashes)
+        votes = running_votes(hashes, int(w.counts().max(initial=1)))
         by_length: dict[int, list[int]] = {}
         self.items: list[tuple[int, int, tuple[Counter, dict]]] = []
         prints = []
@@ -130,6 +130,7 @@ class Benchmark:
                 self.items.append((item_id, int(b - a), _weighted(hashes[a:b], lengths[a:b])))
         prints = np.array(prints, np.uint64)
         self.lengths = [(length, np.array(own), Index(prints[own])) for length, own in sorted(by_length.items())]
+        self.longest = max(by_length, default=1)
 
     def leaks(self, texts: pa.Array) -> list[list[dict]]:
         w: Words = words_of(texts)
@@ -137,7 +138,7 @@ class Benchmark:
         out: list[dict[int, dict]] = [{} for _ in range(len(texts))]
         if not len(hashes):
             return [[] for _ in out]
-        votes, text = running_votes(hashes), w.text_of()
+        votes, text = running_votes(hashes, self.longest), w.text_of()
         for length, own, index in self.lengths:
             if len(hashes) < length:
                 continue
