@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import fresh_name, saved, with_columns
+from lectern.llm.batches import fresh_name, saved, slices, with_columns
 from lectern.llm.words import Words, buffers, words_of
 
 #: Labelled documents that are learned from at most: those with the lowest hash of their id.
@@ -162,7 +162,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted stem hashes, weights) of the stems that toxic documents use far more often; labelled: text, toxic."""
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
             w = words_of(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             text = w.text_of()
