@@ -128,18 +128,36 @@ def surviving_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
     return i, j
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (member, root) that connect what the pairs connect, at most n - 1."""
-    root = np.arange(n)
+def roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Of each of n rows, the least row that pairs connect it to; `root`: what is connected already."""
+    root = np.arange(n) if root is None else root.copy()
     while len(i):
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
+        a, b = root[i], root[j]
+        open_ = a != b
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
         while (root[root] != root).any():
             root = root[root]
-        open_ = root[i] != root[j]
-        i, j = i[open_], j[open_]
-    return [(k, int(r)) for k, r in enumerate(root) if k != r]
+    return root
+
+
+def forest(mine: np.ndarray, lo: int, hi: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, row) that connect what the pairs connect.
+
+    Where two different blocks meet, the pairs within either block are left to the place where that block
+    meets itself: only edges between groups of the two blocks come out, mostly one.
+    """
+    if lo == hi:
+        root = roots(len(mine), i, j)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return own, root[own]
+    within = mine[i] == mine[j]
+    before = roots(len(mine), i[within], j[within])
+    after = roots(len(mine), i[~within], j[~within], before)
+    own = np.flatnonzero((before == np.arange(len(before))) & (after != before))
+    return own, after[own]
 
 
 def in_blocks(rows: DataFrame, group: str, size: str, member: str) -> DataFrame:
@@ -168,10 +186,8 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         order = np.argsort(rep)
         rep, mine = rep[order], mine[order]
         values = np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)[order]
-        left, right = (np.flatnonzero(mine == rows.column(x)[0].as_py()) for x in ("lo", "hi"))
-        i, j = surviving_pairs(values[left], values[right])
-        edges = forest(len(rep), left[i], right[j])
-        return pa.table({"a": pa.array([rep[a] for a, _ in edges], pa.binary()), "b": pa.array([rep[b] for _, b in edges], pa.binary())})
+        a, b = forest(mine, rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py(), *surviving_pairs(values, values))
+        return pa.table({"a": pa.array(rep[a], pa.binary()), "b": pa.array(rep[b], pa.binary())})
 
     return dealt.select("bucket", "lo", "hi", "mine", "rep", "values").groupBy("bucket", "lo", "hi").applyInArrow(prune, "a binary, b binary").distinct()
 
@@ -215,12 +231,13 @@ def exact_links(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
         common = _common([flat[a:b] for a, b in zip(at, at[1:])])
         linked = common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common) - 1e-6
         np.fill_diagonal(linked, False)
-        if rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py():  # each block meets itself elsewhere
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        to = rep.copy()
+        a, b = forest(mine, lo, hi, *np.nonzero(linked))
+        to[a] = rep[b]
+        if lo != hi:  # each block meets itself elsewhere
             linked &= mine[:, None] != mine[None, :]
         links = (linked * rows.column("copies").to_numpy()[None, :]).sum(axis=1)
-        to = rep.copy()
-        for a, b in forest(len(rep), *np.nonzero(linked)):
-            to[a] = rep[b]
         return pa.table({"rep": pa.array(rep, pa.binary()), "links": pa.array(links, pa.int64()), "to": pa.array(to, pa.binary())})
 
     columns = ["group", "lo", "hi", "mine", "rep", "copies", "text"]
