@@ -6,13 +6,14 @@ linked. The steps:
 1. Each text gets MinHash values, computed in tasks; texts with equal shingle sets fold into
    one representative, counted and kept as members.
 2. Representatives that agree in a whole band of values fall into one bucket. Buckets of equal
-   content count once. A bucket is cut into blocks, and every two blocks meet in one task, so
-   no task sees more than two blocks of rows, however large the bucket.
+   content count once. A bucket is cut into blocks that are compared each within itself; then
+   rows of different groups meet across blocks, so no task sees more than two blocks of rows,
+   however large the bucket.
 3. In a task, pairs compare their values a few at a time. After each step the posterior
    probability that the similarity reaches the threshold (uniform prior) decides: pairs below
-   the tolerance are dropped. What remains leaves the task as a spanning forest, not as pairs.
-4. The forests' connected groups are cut into blocks in the same way, and the shingle sets of
-   each two blocks are intersected exactly. Each document gets its number of links and a
+   the tolerance are dropped. What remains leaves the task as edges that connect it, not as pairs.
+4. The connected groups are cut into blocks, every two blocks meet in one task, and their shingle
+   sets are intersected exactly. Each document gets its number of links and a
    spanning forest of true links; their connected groups are the classes.
 
 A link can be missed only if no band agrees (probability 5e-8 at similarity 0.8, less above)
@@ -34,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import fresh_name, saved, slices
@@ -46,7 +47,7 @@ BANDS, BAND_VALUES = 32, 4
 #: Values compared between two looks at the posterior, and the posterior below which a pair goes.
 STEP_VALUES, TOLERANCE = 16, 1e-4
 #: Rows of a block; a task's group holds two blocks.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 256
 #: Shingles whose incidence is held at once in a task.
 PANEL = 8192
 
@@ -170,26 +171,73 @@ def in_blocks(rows: DataFrame, group: str, size: str, member: str) -> DataFrame:
     return rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the pairs that the bands propose and the posterior keeps; reps: rep, values."""
+def _bucket_members(reps: DataFrame) -> DataFrame:
+    """(bucket, n, rep) of the buckets with several representatives; of buckets with equal content, one."""
     band = BAND_VALUES * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("values"), k * band + 1, F.lit(band))))
     keyed = reps.select("rep", F.explode(bands).alias("bucket"))
     print_ = F.xxhash64("rep")
     content = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(print_.cast("decimal(20,0)")).alias("s"), F.bit_xor(print_).alias("x")).where("n > 1")
     kept = content.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = saved(keyed.join(kept, "bucket"), "buckets")
-    dealt = in_blocks(members, "bucket", "n", "rep").join(reps.select("rep", "values"), "rep")
+    return keyed.join(kept, "bucket")
+
+
+def _block(salt: str, size: str) -> Column:
+    """A row's block of its group: as many blocks as `size` rows need."""
+    return F.pmod(F.xxhash64("rep", salt), F.ceil(F.col(size) / BLOCK_ROWS)).cast("int")
 
-    def prune(rows: pa.Table) -> pa.Table:
-        rep, mine = rows.column("rep").to_numpy(), rows.column("mine").to_numpy()
-        order = np.argsort(rep)
-        rep, mine = rep[order], mine[order]
-        values = np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)[order]
-        a, b = forest(mine, rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py(), *surviving_pairs(values, values))
-        return pa.table({"a": pa.array(rep[a], pa.binary()), "b": pa.array(rep[b], pa.binary())})
 
-    return dealt.select("bucket", "lo", "hi", "mine", "rep", "values").groupBy("bucket", "lo", "hi").applyInArrow(prune, "a binary, b binary").distinct()
+def candidate_edges(reps: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the pairs which the bands propose and the posterior keeps; reps: rep, values.
+
+    First every bucket is compared within blocks, dealt anew in each bucket. That connects nearly all of what
+    belongs together, large groups too. Then only pairs of rows from different groups are open: of the buckets
+    that are larger than a block and hold several groups, all rows outside the largest group meet all rows.
+    """
+    members = saved(_bucket_members(reps), "buckets")
+    values = reps.select("rep", "values")
+
+    def table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return rows.column("rep").to_numpy(), np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
+
+    def within(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep")
+        rep, own = table(rows)
+        root = roots(len(rep), *surviving_pairs(own, own))
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(rep[member], pa.binary()), "b": pa.array(rep[root[member]], pa.binary())})
+
+    dealt = members.withColumn("block", _block("bucket", "n")).join(values, "rep").select("bucket", "block", "rep", "values")
+    near = saved(dealt.groupBy("bucket", "block").applyInArrow(within, "a binary, b binary").distinct(), "near")
+    large = members.where(F.col("n") > BLOCK_ROWS)
+    if not large.head(1):
+        return near
+
+    groups = connected(near).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    large = saved(large.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep")), "large")
+    sizes = large.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "group")).alias("top"), F.sum("k").alias("all"))
+    open_ = largest.select("bucket", F.col("top.group").alias("top"), (F.col("all") - F.col("top.k")).alias("others")).where("others > 0")
+    rows = large.join(open_, "bucket").withColumns({"member_block": _block("bucket", "n"), "other_block": _block("bucket", "others")})
+    blocks = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / BLOCK_ROWS).cast("int") - 1))
+    columns = ["bucket", "other_block", "member_block", "side", "group", "rep"]
+    left = rows.where("group <> top").withColumns({"member_block": blocks("n"), "side": F.lit(0)})
+    right = rows.withColumns({"other_block": blocks("others"), "side": F.lit(1)})
+    dealt = left.select(*columns).unionByName(right.select(*columns)).join(values, "rep")
+
+    def across(rows: pa.Table) -> pa.Table:
+        rep, own = table(rows)
+        side, group = rows.column("side").to_numpy(), rows.column("group").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = surviving_pairs(own[left], own[right])
+        i, j = left[i], right[j]
+        differ = group[i] != group[j]
+        _, number = np.unique(group, return_inverse=True)
+        _, first = np.unique(number[i[differ]] * len(rep) + number[j[differ]], return_index=True)  # one edge between two groups
+        return pa.table({"a": pa.array(rep[i[differ]][first], pa.binary()), "b": pa.array(rep[j[differ]][first], pa.binary())})
+
+    far = dealt.groupBy("bucket", "other_block", "member_block").applyInArrow(across, "a binary, b binary")
+    return near.unionByName(far).distinct()
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
