@@ -16,6 +16,7 @@ from lectern.functions.choices import answer_label, choice_texts
 from lectern.functions.text import bloom_bucket, first_filled, node_order
 from lectern.operators import lesson_text, outline, questions, select, sync, variants
 from lectern.plans import package
+from lectern.sources.shared import saved
 from lectern.sources.tables import relation, relation_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,8 +386,8 @@ def first_lesson(spark, t):
 
 
 def _package_inputs(spark, t) -> dict[str, DataFrame]:
-    lessons = _lessons(spark, t).withColumn("title", F.concat(F.lit("Lesson "), F.col("id").cast("string")))
-    modules = _modules(t).join(t("f_outline").select(F.col("id").alias("source_id"), "title", F.col("ord").alias("sequence_order")), "source_id")
+    lessons = saved(_lessons(spark, t), "lessons").withColumn("title", F.concat(F.lit("Lesson "), F.col("id").cast("string")))
+    modules = saved(_modules(t), "modules").join(t("f_outline").select(F.col("id").alias("source_id"), "title", F.col("ord").alias("sequence_order")), "source_id")
     lesson_of = lessons.where("source_kind = 'material'").select(F.col("source_id").alias("material_id"), F.col("id").alias("lesson_id"))
     fresh = questions.fresh_questions(lessons, t("f_object"), t("f_question"), t("f_material"))
     return {
