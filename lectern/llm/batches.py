@@ -15,6 +15,15 @@ from pyspark.sql import types as T
 
 #: Text bytes that are worked on at once; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python; each task holds a few on either side.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded size, which counts where texts are long. It sets that size for the session."""
+    df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,13 +38,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
-def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """Appends columns computed from the text column, row by row, with no shuffle.
+def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]], drop: bool = False) -> DataFrame:
+    """Appends columns computed from the text column, row by row, with no shuffle; `drop` leaves the text behind in the task.
 
     make() runs once a task and returns a function of a string array (nulls stay null) that gives
     one array per field. Fields must not clash with the columns of df.
     """
-    schema = T.StructType([*df.schema.fields, *fields])
+    kept = [c for c in df.columns if not (drop and c == text)]
+    schema = T.StructType([*[df.schema[c] for c in kept], *fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,9 +53,9 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(text)
-                yield pa.RecordBatch.from_arrays([*part.columns, *compute(texts)], names=names)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *compute(texts)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return in_tasks(df, run, schema)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import saved, slices, with_columns
+from lectern.llm.batches import in_tasks, saved, slices, with_columns
 from lectern.llm.words import buffers
 
 DIMENSIONS = 1 << 12
@@ -36,6 +36,8 @@ CENTROIDS, ROUNDS = 4, 12
 SAMPLE = 1500
 #: A text is rejected if its cosine is lower than this share of the language's training texts had.
 REJECTED_SHARE = 0.005
+#: Up to so many languages, their sizes are sent to every task.
+MANY = 10_000
 #: Texts whose vectors are made at once.
 ROWS = 128
 UNKNOWN = "und"
@@ -105,7 +107,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(DIMENSIONS), -1)), pa.array(np.append(total, n))], names=["dimension", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1
+    rows = in_tasks(docs.select("text"), run, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1
     found = {r.dimension: r.n for r in rows}
     return np.array([found.get(k, 0) for k in range(DIMENSIONS)]), found.get(-1, 0)
 
@@ -115,7 +117,8 @@ def sample(docs: DataFrame, most: int) -> DataFrame:
 
     A threshold for each language's hash lets through slightly more than are wanted, so no language has to be sorted.
     """
-    sizes = docs.groupBy("lang").count()
+    sizes = saved(docs.groupBy("lang").count(), "languages")
+    sizes = F.broadcast(sizes) if sizes.limit(MANY + 1).count() <= MANY else sizes
     share = F.least(F.lit(1.0), F.lit(1.2 * most) / F.col("count"))
     pick = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     return docs.withColumn("pick", pick).join(sizes, "lang").where(F.col("pick") < share).select("lang", "pick", "text")
