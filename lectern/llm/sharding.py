@@ -36,8 +36,8 @@ CELLS = 1 << CELL_BITS
 SHARDS = 8
 #: A shard's bytes may miss an equal share by this part of it; a range's rows may miss theirs by half.
 TOLERANCE, RANGE_TOLERANCE = 0.001, 0.5
-#: Ranges equal in rows; each is one task's sort of (key, size) rows.
-RANGES = 256
+#: Ranges equal in rows, each one task's sort of (key, size) rows: at least so many, more for so many rows each, and at most.
+RANGES, RANGE_ROWS, MOST_RANGES = 256, 4_000_000, 2048
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
@@ -105,7 +105,7 @@ def _interval(keys: list[int], key: Column, low: int = 0) -> Column:
     return F.when(key < keys[mid], _interval(keys[:mid], key, low)).otherwise(_interval(keys[mid + 1 :], key, low + mid + 1))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, ranges: int = RANGES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, ranges: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of each row; slot counts from 0 in key order within its shard."""
     text = F.coalesce("text", F.lit(""))
     skinny = docs.select(
@@ -113,6 +113,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, r
     )
     rows = saved(skinny, "keys")
     bytes_, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = ranges or min(MOST_RANGES, max(RANGES, count // RANGE_ROWS))
     even = [_Boundary(bytes_ * k / shards, bytes_ / shards * tolerance, "size") for k in range(1, shards)]
     tasks = [_Boundary(count * k / ranges, count / ranges * RANGE_TOLERANCE, "one") for k in range(1, ranges)]
     keys = splitters(rows, even + tasks)
