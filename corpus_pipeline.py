@@ -37,13 +37,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of what they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return bpe.encode_and_decode(docs.select("doc_id", "text"), path, digests=True)
 
 
 STAGES = [

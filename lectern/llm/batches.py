@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that are worked on at once; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch between the JVM and Python; each task holds a few on either side.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 
 
-def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of bounded size, which counts where texts are long. It sets that size for the session."""
+#: What outlives a task in its Python worker: one object, such as an encoder with what it has learned.
+_KEPT: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """The object of that key, made if need be; any other is freed."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what is kept. (A module's function, as a task's own function would have copies of the module's names.)"""
+    _KEPT.clear()
+
+
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded size, which counts where texts are long. It sets that size for the session.
+
+    Workers serve one task after another: freed memory goes back at a task's end, and what a task of
+    another operator has kept goes at its start, unless `keeps`.
+    """
     df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidily, schema)
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and, where the C library can do it, of the allocator."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,7 +76,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
-def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]], drop: bool = False) -> DataFrame:
+def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]], drop: bool = False, keeps: bool = False) -> DataFrame:
     """Appends columns computed from the text column, row by row, with no shuffle; `drop` leaves the text behind in the task.
 
     make() runs once a task and returns a function of a string array (nulls stay null) that gives
@@ -55,7 +93,7 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
                 texts = part.column(text)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *compute(texts)], names=names)
 
-    return in_tasks(df, run, schema)
+    return in_tasks(df, run, schema, keeps)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -16,11 +16,11 @@ their ids; repeated rows get equal results; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lectern.llm.batches import with_columns
+from lectern.llm.batches import in_tasks, kept, with_columns
 
 #: Encoded pieces (and words) that a task keeps of the last two turns, each at most.
-KEPT = 150_000
+KEPT = 80_000
+#: Pairs of tokens whose compatibility a task keeps.
+KEPT_PAIRS = 200_000
 #: White space to Python, but not to the vocabulary's pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = regex.compile(r"(?V1)[\s--\x1c-\x1f]+")
@@ -85,8 +87,10 @@ class TrieEncoder:
         self.letters = byte_letters()
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self.decimals = np.array([str(i) for i in range(len(self.names))], dtype=object)
+        self.sizes = [len(x.removesuffix(self.end)) if self.end else len(x) for x in self.names]
+        self._fits: dict[int, bool] = {}
+        self._whole: dict[int, bool] = {}
         self.pieces, self.known = Recent(), Recent()
         self.library = Tokenizer.from_str(json.dumps(spec))
 
@@ -108,37 +112,40 @@ class TrieEncoder:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def whole(self, token: str) -> bool:
+    def whole(self, token: int) -> bool:
+        """Whether BPE of the token's text is the token."""
         if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self.merged(self.symbols(token)) == [token]
+            name = self.names[token]
+            known = self._whole[token] = self.merged(self.symbols(name)) == [name]
         return known
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' text is these two tokens."""
-        if (known := self._fits.get((left, right))) is None:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            known = self._fits[left, right] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
+        if len(self._fits) > KEPT_PAIRS:
+            self._fits.clear()
+        pair = [self.names[left], self.names[right]]
+        known = self._fits[left << 20 | right] = self.merged(self.symbols(pair[0]) + self.symbols(pair[1])) == pair
         return known
 
-    def last(self, text: str, upto: int, states: list[str], ending: str) -> str:
+    def last(self, text: str, upto: int, states: list[int], ending: str) -> int:
         """The last token of text[:upto]; states[i] is that of text[:i]. `ending` marks the end of a word."""
-        vocab, fits, start = self.vocab, self._fits, upto - self.longest
+        vocab, fits, start = self.vocab.get, self._fits.get, upto - self.longest
         if start <= 0:
-            if (token := text[:upto] + ending) in vocab and self.whole(token):
+            token = vocab(text[:upto] + ending)
+            if token is not None and self.whole(token):
                 return token
             start = 1
         for i in range(start, upto):
-            token = text[i:upto] + ending
-            if token in vocab:
-                known = fits.get((states[i], token))
+            token = vocab(text[i:upto] + ending)
+            if token is not None:
+                known = fits(states[i] << 20 | token)
                 if known or known is None and self.fits(states[i], token):
                     return token
         raise ValueError(f"no token ends {text[:upto]!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word (in byte letters) as 32-bit integers. The sorted words are the trie, walked depth first."""
-        out, states, before, vocab, mark = {}, [""], "", self.vocab, len(self.end)
+        out, states, before, sizes = {}, [-1], "", self.sizes
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word), len(states) - 1)
             while shared < most and before[shared] == word[shared]:
@@ -147,11 +154,11 @@ class TrieEncoder:
             while len(states) < len(word):
                 states.append(self.last(word, len(states), states, ""))
             token = self.last(word, len(word), states, self.end)
-            ids, at = [vocab[token]], len(word) - len(token) + mark
+            ids, at = [token], len(word) - sizes[token]
             while at:
                 token = states[at]
-                ids.append(vocab[token])
-                at -= len(token)
+                ids.append(token)
+                at -= sizes[token]
             out[word] = struct.pack(f"<{len(ids)}i", *reversed(ids))
             before = word
         return out
@@ -172,6 +179,12 @@ class TrieEncoder:
         return text.split()
 
     def words(self, piece: str) -> list[str]:
+        """The words of a piece in byte letters."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece]
+            if piece[:-1].isalpha() and piece[-1] in ",.;:!?":
+                return [piece[:-1], piece[-1]]
         if _BEYOND_LATIN.search(piece):
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
         found = self.split.findall(piece)
@@ -186,9 +199,9 @@ class TrieEncoder:
                 cut.append([x for i, p in enumerate(parts) for x in ([p] if i % 2 else self.cut(p))])
             else:
                 cut.append(self.cut(text))
-        new = self.pieces.missing({piece for pieces in cut for piece in pieces})
+        new = self.pieces.missing(set().union(*cut))
         words_of = {piece: self.words(piece) for piece in new if piece not in self.special}
-        fresh = self.known.missing({w for words in words_of.values() for w in words})
+        fresh = self.known.missing(set().union(*words_of.values()))
         self.known.now.update(self.encode_words(fresh))
         known, pieces = self.known.now.__getitem__, self.pieces.now
         for piece, words in words_of.items():
@@ -204,25 +217,58 @@ class TrieEncoder:
         return " ".join(self.names[ids].tolist())
 
 
-@lru_cache(2)
+    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
+        """The number of ids, and SHA-256 of their decimal form and of what they decode to."""
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        return len(ids), sha(" ".join(self.decimals[ids].tolist())), sha(self.decode(ids))
+
+
 def encoder(path: str) -> TrieEncoder:
-    return TrieEncoder(path)
+    return kept(f"trie {path}", lambda: TrieEncoder(path))
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+_IDS = T.ArrayType(T.IntegerType())
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of token ids, array<int>."""
 
+    def make():
+        own = encoder(path)
+        return lambda texts: [_lists(own.encode([t or "" for t in texts.to_pylist()]))]
+
+    return with_columns(docs, text, [T.StructField(ids, _IDS)], make, keeps=True)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", digests: bool = False) -> DataFrame:
+    """decode(encode(docs)) in one pass: half the Python workers, and ids go to the JVM once.
+
+    With `digests`, none goes there: n_tokens, ids_sha256 (of the decimal ids joined by a blank) and
+    decoded_sha256 (of the decoded text) stand in place of text, ids and decoded.
+    """
+    if digests:
+        fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    else:
+        fields = [T.StructField(ids, _IDS), T.StructField(decoded, T.StringType())]
+
     def make():
         own = encoder(path)
 
         def compute(texts: pa.Array) -> list:
             found = own.encode([t or "" for t in texts.to_pylist()])
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+            if not digests:
+                return [_lists(found), pa.array([own.decode(np.frombuffer(x, "<i4")) for x in found], pa.string())]
+            rows = [own.digests(np.frombuffer(x, "<i4")) for x in found]
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
         return compute
 
-    return with_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return with_columns(docs, text, fields, make, drop=digests, keeps=True)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -239,4 +285,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
                 texts = [own.decode(flat[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return in_tasks(encoded, run, schema, keeps=True)

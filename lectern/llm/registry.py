@@ -44,13 +44,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded text of every document."""
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path), path)
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return bpe.encode_and_decode(docs, path, digests=True)
 
 
 @_query

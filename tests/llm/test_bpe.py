@@ -49,11 +49,11 @@ def test_memory_is_bounded():
 
 def test_operator(odd_docs, no_docs):
     docs = odd_docs.withColumnRenamed("source", "tokens")
-    out = bpe.decode(bpe.encode(docs, PATH), PATH)
-    assert out.columns == [*docs.columns, "ids", "decoded"]
-    for r in out.collect():
-        want = LIBRARY.encode(r.text or "", add_special_tokens=False)
-        assert r.ids == want.ids and r.decoded == LIBRARY.decode(want.ids, skip_special_tokens=False)
+    for out in (bpe.decode(bpe.encode(docs, PATH), PATH), bpe.encode_and_decode(docs, PATH)):
+        assert out.columns == [*docs.columns, "ids", "decoded"]
+        for r in out.collect():
+            want = LIBRARY.encode(r.text or "", add_special_tokens=False)
+            assert r.ids == want.ids and r.decoded == LIBRARY.decode(want.ids, skip_special_tokens=False)
     assert bpe.decode(bpe.encode(no_docs, PATH), PATH).count() == 0
 
 
