@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import fresh_name, slices
+from lectern.llm.batches import fresh_name, in_tasks, slices
 from lectern.llm.words import Words, shingle_hashes, words_of
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
@@ -179,4 +179,4 @@ def _against(docs: DataFrame, item_ids: list[int], texts: list[str], name: str,
             for part in slices(batch, text, SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(items.leaks(part.column(text)), _ARROW)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_tasks(docs, run, schema)

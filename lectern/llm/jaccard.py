@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import fresh_name, saved, slices
+from lectern.llm.batches import fresh_name, in_tasks, saved, slices
 from lectern.llm.components import connected
 from lectern.llm.words import mixed, shingles_of
 
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, rep, values], names=["doc_id", "text_hash", "rep", "values"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, rep binary, values binary")
+    return in_tasks(rows, run, "doc_id long, text_hash long, rep binary, values binary")
 
 
 @lru_cache(64)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import saved, slices, with_columns
+from lectern.llm.batches import in_tasks, saved, slices, with_columns
 from lectern.llm.words import buffers
 
 ORDER = 4
@@ -102,7 +102,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                         codes, counts = codes[:0], counts[:0]
         yield out(*_summed(np.concatenate([codes, *[u for u, _ in waiting]]), np.concatenate([counts, *[n for _, n in waiting]])))
 
-    return docs.select("text", "target").mapInArrow(run, _COUNTS).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return in_tasks(docs.select("text", "target"), run, _COUNTS).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def _ending(gram: Column, length: int) -> Column:
@@ -173,7 +173,7 @@ def with_target(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """The loss table of the two models, saved; docs: doc_id, text; targets: doc_id."""
-    return saved(losses(saved(gram_counts(with_target(docs, targets)), "grams")), "losses")
+    return saved(losses(saved(gram_counts(with_target(docs.select("doc_id", "text"), targets)), "grams")), "losses")
 
 
 def score(docs: DataFrame, table: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
@@ -223,7 +223,7 @@ def _by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("h").take(who), pa.array(code[first].view(np.int64)), pa.array(n)], names=["doc_id", "h", "gram", "n"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = keyed.mapInArrow(run, f"doc_id {id_type}, h long, gram long, n long")
+    rows = in_tasks(keyed, run, f"doc_id {id_type}, h long, gram long, n long")
     distinct = rows.select("gram").distinct()
     of = lambda k: _ending(F.col("gram"), k) if k else F.lit(UNKNOWN).cast("long")
     ends = [F.struct(F.lit(k).alias("k"), of(k).alias("ending")) for k in range(ORDER + 1)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lectern.llm import flac
-from lectern.llm.batches import slices, with_columns
+from lectern.llm.batches import in_tasks, slices, with_columns
 from lectern.llm.words import buffers
 
 #: Stream bytes that are decoded at once.
@@ -63,7 +63,7 @@ def read_pcm(rows: DataFrame, media: str = "media") -> DataFrame:
                 out = [(None, None, None, None, None, s.error) if s.error else (s.pcm(), s.sample_rate, s.channels, s.bits, feature(s), None) for s in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_tasks(rows, run, schema)
 
 
 def pcm_blocks(rows: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -90,4 +90,4 @@ def pcm_blocks(rows: DataFrame, key: str, media: str = "media") -> DataFrame:
                         names=schema.names,
                     )
 
-    return rows.select(key, media).mapInArrow(run, schema)
+    return in_tasks(rows.select(key, media), run, schema)

@@ -37,7 +37,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -49,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from lectern.llm.batches import shared_folder, slices
+from lectern.llm.batches import in_tasks, kept, shared_folder, slices
 from lectern.llm.bpe import byte_letters
 from lectern.llm.words import mixed
 
@@ -172,9 +171,8 @@ class Encoder:
         return out
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(f"pieces {path}", lambda: Encoder(path))
 
 
 def _hash(keys: np.ndarray) -> np.ndarray:
@@ -283,7 +281,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
         if ids:
             yield pa.RecordBatch.from_pylist([_block(part, seq, doc_ids, ids, own.dtype)], schema)
 
-    ordered.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+    in_tasks(ordered, run, BLOCK, keeps=True).write.parquet(f"{path}/blocks")
     return path
 
 
@@ -329,7 +327,7 @@ def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False) -> D
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
     names = ["part", "seq", "doc_id", "own", "n_tokens", kind.split()[0]]
-    return rows.mapInArrow(run, f"part int, seq int, doc_id long, own long, n_tokens long, {kind}")
+    return in_tasks(rows, run, f"part int, seq int, doc_id long, own long, n_tokens long, {kind}")
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

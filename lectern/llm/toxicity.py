@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import fresh_name, saved, slices, with_columns
+from lectern.llm.batches import fresh_name, in_tasks, saved, slices, with_columns
 from lectern.llm.words import Words, buffers, words_of
 
 #: Labelled documents that are learned from at most: those with the lowest hash of their id.
@@ -182,7 +182,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     total = labelled.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("b"), F.count(F.when(F.col("toxic") == 0, 1)).alias("g")).first()
     if not total.b or not total.g:
         return np.zeros(0, np.uint64), np.zeros(0)
-    counts = labelled.select("text", "toxic").mapInArrow(count, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = in_tasks(labelled.select("text", "toxic"), count, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     p = (F.col("bad") + F.col("good")) / (total.b + total.g)
     gap = F.col("bad") / total.b - F.col("good") / total.g
     z = gap / F.sqrt(p * (1 - p) * (1 / total.b + 1 / total.g) + 1e-12)
