@@ -113,7 +113,7 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.merge = self.library.model.tokenize
         # What was learned of pieces without a blank in front, with one, and of pre-tokens.
-        self.heads, self.pieces, self.parts = Learned(self._piece, 100_000), Learned(lambda x: self._piece(" " + x), 300_000), Learned(self._ids, 150_000)
+        self.heads, self.pieces, self.parts = Learned(self._piece, 150_000), Learned(lambda x: self._piece(" " + x), 600_000), Learned(self._ids, 150_000)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -269,7 +269,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
         end = np.array([END_ID], own.dtype).tobytes()
         schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in BLOCK.split(","))])
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 1 << 20):
                 found = own.encode([t or "" for t in piece.column("text").to_pylist()])
                 for doc_id, x in zip(piece.column("doc_id").to_pylist(), found):
                     doc_ids.append(doc_id)
