@@ -1,11 +1,17 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact shingle similarity.
 
-Every window of a text that is as long as a benchmark item gets a 64-bit SimHash of its words.
-Item lengths are rounded down to a geometric series, so that a few window lengths serve all items;
-an item's fingerprint is that of its first words of that length. Fingerprints are cut into RADIUS + 1
-blocks: two of them within RADIUS bits agree in one block at least, so looking up each block finds
-all. What is found is held against the item exactly: the Jaccard similarity of five-word shingles,
-each weighted by the length of its words.
+An item matches a window of as many words if the weighted Jaccard similarity of their five-word
+shingles, each weighted by the length of its words, is THRESHOLD or more. Two ways propose places:
+
+* Every window of a text that is as long as a benchmark item gets a 64-bit SimHash of its words.
+  Item lengths are rounded down to a geometric series, so that a few window lengths serve all items;
+  an item's fingerprint is that of its first words of that length. Fingerprints are cut into RADIUS + 1
+  blocks: two of them within RADIUS bits agree in one block at least, so looking up each block finds all.
+* Fingerprints alone lose items whose first words differ. So of each item the shingles that are rarest
+  in the benchmark are looked up too, as many as weigh more than 1 - THRESHOLD of it: a window without
+  any of them cannot match. All windows that hold a found shingle are proposed.
+
+What is proposed is compared with the item exactly, so all matches are found, wherever the edits are.
 
 A benchmark goes to the tasks in chunks of a fixed size; each chunk is one more pass over a task's
 texts within the same job. Texts are never moved.
@@ -18,8 +24,6 @@ the documents pass through.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,22 +67,6 @@ def fingerprints(votes: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(votes[length:] - votes[:-length] > votes.dtype.type(length // 2), axis=1).view(np.uint64).ravel()
 
 
-def _weighted(hashes: np.ndarray, lengths: np.ndarray) -> tuple[Counter, dict]:
-    """Counts and weights of the shingles of one run of words."""
-    found, _ = shingle_hashes(hashes, np.array([0, len(hashes)]), SHINGLE_WORDS)
-    sums = np.concatenate(([0], np.cumsum(lengths)))
-    size = min(SHINGLE_WORDS, len(hashes))
-    keys = found.tolist()
-    return Counter(keys), dict(zip(keys, (sums[size:] - sums[:-size]).tolist()))
-
-
-def similarity(a: tuple[Counter, dict], b: tuple[Counter, dict]) -> float:
-    weight = a[1] | b[1]
-    both = sum(weight[s] * min(n, b[0][s]) for s, n in a[0].items() if s in b[0])
-    either = sum(w * max(a[0].get(s, 0), b[0].get(s, 0)) for s, w in weight.items())
-    return both / either if either else 0.0
-
-
 def blocks(length: int = 64, parts: int = RADIUS + 1) -> list[tuple[int, int]]:
     """(shift, bits) of `parts` blocks that make up the fingerprint."""
     ends = [round(length * k / parts) for k in range(parts + 1)]
@@ -113,46 +101,157 @@ class Index:
         return both // len(self.prints), both % len(self.prints)
 
 
+class Rare:
+    """Of each item its rarest shingles that weigh more than 1 - THRESHOLD of it, by their hashes."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray, weights: np.ndarray):
+        _, place, known = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.lexsort((known[place], items))
+        items, weights = items[order], weights[order]
+        sums = np.cumsum(weights) - weights
+        first = np.searchsorted(items, items)
+        whole = np.bincount(items, weights) if len(items) else np.zeros(0)
+        taken = (sums - sums[first]) <= whole[items] * (1 - THRESHOLD + 1e-9)
+        keys, items = keys[order][taken], items[taken]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items = keys[order], items[order]
+        bits = max(16, (len(keys) * 16).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)
+        self.maybe[self.keys >> self.shift] = True
+
+    def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (place in shingles, item)."""
+        place = np.flatnonzero(self.maybe[shingles >> self.shift])
+        low, high = (np.searchsorted(self.keys, shingles[place], side) for side in ("left", "right"))
+        count = high - low
+        item = self.items[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        return np.repeat(place, count), item
+
+
 class Benchmark:
     def __init__(self, item_ids: list[int], texts: list[str]):
         w = words_of(pa.array(texts, pa.string()))
         hashes, lengths = w.hashes(), w.end - w.start
         votes = running_votes(hashes, int(w.counts().max(initial=1)))
         by_length: dict[int, list[int]] = {}
-        self.items: list[tuple[int, int, tuple[Counter, dict]]] = []
-        prints = []
-        for k, item_id in enumerate(item_ids):
-            a, b = w.first[k], w.first[k + 1]
-            if b > a:
-                length = window_length(b - a)
-                by_length.setdefault(length, []).append(len(self.items))
-                prints.append(fingerprints(votes[a : a + length + 1], length)[0])
-                self.items.append((item_id, int(b - a), _weighted(hashes[a:b], lengths[a:b])))
-        prints = np.array(prints, np.uint64)
+        self.item_ids, self.words = np.array(item_ids, np.int64), w.counts()
+        prints = np.zeros(len(item_ids), np.uint64)
+        for k in np.flatnonzero(self.words).tolist():
+            a, length = w.first[k], window_length(int(self.words[k]))
+            by_length.setdefault(length, []).append(k)
+            prints[k] = fingerprints(votes[a : a + length + 1], length)[0]
         self.lengths = [(length, np.array(own), Index(prints[own])) for length, own in sorted(by_length.items())]
         self.longest = max(by_length, default=1)
 
+        # Each item's distinct shingles, sorted, with their counts and weights.
+        keys, at = shingle_hashes(hashes, w.first, SHINGLE_WORDS)
+        item = np.repeat(np.arange(len(item_ids)), np.diff(at))
+        start = np.arange(len(keys)) - at[item] + w.first[item]
+        sums = np.concatenate(([0], np.cumsum(lengths)))
+        weight = sums[start + np.minimum(self.words[item], SHINGLE_WORDS)] - sums[start]
+        order = np.lexsort((keys, item))
+        keys, item, weight = keys[order], item[order], weight[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])))) if len(keys) else np.zeros(0, int)
+        self.counts = np.diff(np.append(first, len(keys)))
+        self.keys, self.weights = keys[first], weight[first]
+        self.first = np.searchsorted(item[first], np.arange(len(item_ids) + 1))
+        self.weight = np.bincount(item, weight, len(item_ids)).astype(np.int64)
+        self.rare = Rare(self.keys, item[first], self.weights * self.counts)
+        self.sizes = sorted({min(n, SHINGLE_WORDS) for n in self.words.tolist() if n})
+
+    def _proposed(self, w: Words, hashes: np.ndarray, shingles: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, low, high): words from low to high at which a window may match."""
+        text = w.text_of()
+        votes = running_votes(hashes, self.longest)
+        at, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for length, own, index in self.lengths:
+            if len(hashes) >= length:
+                windows, found = index.within(fingerprints(votes, length))
+                inside = text[windows] == text[windows + length - 1]
+                at.append(windows[inside])
+                items.append(own[found[inside]])
+        low = [np.concatenate(at)]
+        high = [low[0]]
+        for size, (own, start) in shingles.items():
+            place, found = self.rare.find(own)
+            fits = np.minimum(self.words[found], SHINGLE_WORDS) == size
+            place, found = place[fits], found[fits]
+            low.append(np.maximum(start[place] - (self.words[found] - size), w.first[text[start[place]]]))
+            high.append(start[place])
+            items.append(found)
+        low, high, items = np.concatenate(low), np.concatenate(high), np.concatenate(items)
+        text = text[low]
+        order = np.lexsort((low, items, text))
+        return text[order], items[order], low[order], high[order]
+
     def leaks(self, texts: pa.Array) -> list[list[dict]]:
         w: Words = words_of(texts)
         hashes, lengths = w.hashes(), w.end - w.start
         out: list[dict[int, dict]] = [{} for _ in range(len(texts))]
-        if not len(hashes):
+        if not len(hashes) or not len(self.keys):
             return [[] for _ in out]
-        votes, text = running_votes(hashes, self.longest), w.text_of()
-        for length, own, index in self.lengths:
-            if len(hashes) < length:
+        shingles = {}
+        for size in self.sizes:
+            count = np.maximum(w.counts() - size + 1, 0)
+            start = np.arange(count.sum()) + np.repeat(w.first[:-1] - (np.cumsum(count) - count), count)
+            if size == SHINGLE_WORDS:
+                own, at = shingle_hashes(hashes, w.first, size)
+                own = own[np.repeat(w.counts() >= size, np.diff(at))]
+            else:  # each run of words as a text of its own, as shorter items are hashed
+                runs = hashes[start[:, None] + np.arange(size)].ravel()
+                own = shingle_hashes(runs, np.arange(len(start) + 1) * size, SHINGLE_WORDS)[0]
+            shingles[size] = own, start
+        sums = np.concatenate(([0], np.cumsum(lengths)))
+        # Weights of all shingles that begin before each word; differences count within a text only.
+        before = {size: np.concatenate(([0], np.cumsum(sums[size:] - sums[:-size]))) for size in self.sizes if len(hashes) >= size}
+        text, item, low, high = self._proposed(w, hashes, shingles)
+        joins = np.zeros(len(text), bool)
+        if len(text):
+            # A group's highest word so far: groups are apart by more than any word's number.
+            group = np.cumsum(np.concatenate(([False], (text[1:] != text[:-1]) | (item[1:] != item[:-1])))) * (len(hashes) + 2)
+            joins[1:] = low[1:] + group[1:] <= np.maximum.accumulate(high + group)[:-1] + 1
+            joins[1:] &= group[1:] == group[:-1]
+        runs = np.flatnonzero(~joins)
+        for t, k, a, b in zip(text[runs].tolist(), item[runs].tolist(), low[runs].tolist(), (np.maximum.reduceat(high, runs) if len(runs) else high).tolist()):
+            size, stop = min(int(self.words[k]), SHINGLE_WORDS), int(w.first[t + 1])
+            b = min(b, stop - size)
+            if b < a:
                 continue
-            windows, items = index.within(fingerprints(votes, length))
-            inside = text[windows] == text[windows + length - 1]
-            for at, k in zip(windows[inside].tolist(), own[items[inside]].tolist()):
-                item_id, words, shingles = self.items[k]
-                stop = min(at + words, w.first[text[at] + 1])
-                like = similarity(_weighted(hashes[at:stop], lengths[at:stop]), shingles)
-                best = out[text[at]].get(item_id)
-                if like >= THRESHOLD and (best is None or like > best["similarity"]):
-                    out[text[at]][item_id] = {"item_id": item_id, "word": at - int(w.first[text[at]]), "similarity": like}
+            own, start = shingles[size]
+            at = int(np.searchsorted(start, a))
+            like = self._similarities(k, own[at : at + b - a + int(self.words[k]) - size + 1][: stop - size - a + 1], before[size], a, b, stop)
+            best = int(np.argmax(like))
+            item_id, value = int(self.item_ids[k]), float(like[best])
+            if value >= THRESHOLD and (item_id not in out[t] or value > out[t][item_id]["similarity"]):
+                out[t][item_id] = {"item_id": item_id, "word": a + best - int(w.first[t]), "similarity": value}
         return [[x[k] for k in sorted(x)] for x in out]
 
+    def _similarities(self, k: int, shingles: np.ndarray, before: np.ndarray, a: int, b: int, stop: int) -> np.ndarray:
+        """Of item k with each window that begins at words a to b; shingles: from word a on; stop: the text's end.
+
+        The q-th shingle adds to the windows that hold it, but not as many of the same before it as the item has.
+        """
+        words, own = int(self.words[k]), slice(self.first[k], self.first[k + 1])
+        size = min(words, SHINGLE_WORDS)
+        keys, counts, weights = self.keys[own], self.counts[own], self.weights[own]
+        which = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        q = np.flatnonzero(keys[which] == shingles)
+        order = np.argsort(which[q], kind="stable")
+        q = q[order]
+        which = which[q]
+        earlier = np.arange(len(q)) - counts[which]
+        same = earlier >= np.searchsorted(which, which)
+        low = np.maximum(np.where(same, q[np.maximum(earlier, 0)] + 1, 0), q - (words - size))
+        n = b - a + 1
+        low, high = np.minimum(np.maximum(low, 0), n), np.minimum(q + 1, n)
+        high = np.maximum(low, high)
+        steps = np.bincount(low, weights[which], n + 1) - np.bincount(high, weights[which], n + 1)
+        both = np.cumsum(steps)[:n]
+        start = np.arange(a, b + 1)
+        either = self.weight[k] + before[np.minimum(start + words, stop) - size + 1] - before[start] - both
+        return both / either
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text: str = "text") -> DataFrame:
     """docs with a column `name`: the items that a text holds, with the best place (a word's number) and similarity of each."""

@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lectern.llm import decontaminate
 
@@ -101,3 +103,26 @@ def test_query_finds_every_whole_item(spark):
     for r in rows:
         found = {int(x) for x in r.item_ids.split(",") if x}
         assert whole(docs[r.doc_id]) <= found and all(brute(docs[r.doc_id], [(i, dict(items)[i])]) for i in found)
+
+
+def test_edits_at_every_place_are_found():
+    """Words dropped, replaced, added and moved anywhere, in items of every length: as all windows by brute force."""
+    r, rows = random.Random(7), []
+    items = [(i, prose(800 + i, n)) for i, n in enumerate([1, 2, 4, 5, 6, 9, 14, 15, 15, 20, 20, 22, 25, 30, 60])]
+    items += [(50, "so so so so so so so so on and on and on and on and so on"), (51, " ".join(["la"] * 20)), (52, prose(801, 4) + " " + prose(812, 25))]
+    for _, item in items:
+        ws = item.split()
+        for at in range(len(ws)):
+            edited = r.choice([ws[:at] + ws[at + 1 :], ws[:at] + ["zzz"] + ws[at + 1 :], ws[:at] + ["zzz"] + ws[at:], ws[at:] + ws[:at]])
+            before, after = (prose(r.randrange(10**6), r.choice([0, 3, 12])) for _ in range(2))
+            rows.append(" ".join([before, *edited, after]))
+    rows += [None, "", "la", " ".join(["la"] * 500), "so on " * 40]
+    want = [brute(text, items) for text in rows]
+    found = decontaminate.Benchmark(*zip(*items)).leaks(pa.array(rows, pa.string()))
+    assert [{x["item_id"] for x in leaks} for leaks in found] == want
+    for text, leaks in zip(rows, found):
+        ws = words(text)
+        for x in leaks:
+            iw = words(dict(items)[x["item_id"]])
+            every = [like(ws[i : i + len(iw)], iw) for i in range(len(ws))]
+            assert (x["word"], x["similarity"]) == (every.index(max(every)), max(every))
