@@ -5,12 +5,14 @@ confirms them, and words that raise the score when they stand just before a span
 addresses, card numbers (Luhn) and phone numbers are the base kinds; IBANs (mod 97) are added.
 
 The expressions are written so that Java's matcher needs linear time on any text: runs are
-possessive and start only where a run can start. Where a match was dropped by a validator the
-text is not tried again from within it. Spans come from the pieces between matches, whose
+possessive and start only where a run can start. Where a match of a base kind was dropped by a
+validator the text is not tried again from within it. An IBAN's expression matches its first four
+characters and only looks ahead to the longest run that may follow, so that a capital word behind
+does no harm: the run may also end before any blank in it, and what lies behind is tried again. Spans come from the pieces between matches, whose
 lengths are summed in blocks, so that a text with very many matches is no problem either.
 
 Edge cases: null reads as empty text, which has no span; spans are in code points, end exclusive;
-spans of different kinds may overlap; repeated rows get equal results; nothing is shuffled and
+spans of different kinds may overlap, those of one kind do not; repeated rows get equal results; nothing is shuffled and
 other columns pass through.
 """
 
@@ -56,6 +58,33 @@ def mod97(iban: Column) -> Column:
     return _between(F.length(plain), 15, 34) & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1)
 
 
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def iban_in(head: Column, run: Column) -> Column:
+    """The IBAN that head and run begin with, or null.
+
+    It ends with the run or before a blank in it and passes mod 97. The end that gives the country's length comes first,
+    then the run's; other ends are for countries of unknown length, the longest first.
+    """
+    parts = F.split(F.concat(head, run), " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), " "))
+    right = F.filter(ends, mod97)
+    length = F.try_element_at(F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair]), F.substring(head, 1, 2))
+    last = F.get(right, F.size(right) - 1)
+    exact = F.get(F.filter(right, lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))) == length), F.lit(0))
+    return F.coalesce(exact, F.when(length.isNull() | (last == F.concat(head, run)), last))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -64,6 +93,8 @@ class Kind:
     maybe: object  # a cheap test that any match implies
     score: float
     context: str
+    #: For an expression that matches a span's head and looks ahead to the run behind it (group 1): the span, or null.
+    span_in: object = None
 
 
 KINDS = (
@@ -102,11 +133,12 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
-        mod97,
+        r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9_]))",
+        None,
         lambda text: text.rlike("[A-Z]{2}[0-9]{2}"),
         0.85,
         "iban|account|konto|compte|cuenta|bank",
+        iban_in,
     ),
 )
 BASE = KINDS[:4]
@@ -138,6 +170,21 @@ def _span_of(kind: Kind):
     return span
 
 
+def _spans_from_heads(kind: Kind, rows: Column) -> Column:
+    """Spans of a kind with span_in, leftmost first, none within another; context reaches back to the span before."""
+    known = F.filter(F.transform(rows, lambda r: F.struct(kind.span_in(r["m"], r["t"]).alias("m"), r["p"].alias("p"), r["s"].alias("s"))), lambda r: r["m"].isNotNull())
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        start = r["s"] + F.length(r["p"])
+        free = F.least(start - acc["at"], F.length(r["p"]).cast("bigint")).cast("int")
+        behind = F.struct(r["m"].alias("m"), F.substring(r["p"], F.length(r["p"]) - free + 1, free).alias("p"), (start - free).alias("s"))
+        span = _span_of(kind)(behind)
+        return F.when(start >= acc["at"], F.struct(span["end"].alias("at"), F.concat(acc["out"], F.array(span).cast(_SPAN)).alias("out"))).otherwise(acc)
+
+    return F.aggregate(known, first, step, lambda acc: acc["out"])
+
+
 def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """docs with a column of spans, array<struct<kind, start, end, score>>, by kind as listed, then by start."""
     kept, out = docs.columns, docs
@@ -152,9 +199,13 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> Data
         out = out.withColumn(pieces, F.when(any_, F.slice(F.split(plain, kind.pattern, -1), F.lit(1), F.size(found))).otherwise(none))
         steps = F.zip_with(pieces, found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
         out = out.withColumn(starts, F.when(any_, running_sums(steps)).otherwise(F.array().cast("array<bigint>")))
-        rows = F.arrays_zip(F.col(found).alias("m"), F.col(pieces).alias("p"), F.col(starts).alias("s"))
+        rows = [F.col(found).alias("m"), F.col(pieces).alias("p"), F.col(starts).alias("s")]
 
-        confirmed = F.transform(F.filter(rows, lambda r: kind.valid(r["m"])), _span_of(kind))  # noqa: B023
+        if kind.span_in:
+            runs = F.regexp_extract_all(plain, F.lit(kind.pattern), F.lit(1))
+            confirmed = _spans_from_heads(kind, F.arrays_zip(*rows, runs.alias("t")))
+        else:
+            confirmed = F.transform(F.filter(F.arrays_zip(*rows), lambda r: kind.valid(r["m"])), _span_of(kind))  # noqa: B023
         out = out.withColumn(valid, F.when(any_, confirmed).otherwise(F.array()).cast(_SPAN))
         spans.append(valid)
     return out.select(*kept, F.concat(*spans).alias(name))

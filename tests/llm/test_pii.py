@@ -54,6 +54,30 @@ def test_iban(spark, text, spans):
     assert [tuple(s) for s in row.spans] == spans
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("AT61 1904 3002 3457 3201 BIC BKAUATWW", ["AT61 1904 3002 3457 3201"]),
+        ("AT611904300234573201 IBAN", ["AT611904300234573201"]),
+        ("to ES91 2100 0418 4502 0005 1332 BANK", ["ES91 2100 0418 4502 0005 1332"]),
+        ("ES9121000418450200051332 A", ["ES9121000418450200051332"]),
+        ("AT61 1904 3002 3457 3201 GB82 WEST 1234 5698 7654 32", ["AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32"]),
+        ("NO 12 AB12 ABCD EFGH DE89 3704 0044 0532 0130 00 BIC", ["DE89 3704 0044 0532 0130 00"]),
+        ("😀 PL61 1090 1014 0000 0712 1981 2874 X, DE89370400440532013000 DE89370400440532013000", ["PL61 1090 1014 0000 0712 1981 2874", *["DE89370400440532013000"] * 2]),
+        ("AT61 1904 3002 3457 3202 BIC", []),
+    ],
+)
+def test_iban_before_a_capital_word(spark, text, found):
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = pii.with_spans(df).first().spans
+    assert [text[s.start : s.end] for s in spans if s.kind == "iban"] == found
+    if not any(s.kind != "iban" for s in spans):
+        masked = text
+        for iban in found:
+            masked = masked.replace(iban, "<IBAN>", 1)
+        assert pii.redact(df).first().text == masked
+
+
 def test_context_raises_the_score(spark):
     rows = pii.with_spans(spark.createDataFrame([("call +49 30 1234567",), ("no. +49 30 1234567",)], "text string")).collect()
     assert [r.spans[0].score for r in rows] == [0.75, 0.6]
