@@ -1,11 +1,13 @@
 """Sharding by histogram sort, in DataFrame operations alone.
 
-Rows are put in the order of a 63-bit key: the text's crc32, then the crc32 of the doc_id. Equal
-texts are neighbours in it, and yet a very large group of them can be cut. The key range is cut
+Rows are put in the order of a 63-bit key: the text's crc32, then 20 bits of the doc_id's, then a
+salt of the row's place in the input. Equal texts are neighbours in it, and yet a very large group of
+them can be cut, by the salt even if doc_ids agree too. The key range is cut
 into cells; one aggregation counts exact bytes and rows per cell, which gives the bytes below every
 candidate boundary. Cells that hold a wanted boundary and are not yet precise enough are cut finer
-and counted again, until each splitter meets its tolerance. Then rows move once, to the ranges
-between splitters.
+and counted again, until each splitter meets its tolerance. Then whole rows move once, to the ranges
+between splitters, and are written, one folder per shard, in slot order within files. Sizes, checksums
+and slots come from what was written.
 
 Two families of splitters come out of the same counts: the shards' own, equal in bytes, and those
 of ranges that are equal in rows, which only keep tasks small: a shard is a run of ranges, and a
@@ -14,12 +16,14 @@ row's slot is its range's offset plus its place in the range.
 Only counts of cells reach the driver, at most CELLS for each boundary and round.
 
 Edge cases: null reads as empty text, size 1; a null doc_id counts as empty text in the key; rows
-that agree in text and doc_id cannot be told apart and are not separated; an empty table has no row;
-fewer rows than shards leave shards empty. Other columns are kept by `shard` and not read.
+with null or repeated doc_ids are each placed once; should the salt differ when the input is read again,
+shards are a little less even, but still whole; an empty table has no row; fewer rows than shards leave
+shards empty. Other columns move with their row.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from dataclasses import dataclass
 
@@ -27,23 +31,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.batches import saved
+from lectern.llm.batches import fresh_name, saved, shared_folder
 
-KEY_BITS = 63
+KEY_BITS, SALT_BITS = 63, 11
 #: Each cell is cut in so many, 2 ** 9.
 CELL_BITS = 9
 CELLS = 1 << CELL_BITS
 SHARDS = 8
 #: A shard's bytes may miss an equal share by this part of it; a range's rows may miss theirs by half.
 TOLERANCE, RANGE_TOLERANCE = 0.001, 0.5
-#: Ranges equal in rows, each one task's sort of (key, size) rows: at least so many, more for so many rows each, and at most.
-RANGES, RANGE_ROWS, MOST_RANGES = 256, 4_000_000, 2048
+#: Ranges equal in rows, each one task's sort of whole rows: at least so many, more for so many bytes each, and at most.
+RANGES, RANGE_BYTES, MOST_RANGES = 256, 64 << 20, 2048
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
-    """63 bits; both parts are spread evenly."""
-    low = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-    return F.shiftleft(F.crc32(text.cast("binary")), 31) + F.shiftright(low, 1)
+    """63 bits; all parts are spread evenly."""
+    low = F.shiftright(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 12)
+    salt = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - SALT_BITS)
+    return F.shiftleft(F.crc32(text.cast("binary")), 31) + F.shiftleft(low, SALT_BITS) + salt
 
 
 @dataclass
@@ -106,31 +111,45 @@ def _interval(keys: list[int], key: Column, low: int = 0) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, ranges: int | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row; slot counts from 0 in key order within its shard."""
+    """(doc_id, size, text_crc32, shard, slot, doc) of each row, as read from the shards; slot counts from 0 in key order within its shard.
+
+    doc is the whole row.
+    """
     text = F.coalesce("text", F.lit(""))
-    skinny = docs.select(
-        "doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sort_key(text, F.col("doc_id")).alias("key"), F.lit(1).cast("bigint").alias("one")
-    )
-    rows = saved(skinny, "keys")
+    rows = saved(docs.select(_size(text), sort_key(text, F.col("doc_id")).alias("key"), F.lit(1).cast("bigint").alias("one")), "keys")
     bytes_, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranges = ranges or min(MOST_RANGES, max(RANGES, count // RANGE_ROWS))
+    ranges = ranges or min(MOST_RANGES, max(RANGES, bytes_ // RANGE_BYTES))
     even = [_Boundary(bytes_ * k / shards, bytes_ / shards * tolerance, "size") for k in range(1, shards)]
     tasks = [_Boundary(count * k / ranges, count / ranges * RANGE_TOLERANCE, "one") for k in range(1, ranges)]
     keys = splitters(rows, even + tasks)
     cut, fine = sorted(keys[: shards - 1]), sorted(set(keys[shards - 1 :]))
-    placed = rows.select(
-        "doc_id", "size", "text_crc32", "key", _interval(cut, F.col("key")).cast("int").alias("shard"), _interval(fine, F.col("key")).cast("int").alias("range")
-    )
-    counts = placed.groupBy("shard", "range").count()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), sort_key(text, F.col("doc_id")).alias("key"))
+    placed = keyed.select("doc", "key", _interval(cut, F.col("key")).cast("int").alias("shard"), _interval(fine, F.col("key")).cast("int").alias("range"))
+    order = [F.shiftright("key", SALT_BITS), F.col("doc.doc_id").asc_nulls_first(), F.col("key")]
+    within = F.row_number().over(Window.partitionBy("shard", "range").orderBy(*order)).cast("bigint") - 1
+    moved = _written(placed.withColumn("within", within).drop("key"))
+
+    counts = moved.groupBy("shard", "range").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "range", F.coalesce(before, F.lit(0)).alias("offset"))  # at most ranges + shards rows
-    within = F.row_number().over(Window.partitionBy("shard", "range").orderBy("key", F.col("doc_id").asc_nulls_first())).cast("bigint") - 1
-    numbered = placed.withColumn("within", within).join(F.broadcast(offsets), ["shard", "range"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("within")).alias("slot"))
+    text = F.coalesce("doc.text", F.lit(""))
+    numbered = moved.join(F.broadcast(offsets), ["shard", "range"])
+    return numbered.select("doc.doc_id", _size(text), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", (F.col("offset") + F.col("within")).alias("slot"), "doc")
+
+
+def _size(text: Column) -> Column:
+    return (F.octet_length(text).cast("bigint") + 1).alias("size")
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """rows written to the shared folder, one folder per shard, and read again."""
+    path = f"{shared_folder(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
+    rows.write.partitionBy("shard").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents themselves as one folder per shard, in slot order within files; docs with repeated doc_ids are not for this."""
-    wanted = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    n = F.floor(F.col("slot") / 100_000)
-    wanted.repartition("shard", n).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """What `shard` placed of docs as one folder per shard, in slot order within files; each row once, whatever its doc_id."""
+    shard_, slot = fresh_name(docs, "shard"), fresh_name(docs, "slot")
+    rows = placed.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(shard_), F.col("slot").alias(slot))
+    rows.repartition(shard_, F.floor(F.col(slot) / 100_000)).sortWithinPartitions(shard_, slot).write.partitionBy(shard_).parquet(path)
