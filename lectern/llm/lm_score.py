@@ -48,9 +48,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = "gram long, n long, t long"
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Whose characters are the tokens. Not Spark's lower(), which makes other characters of some."""
+    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(packed n-gram that ends at each character, offsets by text)."""
-    data, at = buffers(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    data, at = buffers(_lowered(texts))
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     counts = np.diff(np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at])
     symbols = np.where(points > 0xFFFF, RARE, np.where(points <= RARE, UNKNOWN, points)).astype(np.uint64)
@@ -231,6 +236,6 @@ def _by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
     known = endings.select(F.col("gram").alias("whole"), "e.k", F.col("e.ending").alias("gram")).join(table, "gram")
     best = known.groupBy("whole").agg(F.max_by(F.struct("target", "background"), "k").alias("loss")).withColumnRenamed("whole", "gram")
     sums = rows.join(best, "gram").groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("loss.target")).alias("st"), F.sum(F.col("n") * F.col("loss.background")).alias("sb"))
-    length = F.length(F.lower(F.coalesce("text", F.lit("")))).cast("long")
-    own = keyed.select("doc_id", "h", length.alias("n_tokens")).alias("k").join(sums.alias("s"), F.expr("k.doc_id <=> s.doc_id and k.h = s.h"), "left")
+    counted = with_columns(keyed, "text", [T.StructField("n_tokens", T.LongType())], lambda: lambda texts: [pc.utf8_length(_lowered(texts)).cast(pa.int64())], drop=True)
+    own = counted.alias("k").join(sums.alias("s"), F.expr("k.doc_id <=> s.doc_id and k.h = s.h"), "left")
     return own.select("k.doc_id", "n_tokens", (F.col("st") / F.col("n") * F.col("n_tokens")).alias("t"), (F.col("sb") / F.col("n") * F.col("n_tokens")).alias("b"))

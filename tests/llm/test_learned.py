@@ -143,3 +143,11 @@ def test_target_documents_score_lower(spark):
     rows = QUERIES["op8_lm_score"](spark, DATA).collect()
     mean = lambda ids: np.mean([r.score for r in rows if r.doc_id in ids])
     assert len(rows) == 1000 and mean(good) < mean(bad)
+
+
+def test_both_ways_count_the_same_tokens(spark):
+    """Lower case of the capital I with dot is one character for Arrow, two for Spark."""
+    docs = spark.createDataFrame([(1, "İİ İstanbul"), (2, "plain text"), (3, ""), (4, None), (None, "İ"), (2, "plain text")], "doc_id bigint, text string")
+    table = lm_score.fit(docs, spark.createDataFrame([(2,)], "doc_id bigint"))
+    tokens = lambda most: sorted((str(r.doc_id), r.n_tokens) for r in lm_score.score(docs, table, most).collect())
+    assert tokens(lm_score.MODEL_ROWS) == tokens(0) == [("1", 11), ("2", 10), ("2", 10), ("3", 0), ("4", 0), ("None", 1)]
