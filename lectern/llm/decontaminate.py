@@ -3,18 +3,22 @@
 An item matches a window of as many words if the weighted Jaccard similarity of their five-word
 shingles, each weighted by the length of its words, is THRESHOLD or more. Two ways propose places:
 
-* Every window of a text that is as long as a benchmark item gets a 64-bit SimHash of its words.
-  Item lengths are rounded down to a geometric series, so that a few window lengths serve all items;
-  an item's fingerprint is that of its first words of that length. Fingerprints are cut into RADIUS + 1
-  blocks: two of them within RADIUS bits agree in one block at least, so looking up each block finds all.
-* Fingerprints alone lose items whose first words differ. So of each item the shingles that are rarest
-  in the benchmark are looked up too, as many as weigh more than 1 - THRESHOLD of it: a window without
-  any of them cannot match. All windows that hold a found shingle are proposed.
-
-What is proposed is compared with the item exactly, so all matches are found, wherever the edits are.
-
-A benchmark goes to the tasks in chunks of a fixed size; each chunk is one more pass over a task's
-texts within the same job. Texts are never moved.
+* Every window of a text gets 64-bit SimHashes of its words, one for each window length. A match may
+  differ from its item in a few words at either end (`spare`: more cost it too many shingles), so an item
+  is fingerprinted at its beginning, middle and end, each run without the words that may differ: edits at
+  one end leave the run at the other whole. Lengths are rounded down to a geometric series, so that a few
+  serve all items. Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree in one
+  block at least, so looking up each block finds all within the radius.
+* Words changed inside a long item can move all three fingerprints beyond the radius. So of each item the
+  shingles that are rarest in the benchmark are looked up too, as many as weigh more than 1 - THRESHOLD of
+  it: a window without any of them cannot match. All windows that hold a found shingle are proposed.
+
+What is proposed is compared with the item exactly, in windows of the item's own number of words, so all
+matches are found, wherever the edits are.
+
+A benchmark goes to the tasks in chunks of a fixed size, each in a pass of its own: what one pass has
+found is written to the shared folder before the next, so driver and tasks hold one chunk at a time.
+Texts are never shuffled.
 
 Edge cases: null and empty texts have no leak; null, empty and wordless items match nothing; an item
 of fewer than five words has one shingle and counts only if found whole; items with equal texts, or
@@ -30,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import fresh_name, in_tasks, slices
+from lectern.llm.batches import fresh_name, in_tasks, saved, slices
 from lectern.llm.words import Words, shingle_hashes, words_of
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 RADIUS = 5
-#: The ratio of neighbouring window lengths: an item's window covers more than 1 / STEP of it.
+#: The ratio of neighbouring window lengths.
 STEP = 1.25
-#: Benchmark text that a task holds at once.
+#: Benchmark text that a task holds at once, about (an item is in one chunk whatever its size).
 CHUNK_BYTES = 16 << 20
 #: Text of which all windows are made at once.
 SLICE = 1 << 18
@@ -54,6 +58,17 @@ def window_length(words: int) -> int:
     return length
 
 
+def spare(words: int) -> int:
+    """Words at the ends of an item that a window may lack and still reach THRESHOLD, if words are of one length."""
+    return int(max(0, words - SHINGLE_WORDS + 1) * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9)
+
+
+def runs_of(words: int) -> tuple[int, list[int]]:
+    """(length, offsets) of the runs of an item's words that are fingerprinted."""
+    length = window_length(words - spare(words))
+    return length, sorted({0, (words - length) // 2, words - length})
+
+
 def running_votes(hashes: np.ndarray, longest: int) -> np.ndarray:
     """Counts of set bits, bit by bit, before each word; they may wrap, as differences over `longest` words still fit."""
     kind = np.min_scalar_type(longest)
@@ -83,17 +98,18 @@ class Index:
             value = ((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
             order = np.argsort(value, kind="stable")
             ends = np.cumsum(np.bincount(value, minlength=1 << bits))
-            self.tables.append((np.uint64(shift), np.uint64((1 << bits) - 1), order, np.concatenate(([0], ends))))
+            ends = np.concatenate(([0], ends))
+            self.tables.append((np.uint64(shift), np.uint64((1 << bits) - 1), order, ends, np.diff(ends) > 0))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) whose fingerprints differ in at most RADIUS bits."""
         found = []
-        for shift, mask, order, ends in self.tables:
+        for shift, mask, order, ends, known in self.tables:
             value = ((prints >> shift) & mask).astype(np.int64)
+            window = np.flatnonzero(known[value])
+            value = value[window]
             count = ends[value + 1] - ends[value]
-            window = np.flatnonzero(count)
-            count = count[window]
-            item = order[np.repeat(ends[value[window]] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+            item = order[np.repeat(ends[value] - np.cumsum(count) + count, count) + np.arange(count.sum())]
             window = np.repeat(window, count)
             near = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             found.append(window[near] * len(self.prints) + item[near])
@@ -133,16 +149,19 @@ class Benchmark:
     def __init__(self, item_ids: list[int], texts: list[str]):
         w = words_of(pa.array(texts, pa.string()))
         hashes, lengths = w.hashes(), w.end - w.start
-        votes = running_votes(hashes, int(w.counts().max(initial=1)))
-        by_length: dict[int, list[int]] = {}
         self.item_ids, self.words = np.array(item_ids, np.int64), w.counts()
-        prints = np.zeros(len(item_ids), np.uint64)
+        by_length: dict[int, list[tuple[int, int]]] = {}
         for k in np.flatnonzero(self.words).tolist():
-            a, length = w.first[k], window_length(int(self.words[k]))
-            by_length.setdefault(length, []).append(k)
-            prints[k] = fingerprints(votes[a : a + length + 1], length)[0]
-        self.lengths = [(length, np.array(own), Index(prints[own])) for length, own in sorted(by_length.items())]
+            length, offsets = runs_of(int(self.words[k]))
+            by_length.setdefault(length, []).extend([(k, at) for at in offsets])
         self.longest = max(by_length, default=1)
+        votes = running_votes(hashes, self.longest)
+        self.spare = np.array([spare(n) for n in self.words.tolist()], np.int64)
+        self.lengths = []
+        for length, own in sorted(by_length.items()):
+            own, offset = np.array(own).T
+            place = w.first[own] + offset
+            self.lengths.append((length, own, offset, Index(fingerprints(votes, length)[place])))
 
         # Each item's distinct shingles, sorted, with their counts and weights.
         keys, at = shingle_hashes(hashes, w.first, SHINGLE_WORDS)
@@ -164,15 +183,17 @@ class Benchmark:
         """(text, item, low, high): words from low to high at which a window may match."""
         text = w.text_of()
         votes = running_votes(hashes, self.longest)
-        at, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for length, own, index in self.lengths:
+        low, high, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for length, own, offset, index in self.lengths:
             if len(hashes) >= length:
                 windows, found = index.within(fingerprints(votes, length))
                 inside = text[windows] == text[windows + length - 1]
-                at.append(windows[inside])
-                items.append(own[found[inside]])
-        low = [np.concatenate(at)]
-        high = [low[0]]
+                windows, found = windows[inside], found[inside]
+                item, first = own[found], w.first[text[windows]]
+                start = windows - offset[found]
+                low.append(np.maximum(start - self.spare[item], first))
+                high.append(np.minimum(np.maximum(start + self.spare[item], first), windows))
+                items.append(item)
         for size, (own, start) in shingles.items():
             place, found = self.rare.find(own)
             fits = np.minimum(self.words[found], SHINGLE_WORDS) == size
@@ -258,6 +279,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text:
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
+    if chunks > 1:
+        known = saved(known, "benchmark")
     columns = []
     out = docs
     for k in range(chunks):
@@ -265,6 +288,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text:
         rows = mine.collect()  # one chunk of bounded size
         columns.append(fresh_name(out, f"leaks_{k}"))
         out = _against(out, [r.item_id for r in rows], [r.text for r in rows], columns[-1], text)
+        if k < chunks - 1:  # else the passes would share a task, each with its own index
+            out = saved(out, "leaks")
     found = F.concat(*columns) if chunks > 1 else F.col(columns[0])
     return out.select(*docs.columns, found.alias(name))
 

@@ -149,6 +149,45 @@ select doc_id, class_id, coalesce(n_links, 0) as n_links, coalesce(same, 0) + 1
 """
 
 
+#: Every window that shares a shingle with an item of five or more words, compared whole; shorter items are for the operator's tests.
+ORACLES["op4_decontamination"] = r"""
+with item as (
+  select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w, len(w) as n from (select distinct item_id, text from benchmark where item_id is not null and text is not null)
+),
+item_shingle as (
+  select item_id, n, s, count(*) as c, any_value(strlen(replace(s, ' ', ''))) as weight
+  from (select item_id, n, array_to_string(w[p:p + 4], ' ') as s from (select *, unnest(range(1, n - 3)) as p from item where n >= 5) x) y group by all
+),
+item_weight as (select item_id, n, sum(c * weight) as whole from item_shingle group by all),
+doc as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents),
+doc_shingle as (
+  select r, p, s, strlen(replace(s, ' ', '')) as weight from (select r, p, array_to_string(w[p:p + 4], ' ') as s from (select *, unnest(range(1, len(w) - 3)) as p from doc) x) y
+),
+hit as (select r, item_id, n, p, s, c, d.weight from doc_shingle d join item_shingle i using (s)),
+start as (select distinct r, item_id, n, unnest(range(greatest(1, p - n + 5), p + 1)) as b from hit),
+common as (
+  select r, item_id, b, sum(least(k, c) * weight) as both_
+  from (select t.r, t.item_id, t.b, h.s, h.c, h.weight, count(*) as k from start t join hit h on h.r = t.r and h.item_id = t.item_id and h.p between t.b and t.b + t.n - 5 group by all) x
+  group by all
+),
+running as (select r, p, sum(weight) over (partition by r order by p) as upto, max(p) over (partition by r) as last from doc_shingle),
+likeness as (
+  select c.r, c.item_id, max(c.both_ / (i.whole + e.upto - coalesce(a.upto, 0) - c.both_)) as similarity
+  from common c join item_weight i using (item_id)
+  join (select r, any_value(last) as last from running group by r) l on l.r = c.r
+  join running e on e.r = c.r and e.p = least(c.b + i.n - 5, l.last)
+  left join running a on a.r = c.r and a.p = c.b - 1
+  group by all
+),
+leak as (
+  select r, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by item_id) as item_ids, max(similarity) as similarity
+  from likeness where similarity >= 0.8 group by r
+)
+select doc_id, n_items is not null as contaminated, coalesce(n_items, 0) as n_items, coalesce(item_ids, '') as item_ids, cast(coalesce(similarity, 0) as double) as similarity
+from doc left join leak using (r)
+"""
+
+
 #: Pieces between matches and the matches themselves give the spans' places, as in the operator; the checks are written anew.
 ORACLES["op10_pii"] = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),

@@ -62,6 +62,31 @@ def test_chunks_give_the_same(spark, monkeypatch):
     whole = leaks()
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 500)
     assert leaks() == whole == {i: [i % 12] for i in range(30)}
+    # One pass a task: the index of one chunk at a time.
+    plan = decontaminate.find_leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_fingerprints_alone_find_edited_items():
+    """Recall of the SimHash windows without the rare shingles, by kind of edit; 0.95 at least, all with them."""
+    r = random.Random(3)
+    items = [(i, prose(8000 + i, n, 3000)) for i, n in enumerate([15, 18, 20, 25, 30, 38, 44, 50, 55, 60, 90])]
+    edits = {
+        "front": lambda ws, m: ["zzz"] * m + ws[m:],
+        "back": lambda ws, m: ws[:-m] + ["zzz"] * m,
+        "both": lambda ws, m: ["zzz"] + ws[1:-1] + ["zzz"],
+        "inner": lambda ws, m: [*ws[: (k := r.randrange(2, len(ws) - 2))], "zzz", *ws[k + 1 :]],
+        "inserted": lambda ws, m: [*ws[: (k := r.randrange(1, len(ws)))], "zzz", *ws[k:]],
+        "dropped": lambda ws, m: [*ws[: (k := r.randrange(0, len(ws)))], *ws[k + 1 :]],
+    }
+    whole, bare = (decontaminate.Benchmark(*map(list, zip(*items))) for _ in range(2))
+    bare.rare = decontaminate.Rare(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+    for kind, edit in edits.items():
+        cases = [(i, f"{prose(r.randrange(10**6), 20, 3000)} {' '.join(edit(t.split(), r.randrange(1, max(2, len(t.split()) // 9))))} {prose(r.randrange(10**6), 9, 3000)}") for i, t in items for _ in range(8)]
+        cases = [(i, text) for i, text in cases if i in brute(text, [(i, dict(items)[i])])]
+        texts = pa.array([text for _, text in cases])
+        found = [[i in {x["item_id"] for x in leaks} for (i, _), leaks in zip(cases, b.leaks(texts))] for b in (whole, bare)]
+        assert len(cases) > 15 and all(found[0]) and sum(found[1]) >= 0.95 * len(cases), kind
 
 
 def test_empty_tables(spark, no_docs):
