@@ -1,241 +1,217 @@
 """Cross-entropy difference: two n-gram models over one vocabulary score each document.
 
-Tokens are characters of the lower-cased text; the vocabulary of both models is the set of
-characters that the corpus has (16-bit code points; rarer planes share one symbol). The background
-model counts all documents, the target model those of good quality. Both are of order ORDER with
-the same smoothing: each order's estimate is weighed against the next lower one's by the context's
-count (Dirichlet), down to single characters.
-
-Counting: every task counts its texts' longest n-grams once, for both models, and sends one row per
-distinct n-gram; shorter n-grams and contexts are sums of these. The table of losses is made by
-joins and lies in the shared folder. If it is small (MODEL_ROWS), every task gets it; else texts'
-n-gram counts are joined with it. Both ways give the same scores.
-
-A document's score is the mean over its tokens of the target's loss less the background's loss, in
-bits: lower is nearer to the target. An n-gram that the corpus never had is scored by its longest
-ending that it had, a new character as the unknown one.
-
-Edge cases: null and empty texts have no token and null scores; with no target document the target
-model is uniform over the vocabulary; repeated rows count as often as they occur and get equal
-scores; a null doc_id is no target. Other columns are not read.
+Tokens are words (runs of letters and digits of the lower-cased text), known by hashes of 63 bits;
+the vocabulary of both models is what the corpus has. The target model counts the target documents,
+the background model all others. The models are matched: both are bigram models with the same smoothing,
+and the counts of the one with more tokens are weighed down until both have as many, so that neither
+is the surer for its size. No document is sampled away. With c the weighed counts and V the vocabulary,
+
+    p(w)     = (c(w) + FLOOR) / (c(all words) + FLOOR * (V + 1))
+    p(w | v) = (c(v w) + WEIGHT * p(w)) / (c(v) + WEIGHT)
+
+where v may be the beginning of a text, which occurs once in each. A document's own occurrences are taken off the counts of
+single words, beginnings and pairs before it is scored, so no model has seen what it scores; copies in other rows stay counted.
+The score is the mean over the document's tokens of the target's loss less the background's, in
+bits: lower is nearer to the target.
+
+Everything is a distributed table, at every size. Rows are written in blocks of bounded text, and each
+block lists its distinct words and pairs once. Sums over these lists are the models. Joined with them,
+the lists come back with the models' counts, each block's to the task that scores its documents. So
+what is moved are words and pairs once a block, which is several times less than once a document.
+
+Edge cases: null, empty and wordless texts have no token and null scores; with no target document, or
+none besides, that model is uniform; repeated rows count as often as they occur and get equal scores; a
+null doc_id is no target; documents that the models have not counted are scored with all counts, new
+words as the unknown one. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.batches import in_tasks, saved, slices, with_columns
-from lectern.llm.words import buffers
+from lectern.llm.batches import in_tasks, saved, slices
+from lectern.llm.words import mixed, words_of
 
-ORDER = 4
-#: Symbols that no character has: before the text, unknown, and for characters beyond 16 bits.
-START, UNKNOWN, RARE = 1, 2, 3
-#: What a context's count is weighed against, by order; and the smoothing of single characters.
+#: What a context's count is weighed against, and the smoothing of single words.
 WEIGHT, FLOOR = 8.0, 0.5
-#: Entries of the largest loss table that is sent to every task (16 bytes each), and of the largest target list.
-MODEL_ROWS, TARGET_ROWS = 2_000_000, 4_000_000
-#: Distinct n-grams that a task gathers before it sends them.
-GATHERED = 2_000_000
+#: Text of a block, whose distinct words and pairs are listed once; one longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Target ids that are sent to every task at most; a longer list is joined by key.
+TARGET_ROWS = 4_000_000
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_COUNTS = "gram long, n long, t long"
+#: Keys of words are odd, keys of pairs even. The beginning of a text is a word that no text has.
+START = np.uint64(1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+BACKGROUND, TARGET, NEW = 0, 1, 2
 
 
-def _lowered(texts: pa.Array) -> pa.Array:
-    """Whose characters are the tokens. Not Spark's lower(), which makes other characters of some."""
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+@dataclass
+class Models:
+    counts: DataFrame  # key, t, b: occurrences in target and background documents
+    target: int  # words in target documents
+    background: int
+    vocabulary: int
 
+    def weights(self) -> tuple[float, float]:
+        """What a count of either model is multiplied with, so that both have the fewer words of the two."""
+        fewer = min(self.target, self.background)
+        return (fewer / self.target, fewer / self.background) if fewer else (1.0, 1.0)
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(packed n-gram that ends at each character, offsets by text)."""
-    data, at = buffers(_lowered(texts))
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    counts = np.diff(np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at])
-    symbols = np.where(points > 0xFFFF, RARE, np.where(points <= RARE, UNKNOWN, points)).astype(np.uint64)
-    pad = ORDER - 1
-    offsets = np.concatenate(([0], np.cumsum(counts)))
-    place = np.arange(len(symbols)) + pad * (1 + np.repeat(np.arange(len(counts)), counts))
-    padded = np.full(len(symbols) + pad * len(counts), START, np.uint64)
-    padded[place] = symbols
-    code = np.zeros(len(symbols), np.uint64)
-    for j in range(ORDER):
-        code = code << np.uint64(16) | padded[place - pad + j]
-    return code, offsets
 
+@dataclass
+class Keys:
+    """The words of some texts: per token its pair with the word before, the word before, and itself, as 64-bit keys."""
 
-def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, int)
-    return codes[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+    pair: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    text: np.ndarray
+    counts: np.ndarray  # tokens of each text
 
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.sort(codes)
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, int)
-    return codes[first], np.diff(np.append(first, len(codes)))
+def keys_of(texts: pa.Array) -> Keys:
+    w = words_of(texts)
+    word = w.hashes() | np.uint64(1)
+    before = np.full(len(word), START, np.uint64)
+    before[1:] = word[:-1]
+    counts = w.counts()
+    before[w.first[:-1][counts > 0]] = START
+    return Keys(mixed(before * _SPREAD + word) & ~np.uint64(1), before, word, w.text_of(), counts)
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n, t): occurrences in all documents and in target ones; docs: text, target."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, waiting = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), []
-
-        def out(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], names=["gram", "n", "t"])
-
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                code, at = grams(part.column("text"))
-                target = np.repeat(part.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-                for own, kinds in ((code[target], [1, 1]), (code[~target], [1, 0])):
-                    unique, n = _distinct(own)
-                    waiting.append((unique, n[:, None] * np.array(kinds)))
-                if sum(len(u) for u, _ in waiting) > GATHERED:
-                    codes, counts = _summed(np.concatenate([codes, *[u for u, _ in waiting]]), np.concatenate([counts, *[n for _, n in waiting]]))
-                    waiting = []
-                    if len(codes) > GATHERED:
-                        yield out(codes, counts)
-                        codes, counts = codes[:0], counts[:0]
-        yield out(*_summed(np.concatenate([codes, *[u for u, _ in waiting]]), np.concatenate([counts, *[n for _, n in waiting]])))
-
-    return in_tasks(docs.select("text", "target"), run, _COUNTS).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _ending(gram: Column, length: int) -> Column:
-    return gram.bitwiseAND(F.lit((1 << 16 * length) - 1)) if length < 4 else gram
-
-
-def losses(counts: DataFrame) -> DataFrame:
-    """(gram, target, background) in bits for the n-grams of every length; the unknown character has an entry too."""
-    single = counts.groupBy(_ending(F.col("gram"), 1).alias("gram")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    total = single.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.count("*").alias("v")).first()
-    size = total.v + 1
-    p = lambda c, all_: (c + FLOOR) / (all_ + FLOOR * size)
-    level = single.select("gram", p(F.col("t"), total.t).alias("pt"), p(F.col("n"), total.n).alias("pb"))
-    spark = counts.sparkSession
-    unknown = spark.createDataFrame([(UNKNOWN, FLOOR / (total.t + FLOOR * size), FLOOR / (total.n + FLOOR * size))], "gram long, pt double, pb double")
-    levels = [level.unionByName(unknown.join(level.select("gram"), "gram", "left_anti"))]
-    for length in range(2, ORDER + 1):
-        own = counts.groupBy(_ending(F.col("gram"), length).alias("gram")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-        context = F.shiftrightunsigned("gram", 16)
-        contexts = own.groupBy(context.alias("context")).agg(F.sum("n").alias("cn"), F.sum("t").alias("ct"))
-        lower = levels[-1].select(F.col("gram").alias("lower"), F.col("pt").alias("lt"), F.col("pb").alias("lb"))
-        joined = own.withColumns({"context": context, "lower": _ending(F.col("gram"), length - 1)}).join(contexts, "context").join(lower, "lower")
-        mixed = lambda c, ctx, low: (F.col(c) + WEIGHT * F.col(low)) / (F.col(ctx) + WEIGHT)
-        levels.append(saved(joined.select("gram", mixed("t", "ct", "lt").alias("pt"), mixed("n", "cn", "lb").alias("pb")), f"level{length}"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("gram", (-F.log2("pt")).alias("target"), (-F.log2("pb")).alias("background"))
-
-
-class Table:
-    """Losses by n-gram: a slot for each by its hash, and a sorted list for those whose slot is taken."""
-
-    def __init__(self, gram: np.ndarray, loss: np.ndarray):
-        order = np.argsort(gram)
-        self.gram, self.loss = gram[order], loss[order]
-        bits = max(4, int(len(gram) * 2).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.at = np.zeros(1 << bits, np.int32)
-        self.at[self._slot(self.gram)] = np.arange(len(gram), dtype=np.int32)
-
-    def _slot(self, gram: np.ndarray) -> np.ndarray:
-        return ((gram * _MIX) >> self.shift).astype(np.int64)
-
-    def find(self, gram: np.ndarray) -> np.ndarray:
-        """The place of each n-gram's losses: its own or those of its longest known ending."""
-        place = self.at[self._slot(gram)]
-        other = np.flatnonzero(self.gram[place] != gram)
-        place[other] = np.minimum(np.searchsorted(self.gram, gram[other]), len(self.gram) - 1)
-        missing = other[self.gram[place[other]] != gram[other]]
-        for length in range(ORDER - 1, 0, -1):
-            if not len(missing):
-                break
-            ending = gram[missing] & np.uint64((1 << 16 * length) - 1)
-            place[missing] = np.minimum(np.searchsorted(self.gram, ending), len(self.gram) - 1)
-            missing = missing[self.gram[place[missing]] != ending]
-        if len(missing):
-            place[missing] = np.searchsorted(self.gram, np.uint64(UNKNOWN))
-        return place
-
-
-def with_target(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """docs with `target`: whether the doc_id is in targets. A list of proven size goes to the tasks, a longer one is joined by key."""
+def with_target(docs: DataFrame, targets: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
+    """docs with `side`: TARGET where the doc_id is in targets. A list of proven size goes to the tasks, a longer one is joined by key."""
     ids = targets.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct()
-    small = ids.limit(TARGET_ROWS + 1).count() <= TARGET_ROWS
-    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_t"), "left").withColumn("target", F.col("_t").isNotNull()).drop("_t")
-
+    small = ids.limit(most + 1).count() <= most
+    joined = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_t"), "left")
+    return joined.withColumn("side", F.when(F.col("_t").isNotNull(), TARGET).otherwise(BACKGROUND)).drop("_t")
 
-def fit(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """The loss table of the two models, saved; docs: doc_id, text; targets: doc_id."""
-    return saved(losses(saved(gram_counts(with_target(docs.select("doc_id", "text"), targets)), "grams")), "losses")
 
-
-def score(docs: DataFrame, table: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """(doc_id, n_tokens, ce_target, ce_background, score) of each row of docs."""
+def in_blocks(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, side, block) of each row of docs, written in blocks of about BLOCK_BYTES; without targets, no model counts them."""
     docs = docs.select("doc_id", "text")
-    size = table.limit(model_rows + 1).count()
-    sums = _by_table(docs, table) if size <= model_rows else _by_join(docs, table)
-    n = F.nullif("n_tokens", F.lit(0))
-    return sums.select("doc_id", "n_tokens", (F.col("t") / n).alias("ce_target"), (F.col("b") / n).alias("ce_background"), ((F.col("t") - F.col("b")) / n).alias("score"))
-
+    docs = with_target(docs, targets) if targets is not None else docs.withColumn("side", F.lit(NEW))
+    schema = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())])
 
-def _by_table(docs: DataFrame, table: DataFrame) -> DataFrame:
-    rows = table.toArrow()  # at most MODEL_ROWS entries
-    gram = rows.column("gram").to_numpy().view(np.uint64)
-    model = docs.sparkSession.sparkContext.broadcast((gram, np.column_stack([rows.column("target").to_numpy(), rows.column("background").to_numpy()])))
-
-    def make():
-        table = Table(*model.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                if size + part.nbytes > BLOCK_BYTES and size:
+                    block, size = block + 1, 0
+                size += part.nbytes
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, block))], names=schema.names)
 
-        def compute(texts: pa.Array) -> list:
-            code, at = grams(texts)
-            loss = table.loss[table.find(code)]
-            sums = np.concatenate((np.zeros((1, 2)), np.cumsum(loss, axis=0)))
-            own = sums[at[1:]] - sums[at[:-1]]
-            return [pa.array(np.diff(at)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())]
+    return saved(in_tasks(docs, run, schema), "blocks")
 
-        return compute
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType())]
-    return with_columns(docs, "text", fields, make).drop("text")
+def lists(blocks: DataFrame) -> DataFrame:
+    """(block, key, t, b): each block's distinct words, beginnings and pairs, with their occurrences."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting = None, []
 
-def _by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same by a join on n-grams; those that the table lacks are tried by ever shorter endings."""
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+        def out() -> pa.RecordBatch:
+            keys, counts = (np.concatenate(x) for x in zip(*waiting))
+            keys, counts = _summed(keys, counts)
+            columns = [np.full(len(keys), block), keys.view(np.int64), counts[:, TARGET], counts[:, BACKGROUND]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["block", "key", "t", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                code, at = grams(part.column("text"))
-                text = np.repeat(np.arange(part.num_rows), np.diff(at))
-                order = np.lexsort((code, text))
-                code, text = code[order], text[order]
-                first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])))) if len(code) else np.zeros(0, int)
-                n = np.diff(np.append(first, len(code)))
-                who = pa.array(text[first])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("h").take(who), pa.array(code[first].view(np.int64)), pa.array(n)], names=["doc_id", "h", "gram", "n"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = in_tasks(keyed, run, f"doc_id {id_type}, h long, gram long, n long")
-    distinct = rows.select("gram").distinct()
-    of = lambda k: _ending(F.col("gram"), k) if k else F.lit(UNKNOWN).cast("long")
-    ends = [F.struct(F.lit(k).alias("k"), of(k).alias("ending")) for k in range(ORDER + 1)]
-    endings = distinct.select("gram", F.explode(F.array(*ends)).alias("e"))
-    known = endings.select(F.col("gram").alias("whole"), "e.k", F.col("e.ending").alias("gram")).join(table, "gram")
-    best = known.groupBy("whole").agg(F.max_by(F.struct("target", "background"), "k").alias("loss")).withColumnRenamed("whole", "gram")
-    sums = rows.join(best, "gram").groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("loss.target")).alias("st"), F.sum(F.col("n") * F.col("loss.background")).alias("sb"))
-    counted = with_columns(keyed, "text", [T.StructField("n_tokens", T.LongType())], lambda: lambda texts: [pc.utf8_length(_lowered(texts)).cast(pa.int64())], drop=True)
-    own = counted.alias("k").join(sums.alias("s"), F.expr("k.doc_id <=> s.doc_id and k.h = s.h"), "left")
-    return own.select("k.doc_id", "n_tokens", (F.col("st") / F.col("n") * F.col("n_tokens")).alias("t"), (F.col("sb") / F.col("n") * F.col("n_tokens")).alias("b"))
+            for part in slices(batch, "text", 4 << 20):
+                own = part.column("block").to_numpy()
+                for one in np.unique(own):
+                    rows = part.filter(pa.array(own == one)) if own[0] != own[-1] else part
+                    if one != block and waiting:
+                        yield out()
+                        waiting = []
+                    block = int(one)
+                    k = keys_of(rows.column("text"))
+                    side = rows.column("side").to_numpy()[k.text]
+                    first = k.before == START
+                    keys, sides = np.concatenate([k.pair, k.word, k.before[first]]), np.concatenate([side, side, side[first]])
+                    waiting.append(_summed(keys, (sides[:, None] == np.array([BACKGROUND, TARGET])).astype(np.int64)))
+        if waiting:
+            yield out()
+
+    return in_tasks(blocks.select("text", "side", "block"), run, "block long, key long, t long, b long")
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows of counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+
+
+def fit(blocks: DataFrame) -> Models:
+    """The two models, as one table of counts; blocks: from in_blocks, with targets."""
+    counts = saved(lists(blocks).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "counts")
+    words = counts.where((F.col("key").bitwiseAND(F.lit(1)) == 1) & (F.col("key") != int(START)))
+    total = words.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.count("*").alias("v")).first()
+    return Models(counts, total.t, total.b, total.v)
+
+
+def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of each token, how often its key occurs in its text."""
+    order = np.lexsort((keys, text))
+    t, k = text[order], keys[order]
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])))) if len(k) else np.zeros(0, int)
+    n = np.diff(np.append(first, len(k)))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
+
+
+def score(blocks: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, n_tokens, ce_target, ce_background, score) of each row of blocks, which is from in_blocks."""
+    found = lists(blocks).select("block", "key").join(models.counts, "key", "left").select("block", "key", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("b", F.lit(0)).alias("b"))
+    id_type = blocks.schema["doc_id"].dataType
+    weights, words, size = models.weights(), (models.target, models.background), models.vocabulary + 1
+
+    def one(docs: pa.Table, known: pa.Table) -> pa.Table:
+        keys, side = known.column("key").to_numpy().view(np.uint64), docs.column("side").to_numpy()
+        order = np.argsort(keys)
+        keys = keys[order]
+        counts = [known.column(c).to_numpy()[order] for c in ("t", "b")]
+        n, losses = np.zeros(docs.num_rows, np.int64), np.zeros((2, docs.num_rows))
+        whole = pa.RecordBatch.from_arrays([docs.column("text").combine_chunks()], names=["text"])
+        at = 0
+        for part in slices(whole, "text", 2 << 20):
+            k, rows = keys_of(part.column(0)), slice(at, at + part.num_rows)
+            at = rows.stop
+            n[rows] = k.counts
+            place = [np.searchsorted(keys, x) for x in (k.pair, k.before, k.word)]
+            own_word = _own(k.text, k.word)
+            own_before = np.where(k.before == START, 1, np.concatenate(([1], own_word))[:-1])
+            mine = [_own(k.text, k.pair), own_before, own_word]
+            for m, kind in enumerate((TARGET, BACKGROUND)):
+                seen = side[rows][k.text] == kind
+                pair, before, word = (weights[m] * (counts[m][p] - np.where(seen, o, 0)) for p, o in zip(place, mine))
+                p = (word + FLOOR) / (weights[m] * words[m] + FLOOR * size)
+                p = (pair + WEIGHT * p) / (before + WEIGHT)
+                losses[m, rows] = np.bincount(k.text, -np.log2(p), part.num_rows)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = losses / n
+        cut = n == 0
+        values = [pa.array(x, pa.float64(), mask=cut) for x in (*mean, mean[0] - mean[1])]
+        return pa.table([docs.column("doc_id"), pa.array(n), *values], names=names)
+
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "score")]])
+    names = schema.names
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(one, schema)
+
+
+def compare(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The scores of docs (doc_id, text) by models of docs themselves, each document by what the others have; targets: doc_id."""
+    blocks = in_blocks(docs, targets)
+    return score(blocks, fit(blocks))

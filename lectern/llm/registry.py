@@ -90,8 +90,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, both cross entropies and their difference of every document; the target is labelled good quality."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    table = lm_score.fit(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
-    return lm_score.score(docs, table)
+    out = lm_score.compare(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "score")])
 
 
 @_query
@@ -188,6 +188,37 @@ from doc left join leak using (r)
 """
 
 
+ORACLES["op8_lm_score"] = r"""
+with doc as (
+  select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as words,
+    coalesce(doc_id in (select doc_id from labels where quality = 1 and doc_id is not null), false) as target
+  from documents
+),
+token as (select r, target, words[i] as w, case when i = 1 then '' else words[i - 1] end as v from (select *, unnest(range(1, len(words) + 1)) as i from doc) x),
+word as (select w, count(*) filter (target) as t, count(*) filter (not target) as b from token group by w),
+before as (select v, count(*) filter (target) as t, count(*) filter (not target) as b from (select target, w as v from token union all select target, '' from doc where len(words) > 0) x group by v),
+pair as (select v, w, count(*) filter (target) as t, count(*) filter (not target) as b from token group by v, w),
+total as (select sum(t) as t, sum(b) as b, count(*) as size from word),
+weight as (select case when t * b = 0 then 1 else least(t, b) / t end as kt, case when t * b = 0 then 1 else least(t, b) / b end as kb, t, b, size from total),
+own_word as (select r, w, count(*) as n from token group by r, w),
+own_pair as (select r, target, v, w, count(*) as n from token group by r, target, v, w),
+counted as (
+  select o.r, o.n, k.kt * k.t as nt, k.kb * k.b as nb, k.size,
+    k.kt * (p.t - case when target then o.n else 0 end) as pt, k.kb * (p.b - case when target then 0 else o.n end) as pb,
+    k.kt * (c.t - case when target then coalesce(m.n, 1) else 0 end) as ct, k.kb * (c.b - case when target then 0 else coalesce(m.n, 1) end) as cb,
+    k.kt * (u.t - case when target then s.n else 0 end) as ut, k.kb * (u.b - case when target then 0 else s.n end) as ub
+  from own_pair o join pair p on p.v = o.v and p.w = o.w join before c on c.v = o.v join word u on u.w = o.w join own_word s on s.r = o.r and s.w = o.w
+  left join own_word m on m.r = o.r and m.w = o.v cross join weight k
+),
+loss as (
+  select r, sum(n) as n, -sum(n * log2((pt + 8 * ((ut + 0.5e0) / (nt + 0.5e0 * (size + 1)))) / (ct + 8))) as lt,
+    -sum(n * log2((pb + 8 * ((ub + 0.5e0) / (nb + 0.5e0 * (size + 1)))) / (cb + 8))) as lb
+  from counted group by r
+)
+select doc_id, cast(len(words) as bigint) as n_tokens, round(lt / n, 6) as ce_target, round(lb / n, 6) as ce_background, round((lt - lb) / n, 6) as score from doc left join loss using (r)
+"""
+
+
 #: Pieces between matches and the matches themselves give the spans' places, as in the operator; the checks are written anew.
 ORACLES["op10_pii"] = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),

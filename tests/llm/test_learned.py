@@ -1,8 +1,9 @@
 """Operators that learn: toxicity, language, cross-entropy difference."""
 
 import math
+import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -81,73 +82,80 @@ def test_language_rejects_what_is_far(spark):
     assert language.identify(new, model).where("doc_id = 2").first().rejected
 
 
-def entropy(texts, targets):
-    """Plain cross entropies of the same models: dictionaries, one character at a time."""
-    order = lm_score.ORDER
-    counts = {kind: [defaultdict(Counter) for _ in range(order + 1)] for kind in "tb"}
-    vocabulary = set()
-
-    def events(text):
-        chars = ["^"] * (order - 1) + list((text or "").lower())
-        for i in range(order - 1, len(chars)):
-            yield [tuple(chars[i - k + 1 : i]) for k in range(1, order + 1)], chars[i]
-
-    for text, target in zip(texts, targets):
-        for contexts, c in events(text):
-            vocabulary.add(c)
-            for k, context in enumerate(contexts):
-                counts["b"][k][context][c] += 1
-                if target:
-                    counts["t"][k][context][c] += 1
-
-    def p(kind, contexts, c):
-        own = counts[kind][0][()]
-        value = (own[c] + lm_score.FLOOR) / (sum(own.values()) + lm_score.FLOOR * (len(vocabulary) + 1))
-        for k in range(1, order):
-            here = counts[kind][k].get(contexts[k], Counter())
-            value = (here[c] + lm_score.WEIGHT * value) / (sum(here.values()) + lm_score.WEIGHT)
-        return value
-
-    return [[sum(-math.log2(p(kind, x, c)) for x, c in events(text)) / max(len(text or ""), 1) for kind in "tb"] for text in texts]
-
-
-def test_cross_entropy_equals_plain_models(spark, odd_rows):
-    rows = [r for r in odd_rows if r[0] not in (6, 7, 12)]
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    targets = spark.createDataFrame([(1,), (14,), (14,), (None,), (555,)], "doc_id bigint")
-    want = entropy([r[1] for r in rows], [r[0] in (1, 14) for r in rows])
-    table = lm_score.fit(docs, targets)
-    for most in (lm_score.MODEL_ROWS, 0):
-        got = sorted(lm_score.score(docs, table, most).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
-        for r, (doc, (t, b)) in zip(got, sorted(zip(rows, want), key=lambda x: (str(x[0][0]), len(x[0][1] or "")))):
-            assert r.n_tokens == len(doc[1] or "")
-            if r.n_tokens:
-                assert (r.ce_target, r.ce_background, r.score) == pytest.approx((t, b, t - b), abs=1e-9)
-            else:
-                assert (r.ce_target, r.ce_background, r.score) == (None, None, None)
-
-
-def test_both_ways_agree_on_new_texts(spark, odd_docs, no_docs):
-    table = lm_score.fit(odd_docs, spark.createDataFrame([(1,)], "doc_id bigint"))
-    new = spark.createDataFrame([(1, "Ωμέγα tari zzz"), (1, "Ωμέγα tari zzz"), (2, "😀\x01"), (3, "")], "doc_id long, text string")
-    values = lambda most: [(r.doc_id, r.n_tokens, r.score and round(r.score, 9)) for r in lm_score.score(new, table, most).orderBy("doc_id").collect()]
-    assert values(lm_score.MODEL_ROWS) == values(0)
-    empty = lm_score.fit(no_docs, spark.createDataFrame([], "doc_id bigint"))
-    assert lm_score.score(no_docs, empty).count() == 0
-    assert lm_score.score(new, empty).count() == 4
+def entropy(rows, targets, new=()):
+    """Plain cross entropies of the same models, by dictionaries: of rows without their own counts, then of new texts with all counts."""
+    words = lambda text: re.findall(r"[^\W_]+", (text or "").replace("İ", "i").lower())
+    pairs = lambda ws: list(zip(["", *ws], ws))
+    model = {kind: (Counter(), Counter(), Counter()) for kind in (True, False)}
+    for (_, text), target in zip(rows, targets):
+        ws = words(text)
+        for counter, values in zip(model[target], (ws, [*ws, *[""] * bool(ws)], pairs(ws))):
+            counter.update(values)
+    size = len(set(model[True][0]) | set(model[False][0])) + 1
+    total = {kind: sum(model[kind][0].values()) for kind in model}
+    fewer = min(total.values())
+    out = []
+    for (_, text), target in [*zip(rows, targets), *((("", x), None) for x in new)]:
+        ws, means = words(text), []
+        for kind in (True, False):
+            k = fewer / total[kind] if fewer else 1.0
+            seen = kind == target
+            loss = 0.0
+            for v, w in pairs(ws):
+                c = [k * (c[x] - seen * own.count(x)) for c, x, own in zip(model[kind], (w, v, (v, w)), (ws, ["", *ws], pairs(ws)))]
+                p = (c[0] + lm_score.FLOOR) / (k * total[kind] + lm_score.FLOOR * size)
+                loss -= math.log2((c[2] + lm_score.WEIGHT * p) / (c[1] + lm_score.WEIGHT))
+            means.append(loss / len(ws) if ws else None)
+        out.append((len(ws), *means, means[0] - means[1] if ws else None))
+    return out
+
+
+def close(got, want):
+    key = lambda x: (str(x[0]), x[1], round(x[2] or 0, 6))
+    got, want = sorted((tuple(r) for r in got), key=key), sorted(want, key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and (g[2:] == w[2:] if w[1] == 0 else g[2:] == pytest.approx(w[2:], abs=1e-9)), (g, w)
+
+
+@pytest.mark.parametrize("block", [300, 16 << 20])
+def test_cross_entropy_equals_plain_models(spark, odd_rows, monkeypatch, block):
+    """Documents without their own counts, in blocks of any size; ids of targets joined either way; new texts with all counts."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    rows = [(r[0], r[1]) for r in odd_rows if r[0] not in (6, 7, 12)] + [(20, "İİ İstanbul straße 😀 x"), (20, "İİ İstanbul straße 😀 x"), (21, "to be or not to")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, block string").repartition(3)
+    targets = spark.createDataFrame([(1,), (14,), (14,), (None,), (555,), (20,)], "doc_id bigint")
+    new = ["Ωμέγα tari zzz", "Ωμέγα tari zzz", "😀\x01", "", None, "one two one two"]
+    want = entropy(rows, [r[0] in (1, 14, 20) for r in rows], new)
+    blocks = lm_score.in_blocks(docs, targets)
+    models = lm_score.fit(blocks)
+    close(lm_score.score(blocks, models).collect(), [(r[0], *w) for r, w in zip(rows, want)])
+    by_join = lm_score.with_target(docs, targets, 0)
+    assert sorted((str(r.doc_id), r.side) for r in by_join.collect()) == sorted((str(r[0]), int(r[0] in (1, 14, 20))) for r in rows)
+    fresh = lm_score.in_blocks(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"))
+    close(lm_score.score(fresh, models).collect(), [(i, *w) for i, w in enumerate(want[len(rows) :])])
+
+
+def test_cross_entropy_of_empty_tables(spark, odd_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id bigint")
+    assert lm_score.compare(no_docs, none).count() == 0
+    rows = [(r.doc_id, r.text) for r in odd_docs.where("length(text) < 5000 or text is null").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    close(lm_score.compare(docs, none).collect(), [(r[0], *w) for r, w in zip(rows, entropy(rows, [False] * len(rows)))])
 
 
 def test_target_documents_score_lower(spark):
     good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
     bad = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 0").collect()}
     rows = QUERIES["op8_lm_score"](spark, DATA).collect()
-    mean = lambda ids: np.mean([r.score for r in rows if r.doc_id in ids])
+    mean = lambda ids: np.mean([r.score for r in rows if r.doc_id in ids and r.score is not None])
     assert len(rows) == 1000 and mean(good) < mean(bad)
 
 
-def test_both_ways_count_the_same_tokens(spark):
-    """Lower case of the capital I with dot is one character for Arrow, two for Spark."""
-    docs = spark.createDataFrame([(1, "İİ İstanbul"), (2, "plain text"), (3, ""), (4, None), (None, "İ"), (2, "plain text")], "doc_id bigint, text string")
-    table = lm_score.fit(docs, spark.createDataFrame([(2,)], "doc_id bigint"))
-    tokens = lambda most: sorted((str(r.doc_id), r.n_tokens) for r in lm_score.score(docs, table, most).collect())
-    assert tokens(lm_score.MODEL_ROWS) == tokens(0) == [("1", 11), ("2", 10), ("2", 10), ("3", 0), ("4", 0), ("None", 1)]
+def test_repeated_documents_are_set_apart(spark):
+    """A text that occurs once more is known to its model; the same text alone is not."""
+    rows = [(i, prose(i, 80, 3000)) for i in range(40)]
+    rows.append((100, rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.ce_background for r in lm_score.compare(docs, spark.createDataFrame([(30 + i,) for i in range(10)], "doc_id bigint")).collect()}
+    assert max(got[0], got[100]) < min(v for k, v in got.items() if k not in (0, 100)) - 1
