@@ -12,13 +12,13 @@ linked. The steps:
 3. In a task, pairs compare their values a few at a time. After each step the posterior
    probability that the similarity reaches the threshold (uniform prior) decides: pairs below
    the tolerance are dropped. What remains leaves the task as edges that connect it, not as pairs.
-4. The connected groups are cut into blocks, every two blocks meet in one task, and their shingle
-   sets are intersected exactly. Each document gets its number of links and a
-   spanning forest of true links; their connected groups are the classes.
+4. The connected groups are cut into blocks and every two blocks meet in one task, so each surviving
+   pair meets once, however many buckets proposed it. Pairs go through their values as before, and the
+   shingle sets of those that survive, and of no others, are intersected exactly. Each document gets its
+   number of links and a spanning forest of true links; their connected groups are the classes.
 
 A link can be missed only if no band agrees (probability 5e-8 at similarity 0.8, less above)
-or the posterior falls below the tolerance, and even then it is counted if other links put both
-documents into one group.
+or the posterior falls below the tolerance.
 
 Edge cases: a text of one to four words has one shingle of all its words; a text with no word but
 some other character has one shingle, itself; null and empty texts have none and are linked to
@@ -37,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.batches import fresh_name, in_tasks, saved, slices
+from lectern.llm.batches import fresh_name, in_tasks, saved, slices, with_columns
 from lectern.llm.components import connected
 from lectern.llm.words import mixed, shingles_of
 
@@ -46,10 +47,8 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES = 32, 4
 #: Values compared between two looks at the posterior, and the posterior below which a pair goes.
 STEP_VALUES, TOLERANCE = 16, 1e-4
-#: Rows of a block; a task's group holds two blocks.
-BLOCK_ROWS = 256
-#: Shingles whose incidence is held at once in a task.
-PANEL = 8192
+#: Rows of a block, and bytes of its shingle sets, about; a task's group holds two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 256, 16 << 20
 
 VALUES = BANDS * BAND_VALUES
 _SEEDS = mixed(np.arange(1, VALUES + 1, dtype=np.uint64))
@@ -144,29 +143,12 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None)
     return root
 
 
-def forest(mine: np.ndarray, lo: int, hi: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, row) that connect what the pairs connect.
-
-    Where two different blocks meet, the pairs within either block are left to the place where that block
-    meets itself: only edges between groups of the two blocks come out, mostly one.
-    """
-    if lo == hi:
-        root = roots(len(mine), i, j)
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return own, root[own]
-    within = mine[i] == mine[j]
-    before = roots(len(mine), i[within], j[within])
-    after = roots(len(mine), i[~within], j[~within], before)
-    own = np.flatnonzero((before == np.arange(len(before))) & (after != before))
-    return own, after[own]
-
-
-def in_blocks(rows: DataFrame, group: str, size: str, member: str) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, size: str, bytes_: str, member: str) -> DataFrame:
     """rows dealt to (group, lo, hi) for every two blocks of their group: a row meets each other row of its group once.
 
-    Adds `mine`, the row's own block. Groups of up to BLOCK_ROWS rows are one block.
+    Adds `mine`, the row's own block. Groups of up to BLOCK_ROWS rows and BLOCK_BYTES bytes are one block.
     """
-    n = F.ceil(F.col(size) / BLOCK_ROWS).cast("int")
+    n = F.greatest(F.ceil(F.col(size) / BLOCK_ROWS), F.ceil(F.col(bytes_) / BLOCK_BYTES)).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64(member, F.lit(7)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
 
@@ -240,55 +222,86 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     return near.unionByName(far).distinct()
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sorted sets, by panels of an incidence matrix."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    column, owner = column[shared[column]], owner[shared[column]]
-    column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1 if len(column) else column
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, PANEL):
-        a, b = np.searchsorted(column, (start, start + PANEL))
-        panel = np.zeros((len(sets), PANEL), np.float32)
-        panel[owner[a:b], column[a:b] - start] = 1
-        out += panel @ panel.T
+def common_counts(flat: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of each pair (i, j); set n is flat[at[n] : at[n + 1]]."""
+    _, column = np.unique(flat, return_inverse=True)
+    has = np.zeros(len(flat), bool)
+    out = np.zeros(len(i), np.int64)
+    order = np.argsort(i, kind="stable")
+    ends = np.flatnonzero(np.diff(np.append(i[order], -1)))
+    for own in np.split(order, ends[:-1] + 1) if len(order) else []:
+        k, others = i[own[0]], j[own]
+        mine = column[at[k] : at[k + 1]]
+        has[mine] = True
+        sizes = at[others + 1] - at[others]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) + np.repeat(at[others] - ends + sizes, sizes)
+        out[own] = np.add.reduceat(has[column[place]], ends - sizes, dtype=np.int64)
+        has[mine] = False
     return out
 
 
+def true_links(flat: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of sets, those whose similarity is THRESHOLD or more, as a mask."""
+    sizes, common = np.diff(at), common_counts(flat, at, i, j)
+    return common >= THRESHOLD * (sizes[i] + sizes[j] - common) - 1e-6
+
+
+def verified(mine: np.ndarray, copies: np.ndarray, values: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(linked documents of each row, another row that links connect it to or itself) of one block's rows, or of two blocks'.
+
+    Only pairs that survive the posterior are intersected. Where two blocks meet, pairs within either count where that block meets
+    itself; here some of their links, one for a row at most, tell what is connected already, so that few connections come out.
+    """
+    blocks = [np.flatnonzero(mine == k) for k in np.unique(mine)]
+    within = []
+    for rows in blocks:
+        i, j = surviving_pairs(values[rows], values[rows])
+        within.append((rows[i[i < j]], rows[j[i < j]]))
+    i, j = (np.concatenate(x) for x in zip(*within))
+    before = np.arange(len(mine))
+    if len(blocks) == 2:
+        _, first = np.unique(j, return_index=True)
+        i, j = i[first], j[first]
+        known = true_links(flat, at, i, j)
+        before = roots(len(mine), i[known], j[known])
+        i, j = surviving_pairs(values[blocks[0]], values[blocks[1]])
+        i, j = blocks[0][i], blocks[1][j]
+    linked = true_links(flat, at, i, j)
+    i, j = i[linked], j[linked]
+    links = np.bincount(i, copies[j], len(mine)) + np.bincount(j, copies[i], len(mine))
+    after = roots(len(mine), i, j, before)
+    return links.astype(np.int64), np.where(before == np.arange(len(mine)), after, np.arange(len(mine)))
+
+
 def exact_links(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, links, to): counts of linked documents, in parts, and edges of a spanning forest of true links.
 
-    groups: rep, group; every two members of a group are compared. Shingle sets are made anew from the texts.
+    groups: rep, group, which every surviving pair has in common. A text's shingle set is made once and goes to where its block meets another.
     """
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    holders = groups.join(reps.select("rep", "copies", "holder.doc_id", "holder.text_hash"), "rep").withColumnRenamed("doc_id", "holder")
+    holders = groups.join(reps.select("rep", "copies", "values", "holder.doc_id", "holder.text_hash"), "rep").withColumnRenamed("doc_id", "holder")
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     same = (F.col("holder").eqNullSafe(F.col("doc_id"))) & (holders["text_hash"] == texts["text_hash"])
-    rows = texts.join(holders, same).groupBy("rep").agg(F.first("group").alias("group"), F.first("copies").alias("copies"), F.first("text").alias("text"))
-    dealt = in_blocks(rows.join(sizes, "group"), "group", "n", "rep")
+    one = lambda c: F.first(c).alias(c)
+    rows = texts.join(holders, same).groupBy("rep").agg(*[one(c) for c in ("group", "copies", "values", "text")])
+
+    def shingled(texts: pa.Array) -> list:
+        flat, at = shingle_sets(texts)
+        return [pa.array([flat[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())]
+
+    sets = saved(with_columns(rows, "text", [T.StructField("shingles", T.BinaryType())], lambda: shingled, drop=True), "sets")
+    sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    dealt = in_blocks(sets.join(sizes, "group"), "group", "n", "bytes", "rep")
 
     def verify(rows: pa.Table) -> pa.Table:
-        rep, mine = rows.column("rep").to_numpy(), rows.column("mine").to_numpy()
-        flat, at = shingle_sets(rows.column("text").combine_chunks())
-        sizes = np.diff(at)
-        common = _common([flat[a:b] for a, b in zip(at, at[1:])])
-        linked = common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-        np.fill_diagonal(linked, False)
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        to = rep.copy()
-        a, b = forest(mine, lo, hi, *np.nonzero(linked))
-        to[a] = rep[b]
-        if lo != hi:  # each block meets itself elsewhere
-            linked &= mine[:, None] != mine[None, :]
-        links = (linked * rows.column("copies").to_numpy()[None, :]).sum(axis=1)
-        return pa.table({"rep": pa.array(rep, pa.binary()), "links": pa.array(links, pa.int64()), "to": pa.array(to, pa.binary())})
-
-    columns = ["group", "lo", "hi", "mine", "rep", "copies", "text"]
+        rep, mine, copies = (rows.column(c).to_numpy() for c in ("rep", "mine", "copies"))
+        values = np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
+        found = rows.column("shingles").to_pylist()
+        at = np.concatenate(([0], np.cumsum([len(x) // 8 for x in found])))
+        links, to = verified(mine, copies, values, np.frombuffer(b"".join(found), np.uint64), at)
+        return pa.table({"rep": pa.array(rep, pa.binary()), "links": pa.array(links, pa.int64()), "to": pa.array(rep[to], pa.binary())})
+
+    columns = ["group", "lo", "hi", "mine", "rep", "copies", "values", "shingles"]
     return dealt.select(*columns).groupBy("group", "lo", "hi").applyInArrow(verify, "rep binary, links long, to binary")
 
 
@@ -334,7 +347,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("first")
     kept = _members(_ids_and_texts(docs)).groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
     alone = docs.where(_empty()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    kept = kept.unionByName(alone).select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"))
-    name = fresh_name(docs, "text_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col(name) == F.col("_h"))
+    name, id_, hash_ = (fresh_name(docs, x) for x in ("text_hash", "kept_id", "kept_hash"))
+    kept = kept.unionByName(alone).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(name) == F.col(hash_))
     return docs.withColumn(name, F.xxhash64("text")).join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import jaccard
@@ -50,10 +51,11 @@ def test_empty_table(no_docs):
     assert jaccard.keep_one(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("block", [8, 128])
-def test_large_group_in_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(8, 16 << 20), (128, 16 << 20), (128, 6000)])
+def test_large_group_in_blocks(spark, monkeypatch, block, size):
     """A large group of near copies and one of exact copies; every link is counted though no task sees the group."""
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     base = prose(11, 80).split()
     rows = []
     for i in range(70):
@@ -87,6 +89,50 @@ def test_posterior_bound_never_drops_likely_pairs():
     assert [len(x) for x in jaccard.surviving_pairs(left, right)] == [0, 0]
 
 
+def near_copies(n):
+    base = prose(21, 150).split()
+    r = np.random.default_rng(5)
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at in r.choice(150, i % 9, replace=False):
+            words[at] = f"x{i}y{at}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_only_survivors_are_intersected(monkeypatch, blocks):
+    """The pairs that are intersected are those the posterior keeps, and their links are those of brute force."""
+    texts = pa.array(near_copies(60))
+    flat, at = jaccard.shingle_sets(texts)
+    values = jaccard.min_hashes(flat, at)
+    mine, copies = np.arange(60) % blocks, np.arange(60) + 1
+    asked = []
+    plain = jaccard.common_counts
+    monkeypatch.setattr(jaccard, "common_counts", lambda f, a, i, j: asked.append(list(zip(i.tolist(), j.tolist()))) or plain(f, a, i, j))
+    links, to = jaccard.verified(mine, copies, values, flat, at)
+    i, j = jaccard.surviving_pairs(values, values)
+    kept = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b}
+    assert len(kept) < 60 * 59 / 2
+    of_blocks = {tuple(sorted(p)) for p in asked[-1]}
+    assert of_blocks == {(a, b) for a, b in kept if blocks == 1 or mine[a] != mine[b]} and len(asked[-1]) == len(of_blocks)
+    sets = [set(flat[a:b].tolist()) for a, b in zip(at, at[1:])]
+    like = [[a != b and len(x & y) >= 0.8 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+    assert links.tolist() == [sum(int(copies[b]) for b in range(60) if like[a][b] and (blocks == 1 or mine[a] != mine[b])) for a in range(60)]
+    # Connections: with those of each block by itself, as the links connect.
+    edges = [(a, int(b)) for a, b in enumerate(to)]
+    if blocks == 2:
+        for k in range(2):
+            rows = np.flatnonzero(mine == k)
+            own, own_at = jaccard.shingle_sets(texts.take(pa.array(rows)))
+            edges += [(int(rows[a]), int(rows[b])) for a, b in enumerate(jaccard.verified(mine[rows], copies[rows], values[rows], own, own_at)[1])]
+        assert sum(a != b for a, b in edges[:60]) < 20
+    got = jaccard.roots(60, *np.array(edges).T)
+    want = jaccard.roots(60, *np.nonzero(np.array(like)))
+    assert got.tolist() == want.tolist()
+
+
 def test_connected(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (7, 9), (20, 20), (4, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = defaultdict(set)
