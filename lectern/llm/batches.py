@@ -118,9 +118,28 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, by: str | None = None) -> None:
+    """df as Parquet files at `path`, in folders by the column `by`. The shuffle files of the write go when it ends."""
+    conf = df.sparkSession.conf
+    before = conf.get(TIDY, None)
+    conf.set(TIDY, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(TIDY)
+        else:
+            conf.set(TIDY, before)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,9 +15,10 @@ The score is the mean over the document's tokens of the target's loss less the b
 bits: lower is nearer to the target.
 
 Everything is a distributed table, at every size. Rows are written in blocks of bounded text, and each
-block lists its distinct words and pairs once. Sums over these lists are the models. Joined with them,
-the lists come back with the models' counts, each block's to the task that scores its documents. So
-what is moved are words and pairs once a block, which is several times less than once a document.
+block lists its distinct words and pairs once. The lists meet by word or pair, which gives the models'
+counts, and what several blocks have goes back to each of them, to the task that scores its documents; what
+only one block has, that task counts itself. So words and pairs move once a block, not once a document, and
+none is hot: a block lists each once.
 
 Edge cases: null, empty and wordless texts have no token and null scores; with no target document, or
 none besides, that model is uniform; repeated rows count as often as they occur and get equal scores; a
@@ -33,9 +34,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lectern.llm.batches import in_tasks, saved, slices
 from lectern.llm.words import mixed, words_of
@@ -43,7 +45,7 @@ from lectern.llm.words import mixed, words_of
 #: What a context's count is weighed against, and the smoothing of single words.
 WEIGHT, FLOOR = 8.0, 0.5
 #: Text of a block, whose distinct words and pairs are listed once; one longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Target ids that are sent to every task at most; a longer list is joined by key.
 TARGET_ROWS = 4_000_000
 
@@ -55,7 +57,7 @@ BACKGROUND, TARGET, NEW = 0, 1, 2
 
 @dataclass
 class Models:
-    counts: DataFrame  # key, t, b: occurrences in target and background documents
+    counts: DataFrame  # key, t, b: occurrences in target and background documents; of the corpus itself also block
     target: int  # words in target documents
     background: int
     vocabulary: int
@@ -113,6 +115,24 @@ def in_blocks(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return saved(in_tasks(docs, run, schema), "blocks")
 
 
+def _listed(texts: pa.Array, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, beginnings and pairs, and how often target and background texts have each."""
+    k = keys_of(texts)
+    first = k.before == START
+    keys, text = np.concatenate([k.pair, k.word, k.before[first]]), np.concatenate([k.text, k.text, k.text[first]])
+    return _summed(keys, (side[text][:, None] == np.array([TARGET, BACKGROUND])).astype(np.int32))
+
+
+def _counted(texts: pa.Array, side: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same of a whole block, by slices."""
+    found, at = [], 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 2 << 20):
+        found.append(_listed(part.column(0), side[at : at + part.num_rows]))
+        at += part.num_rows
+    keys, counts = _summed(*(np.concatenate(x) for x in zip(*found)))
+    return keys, [counts[:, 0].astype(np.int64), counts[:, 1].astype(np.int64)]
+
+
 def lists(blocks: DataFrame) -> DataFrame:
     """(block, key, t, b): each block's distinct words, beginnings and pairs, with their occurrences."""
 
@@ -120,13 +140,12 @@ def lists(blocks: DataFrame) -> DataFrame:
         block, waiting = None, []
 
         def out() -> pa.RecordBatch:
-            keys, counts = (np.concatenate(x) for x in zip(*waiting))
-            keys, counts = _summed(keys, counts)
-            columns = [np.full(len(keys), block), keys.view(np.int64), counts[:, TARGET], counts[:, BACKGROUND]]
+            keys, counts = _summed(*(np.concatenate(x) for x in zip(*waiting)))
+            columns = [np.full(len(keys), block), keys.view(np.int64), *counts.astype(np.int64).T]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["block", "key", "t", "b"])
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 own = part.column("block").to_numpy()
                 for one in np.unique(own):
                     rows = part.filter(pa.array(own == one)) if own[0] != own[-1] else part
@@ -134,11 +153,7 @@ def lists(blocks: DataFrame) -> DataFrame:
                         yield out()
                         waiting = []
                     block = int(one)
-                    k = keys_of(rows.column("text"))
-                    side = rows.column("side").to_numpy()[k.text]
-                    first = k.before == START
-                    keys, sides = np.concatenate([k.pair, k.word, k.before[first]]), np.concatenate([side, side, side[first]])
-                    waiting.append(_summed(keys, (sides[:, None] == np.array([BACKGROUND, TARGET])).astype(np.int64)))
+                    waiting.append(_listed(rows.column("text"), rows.column("side").to_numpy()))
         if waiting:
             yield out()
 
@@ -153,14 +168,27 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
 
 
-def fit(blocks: DataFrame) -> Models:
-    """The two models, as one table of counts; blocks: from in_blocks, with targets."""
-    counts = saved(lists(blocks).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "counts")
-    words = counts.where((F.col("key").bitwiseAND(F.lit(1)) == 1) & (F.col("key") != int(START)))
-    total = words.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.count("*").alias("v")).first()
+def _models(counts: DataFrame, words: Column) -> Models:
+    total = counts.where(words & (F.col("key").bitwiseAND(F.lit(1)) == 1) & (F.col("key") != int(START)))
+    total = total.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.count("*").alias("v")).first()
     return Models(counts, total.t, total.b, total.v)
 
 
+def fit(blocks: DataFrame) -> Models:
+    """Models for other documents, as one table of all counts; blocks: from in_blocks, with targets."""
+    return _models(saved(lists(blocks).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "counts"), F.lit(True))
+
+
+def fit_own(blocks: DataFrame) -> Models:
+    """Models for the documents they count. The table has each block's words, and its pairs that other blocks have too."""
+    key = Window.partitionBy("key").orderBy("block")
+    all_ = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.col("t") + F.col("b")
+    met = lists(blocks).select("block", "key", F.sum("t").over(all_).alias("t"), F.sum("b").over(all_).alias("b"), n.alias("n"), (F.row_number().over(key) == 1).alias("first"))
+    met = met.where((n > F.col("n")) | (F.col("key").bitwiseAND(F.lit(1)) == 1)).drop("n")
+    return _models(saved(met, "counts"), F.col("first"))
+
+
 def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Of each token, how often its key occurs in its text."""
     order = np.lexsort((keys, text))
@@ -174,25 +202,27 @@ def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def score(blocks: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score) of each row of blocks, which is from in_blocks."""
-    found = lists(blocks).select("block", "key").join(models.counts, "key", "left").select("block", "key", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("b", F.lit(0)).alias("b"))
+    found = models.counts if "block" in models.counts.columns else lists(blocks).select("block", "key").join(models.counts, "key")
+    found = found.select("block", "key", "t", "b")
     id_type = blocks.schema["doc_id"].dataType
     weights, words, size = models.weights(), (models.target, models.background), models.vocabulary + 1
 
     def one(docs: pa.Table, known: pa.Table) -> pa.Table:
-        keys, side = known.column("key").to_numpy().view(np.uint64), docs.column("side").to_numpy()
-        order = np.argsort(keys)
-        keys = keys[order]
-        counts = [known.column(c).to_numpy()[order] for c in ("t", "b")]
+        side, texts = docs.column("side").to_numpy(), docs.column("text").combine_chunks()
+        own, counts = _counted(texts, side)
+        keys = known.column("key").to_numpy().view(np.uint64)
+        place = np.searchsorted(own, keys)
+        for m, c in enumerate(("t", "b")):
+            counts[m][place] = known.column(c).to_numpy()
         n, losses = np.zeros(docs.num_rows, np.int64), np.zeros((2, docs.num_rows))
-        whole = pa.RecordBatch.from_arrays([docs.column("text").combine_chunks()], names=["text"])
         at = 0
-        for part in slices(whole, "text", 2 << 20):
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 2 << 20):
             k, rows = keys_of(part.column(0)), slice(at, at + part.num_rows)
             at = rows.stop
             n[rows] = k.counts
-            place = [np.searchsorted(keys, x) for x in (k.pair, k.before, k.word)]
             own_word = _own(k.text, k.word)
             own_before = np.where(k.before == START, 1, np.concatenate(([1], own_word))[:-1])
+            place = [np.searchsorted(own, x) for x in (k.pair, k.before, k.word)]
             mine = [_own(k.text, k.pair), own_before, own_word]
             for m, kind in enumerate((TARGET, BACKGROUND)):
                 seen = side[rows][k.text] == kind
@@ -214,4 +244,4 @@ def score(blocks: DataFrame, models: Models) -> DataFrame:
 def compare(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """The scores of docs (doc_id, text) by models of docs themselves, each document by what the others have; targets: doc_id."""
     blocks = in_blocks(docs, targets)
-    return score(blocks, fit(blocks))
+    return score(blocks, fit_own(blocks))

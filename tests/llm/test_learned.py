@@ -129,7 +129,9 @@ def test_cross_entropy_equals_plain_models(spark, odd_rows, monkeypatch, block):
     want = entropy(rows, [r[0] in (1, 14, 20) for r in rows], new)
     blocks = lm_score.in_blocks(docs, targets)
     models = lm_score.fit(blocks)
-    close(lm_score.score(blocks, models).collect(), [(r[0], *w) for r, w in zip(rows, want)])
+    for own in (models, lm_score.fit_own(blocks)):
+        assert (own.target, own.background, own.vocabulary) == (models.target, models.background, models.vocabulary)
+        close(lm_score.score(blocks, own).collect(), [(r[0], *w) for r, w in zip(rows, want)])
     by_join = lm_score.with_target(docs, targets, 0)
     assert sorted((str(r.doc_id), r.side) for r in by_join.collect()) == sorted((str(r[0]), int(r[0] in (1, 14, 20))) for r in rows)
     fresh = lm_score.in_blocks(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"))
