@@ -122,13 +122,13 @@ def shared_folder(spark: SparkSession) -> str:
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str, by: str | None = None) -> None:
+def write(df: DataFrame, path: str, by: str | None = None, **options: Any) -> None:
     """df as Parquet files at `path`, in folders by the column `by`. The shuffle files of the write go when it ends."""
     conf = df.sparkSession.conf
     before = conf.get(TIDY, None)
     conf.set(TIDY, "true")
     try:
-        out = df.write.option("compression", "zstd")
+        out = df.write.options(**{"compression": "zstd"} | options)
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
         if before is None:

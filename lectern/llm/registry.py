@@ -73,7 +73,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, as read back by keyed access from the files."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    found = token_files.read(spark, path, digest=True).join(token_files.starts(spark, path), ["part", "seq"])
+    found = token_files.lookup(spark, path, docs, digest=True).unionByName(token_files.read(spark, path, digest=True, only_nulls=True))
+    found = found.join(token_files.starts(spark, path), ["part", "seq"])
     return found.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 

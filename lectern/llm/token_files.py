@@ -1,32 +1,38 @@
 """Token-id files with keyed access through a minimal perfect hash.
 
-The file format is a Parquet table `blocks` of self-contained blocks in ascending doc_id
-order. A block holds
+The format is two Parquet tables. `blocks` holds the ids, in ascending doc_id order. A block has
 
     part, seq     its place; blocks in (part, seq) order hold the documents in doc_id order
-    first, last   lowest and highest doc_id in it
     nulls         rows without doc_id, which come first of all
     width         bytes per id, 2 or 4, little-endian
     n_ids         ids in the block
-    keys          its distinct doc_ids, 64-bit, ascending
-    rows          of each key, its first row in the block
+    keys          doc_ids of the other rows, 64-bit, ascending
     at            of each row, its first id in the payload, and the end
-    pilots        of each hash bucket, the pilot that sends its keys to free slots
-    prints        of each slot, the key's 32-bit fingerprint
-    slots         of each slot, the key's place in `keys`
     payload       all ids, nothing else
 
-A key's slot is computed from its hash and its bucket's pilot: as many slots as keys, no two
-keys in one slot. The fingerprint turns away keys that the block does not hold. Access reads
-one pilot, one slot and one run of ids, however large the block.
+`index` leads from a key to its place. Keys are dealt to buckets by their hash, about BUCKET_KEYS to each,
+and each bucket is a minimal perfect hash of its keys:
 
-Blocks are written by Spark's own committer into the shared folder, so a lost executor costs
-only its running tasks. Texts are moved once, by range of doc_id and then of text hash, so that
-one doc_id with very many rows is spread too.
+    bucket, buckets   its number, and how many there are
+    pilots            of each group of keys, the pilot that sends them to free slots
+    prints            of each slot, the key's 32-bit fingerprint
+    firsts            of each slot, its first place in the lists that follow, and the end
+    part, seq, row    block and first row
+    rows              rows from there on that have the key
+
+A key's bucket follows from its hash, its slot from its hash and a pilot: as many slots as keys, no two keys
+in one slot. The fingerprint turns away keys that no file has, but for one in 2 ** 32, which the block's own
+keys then turn away. So access reads one bucket, one slot and one run of ids, however many documents there
+are. Asked keys meet their buckets by an equi-join, and places their blocks by another; of the blocks, only
+files and row groups that hold a place are read, if these are few.
+
+Files are written by Spark's own committer into the shared folder, so a lost executor costs only its
+running tasks. Texts are moved once, by range of doc_id and then of text hash, so that one doc_id with
+very many rows is spread too; the index has one entry for each block that holds a key.
 
 Edge cases: null reads as empty text, which has the end id alone; rows without doc_id are kept
 and listed but have no key; rows that share a doc_id follow each other by text hash and one key
-finds them all; an empty table gives no block.
+finds them all; an empty table gives no block; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,12 +49,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from lectern.llm.batches import in_tasks, kept, shared_folder, slices
+from lectern.llm.batches import in_tasks, kept, saved, shared_folder, slices
+from lectern.llm.batches import write as store
 from lectern.llm.bpe import byte_letters
 from lectern.llm.words import mixed
 
@@ -64,13 +71,15 @@ _LETTERS = byte_letters()
 _ASCII = {b: _LETTERS[b] for b in range(128) if _LETTERS[b] != chr(b)}
 _BEYOND_LATIN = re.compile("[\x1c-\x1f]|[^\x00-\u024f]")
 KEYS_PER_BUCKET = 4
-#: Most bytes of block fences (two numbers each) that are sent to every executor for a lookup.
-FENCE_BYTES = 64 << 20
+#: Keys of an index bucket, about.
+BUCKET_KEYS = 4096
+#: Up to so many files hold a lookup's blocks, their numbers go to the scan as a filter.
+FILES = 1000
+#: Bytes of a row group of blocks: what a scan skips or reads as a whole.
+GROUP_BYTES = 8 << 20
 
-BLOCK = (
-    "part int, seq int, first long, last long, nulls long, width int, n_ids long, keys binary, rows binary, at binary, "
-    "pilots binary, prints binary, slots binary, payload binary"
-)
+BLOCK = "part int, seq int, nulls long, width int, n_ids long, keys binary, at binary, payload binary"
+INDEX = "bucket long, buckets long, pilots binary, prints binary, firsts binary, part binary, seq binary, row binary, rows binary"
 
 
 class Learned(dict):
@@ -216,29 +225,26 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pilots, prints, slots
 
 
+def find(keys: np.ndarray, pilots: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Of each key its slot, or -1 if another fingerprint is there."""
+    if not len(prints):
+        return np.full(len(keys), -1)
+    hashes = _hash(keys)
+    slot = _slot(hashes, pilots[(hashes >> np.uint64(32)) % np.uint64(len(pilots))], len(prints))
+    return np.where(prints[slot] == (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), slot, -1)
+
+
 class Block:
-    """Keyed access to one block."""
+    """Ids of a block's rows by their places."""
 
     def __init__(self, row: dict):
         ints = lambda name, kind: np.frombuffer(row[name], kind)
         self.part, self.seq, self.nulls = row["part"], row["seq"], row["nulls"]
-        self.keys, self.rows, self.at = ints("keys", "<i8"), ints("rows", "<i4"), ints("at", "<i8")
-        self.pilots, self.prints, self.slots = ints("pilots", "<u4"), ints("prints", "<u4"), ints("slots", "<u4")
+        self.keys, self.at = ints("keys", "<i8"), ints("at", "<i8")
         self.payload = ints("payload", "<u2" if row["width"] == 2 else "<u4")
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Of each key, its place in self.keys, or -1 if its fingerprint is not in its slot."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        hashes = _hash(keys)
-        slot = _slot(hashes, self.pilots[(hashes >> np.uint64(32)) % np.uint64(len(self.pilots))], len(self.keys))
-        place = self.slots[slot].astype(np.int64)
-        ok = (self.prints[slot] == (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)) & (self.keys[place] == keys)
-        return np.where(ok, place, -1)
-
-    def rows_of(self, place: int) -> range:
-        end = self.rows[place + 1] if place + 1 < len(self.rows) else len(self.at) - 1
-        return range(self.rows[place], end)
+    def key(self, row: int) -> int | None:
+        return None if row < self.nulls else int(self.keys[row - self.nulls])
 
     def ids(self, row: int) -> np.ndarray:
         return self.payload[self.at[row] : self.at[row + 1]]
@@ -246,13 +252,10 @@ class Block:
 
 def _block(part: int, seq: int, doc_ids: list, ids: list[bytes], dtype: np.dtype) -> dict:
     nulls = sum(d is None for d in doc_ids)
-    keys, rows = np.unique(np.array(doc_ids[nulls:], "<i8"), return_index=True)
-    pilots, prints, slots = build_index(keys)
     at = np.concatenate(([0], np.cumsum([len(x) // dtype.itemsize for x in ids]))).astype("<i8")
     return {
-        "part": part, "seq": seq, "first": int(keys[0]) if len(keys) else None, "last": int(keys[-1]) if len(keys) else None, "nulls": nulls,
-        "width": dtype.itemsize, "n_ids": int(at[-1]), "keys": keys.tobytes(), "rows": (rows + nulls).astype("<i4").tobytes(), "at": at.tobytes(),
-        "pilots": pilots.tobytes(), "prints": prints.tobytes(), "slots": slots.tobytes(), "payload": b"".join(ids),
+        "part": part, "seq": seq, "nulls": nulls, "width": dtype.itemsize, "n_ids": int(at[-1]),
+        "keys": np.array(doc_ids[nulls:], "<i8").tobytes(), "at": at.tobytes(), "payload": b"".join(ids),
     }
 
 
@@ -281,10 +284,42 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
         if ids:
             yield pa.RecordBatch.from_pylist([_block(part, seq, doc_ids, ids, own.dtype)], schema)
 
-    in_tasks(ordered, run, BLOCK, keeps=True).write.parquet(f"{path}/blocks")
+    store(in_tasks(ordered, run, BLOCK, keeps=True), f"{path}/blocks", compression="snappy", **{"parquet.block.size": GROUP_BYTES})
+    _write_index(docs.sparkSession, path)
     return path
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets).cast("bigint"))
+
+
+def _write_index(spark: SparkSession, path: str) -> None:
+    """The index of the blocks at `path`, made of their keys alone."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, first, rows = np.unique(np.frombuffer(row["keys"], "<i8"), return_index=True, return_counts=True)
+                same = [pa.array(np.full(len(keys), row[c], np.int32)) for c in ("part", "seq")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *same, pa.array((first + row["nulls"]).astype(np.int32)), pa.array(rows.astype(np.int32))], names=["doc_id", "part", "seq", "row", "rows"])
+
+    def build(group: pa.Table) -> pa.Table:
+        keys, which = np.unique(group.column("doc_id").to_numpy(), return_inverse=True)
+        pilots, prints, slots = build_index(keys)
+        slot_of = np.empty(len(keys), np.int64)
+        slot_of[slots] = np.arange(len(keys))
+        columns = {c: group.column(c).to_numpy() for c in ("part", "seq", "row", "rows")}
+        order = np.lexsort((columns["seq"], columns["part"], slot_of[which]))
+        firsts = np.concatenate(([0], np.cumsum(np.bincount(slot_of[which], minlength=len(keys))))).astype("<i4")
+        values = {"pilots": pilots, "prints": prints, "firsts": firsts} | {c: x[order].astype("<i4") for c, x in columns.items()}
+        return pa.table({"bucket": group.column("bucket")[:1], "buckets": pa.array([buckets], pa.int64())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in values.items()})
+
+    rows = in_tasks(blocks(spark, path).select("part", "seq", "nulls", "keys"), places, "doc_id long, part int, seq int, row int, rows int")
+    total = blocks(spark, path).agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+    buckets = max(1, -(-total // BUCKET_KEYS))
+    store(rows.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(build, INDEX), f"{path}/index")
+
+
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCK).parquet(f"{path}/blocks")
 
@@ -298,31 +333,32 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     return within.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("own")).alias("base"))
 
 
-def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False) -> DataFrame:
-    """(part, seq, doc_id, own, n_tokens, ids): every row of each block, or those of the keys in column `wanted`, by keyed access.
+def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False, only_nulls: bool = False) -> DataFrame:
+    """(part, seq, doc_id, own, n_tokens, ids): rows of each block: all, those without doc_id, or those at the places in column `wanted`.
 
     With `digest`, ids_crc32 in place of ids: the checksum of the ids as little-endian unsigned 32-bit integers.
     """
 
+    def places(row: dict, block: Block) -> list[int]:
+        if wanted is None:
+            return list(range(block.nulls if only_nulls else len(block.at) - 1))
+        return [r for w in row[wanted] if block.key(w["row"]) == w["doc_id"] for r in range(w["row"], w["row"] + w["rows"])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block, out = Block(row), []
-                asked = block.keys if wanted is None else np.unique(np.array(row[wanted], "<i8"))
-                listed = [(None, r) for r in range(block.nulls)] if wanted is None else []
-                for key, place in zip(asked.tolist(), block.find(asked).tolist()):
-                    if place >= 0:
-                        listed += [(key, r) for r in block.rows_of(place)]
+                block = Block(row)
+                listed = places(row, block)
                 for i in range(0, len(listed), 256):
                     out = listed[i : i + 256]
-                    found = [block.ids(r).astype("<u4") for _, r in out]
+                    found = [block.ids(r).astype("<u4") for r in out]
                     sizes = np.array([len(x) for x in found], np.int64)
                     if digest:
                         values = pa.array([zlib.crc32(x) for x in found], pa.int64())
                     else:
                         values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(found).view(np.int32)))
                     place = [pa.array(np.full(len(out), x, np.int32)) for x in (block.part, block.seq)]
-                    columns = [*place, pa.array([k for k, _ in out], pa.int64()), pa.array([int(block.at[r]) for _, r in out], pa.int64()), pa.array(sizes), values]
+                    columns = [*place, pa.array([block.key(r) for r in out], pa.int64()), pa.array([int(block.at[r]) for r in out], pa.int64()), pa.array(sizes), values]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
@@ -330,26 +366,38 @@ def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False) -> D
     return in_tasks(rows, run, f"part int, seq int, doc_id long, own long, n_tokens long, {kind}")
 
 
-def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """(part, seq, doc_id, own, n_tokens, ids or ids_crc32) of all documents; own counts the block's ids before the document."""
-    return _each(blocks(spark, path), digest=digest)
-
-
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """The same for the doc_ids in `keys` alone; ids that no file holds give no row.
-
-    Block fences go to every executor while they take at most FENCE_BYTES; beyond that, keys and
-    fences are put in order together and each key takes the last fence before it.
-    """
-    fences = blocks(spark, path).where("first is not null").select("part", "seq", "first", "last")
-    keys = keys.select("doc_id").where("doc_id is not null").distinct()
-    if fences.count() * 32 <= FENCE_BYTES:
-        placed = keys.join(F.broadcast(fences), (F.col("doc_id") >= F.col("first")) & (F.col("doc_id") <= F.col("last")))
-    else:
-        width = fences.agg(F.max(F.col("last") - F.col("first")) + 1).first()[0]
-        cell = lambda x: F.floor(F.col(x) / width)
-        near = fences.withColumn("cell", F.explode(F.sequence(cell("first"), cell("last"))))
-        placed = keys.withColumn("cell", cell("doc_id")).join(near, "cell").where("doc_id >= first and doc_id <= last")
-    wanted = placed.groupBy("part", "seq").agg(F.collect_list("doc_id").alias("wanted"))  # at most a block's rows
-    return _each(blocks(spark, path).join(wanted, ["part", "seq"]), "wanted")
-
+def read(spark: SparkSession, path: str, digest: bool = False, only_nulls: bool = False) -> DataFrame:
+    """(part, seq, doc_id, own, n_tokens, ids or ids_crc32) of all documents, or those without doc_id; own counts the block's ids before the document."""
+    rows = blocks(spark, path)
+    return _each(rows.where("nulls > 0") if only_nulls else rows, digest=digest, only_nulls=only_nulls)
+
+
+def places(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, part, seq, row, rows): where the index has the doc_ids in `keys`."""
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    buckets = index.select("buckets").first()
+
+    def locate(asked: pa.Table, bucket: pa.Table) -> pa.Table:
+        own = {c: np.frombuffer(bucket.column(c)[0].as_py() if bucket.num_rows else b"", kind) for c, kind in kinds.items()}
+        keys = asked.column("doc_id").to_numpy()
+        slot = find(keys, own["pilots"], own["prints"])
+        keys, slot = keys[slot >= 0], slot[slot >= 0]
+        n = np.diff(own["firsts"])[slot] if len(slot) else np.zeros(0, np.int64)
+        at = np.repeat(own["firsts"][slot] - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(slot) else np.zeros(0, np.int64)
+        return pa.table({"doc_id": pa.array(np.repeat(keys, n)), **{c: pa.array(own[c][at]) for c in ("part", "seq", "row", "rows")}})
+
+    kinds = {"pilots": "<u4", "prints": "<u4"} | dict.fromkeys(("firsts", "part", "seq", "row", "rows"), "<i4")
+    keys = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("bucket", _bucket(buckets.buckets if buckets else 1))
+    return keys.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(locate, "doc_id long, part int, seq int, row int, rows int")
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, digest: bool = False) -> DataFrame:
+    """What `read` gives, for the doc_ids in `keys` alone; ids that no file holds give no row."""
+    found = saved(places(spark, path, keys), "places")
+    rows = blocks(spark, path)
+    files = found.select("part").distinct().limit(FILES + 1).collect()
+    if len(files) <= FILES:
+        last = found.agg(F.min("seq"), F.max("seq")).first()
+        rows = rows.where(F.col("part").isin([r.part for r in files])).where(F.col("seq").between(*last)) if files else rows.where("false")
+    wanted = found.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "row", "rows")).alias("wanted"))  # at most a block's rows
+    return _each(rows.join(wanted.hint("shuffle_hash"), ["part", "seq"]), "wanted", digest)

@@ -2,12 +2,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lectern.llm import token_files
 
+from .conftest import SCHEMA
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 ENCODER = token_files.Encoder(PATH)
@@ -35,11 +38,10 @@ def test_index_is_minimal_and_perfect(keys):
     keys = np.array(sorted(keys), np.int64)
     pilots, prints, slots = token_files.build_index(keys)
     assert len(slots) == len(prints) == len(keys) and sorted(slots.tolist()) == list(range(len(keys)))
-    block = object.__new__(token_files.Block)
-    block.keys, block.pilots, block.prints, block.slots = keys, pilots, prints, slots
-    assert block.find(keys).tolist() == list(range(len(keys)))
+    found = token_files.find(keys, pilots, prints)
+    assert sorted(found.tolist()) == list(range(len(keys))) and (keys[slots[found]] == keys).all()
     others = np.array([k for k in range(-50, 50) if k not in set(keys.tolist())], np.int64)
-    assert (block.find(others) == -1).all()
+    assert (token_files.find(others, pilots, prints) == -1).all()
 
 
 def test_files_of_odd_rows(spark, odd_docs, odd_rows, monkeypatch):
@@ -56,18 +58,39 @@ def test_files_of_odd_rows(spark, odd_docs, odd_rows, monkeypatch):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
-def test_lookup(spark, odd_docs, odd_rows, monkeypatch):
+@pytest.mark.parametrize(("rows", "bucket", "files"), [(4096, 4096, 1000), (2, 3, 1000), (2, 3, 0)])
+def test_lookup(spark, odd_docs, odd_rows, monkeypatch, rows, bucket, files):
+    """Keys that are there, repeated, absent or null; one key's rows may lie in several blocks."""
+    for name, value in (("BLOCK_ROWS", rows), ("BUCKET_KEYS", bucket), ("FILES", files)):
+        monkeypatch.setattr(token_files, name, value)
+    more = [(15, f"again {i}", "en", "a", 1) for i in range(7)]
+    path = token_files.write(odd_docs.unionByName(spark.createDataFrame(more, SCHEMA)), PATH)
+    keys = spark.createDataFrame([(15,), (15,), (6,), (99,), (None,), (-4,)], "doc_id bigint")
+    want = sorted((r[0], ids_of(r[1])) for r in [*odd_rows, *more] if r[0] in (6, 15))
+    assert sorted((r.doc_id, r.ids) for r in token_files.lookup(spark, path, keys).collect()) == want
+    every = token_files.lookup(spark, path, odd_docs).unionByName(token_files.read(spark, path, only_nulls=True))
+    assert sorted((str(r.doc_id), r.ids) for r in every.collect()) == sorted((str(r[0]), ids_of(r[1])) for r in [*odd_rows, *more])
+    assert token_files.lookup(spark, path, keys.where("doc_id = 99")).count() == 0
+
+
+def test_a_key_is_turned_away_by_its_block(spark, odd_docs, monkeypatch):
+    """Should a fingerprint agree by chance, the block's own keys decide."""
+    path = token_files.write(odd_docs, PATH)
+    monkeypatch.setattr(token_files, "places", lambda s, p, k: s.createDataFrame([(77, 0, 0, 3, 1)], "doc_id long, part int, seq int, row int, rows int"))
+    assert token_files.lookup(spark, path, odd_docs).count() == 0
+
+
+def test_lookup_reads_only_what_holds_a_place(spark, odd_docs):
     path = token_files.write(odd_docs, PATH)
-    keys = spark.createDataFrame([(15,), (15,), (6,), (99,), (None,)], "doc_id bigint")
-    want = sorted((r[0], ids_of(r[1])) for r in odd_rows if r[0] in (6, 15))
-    for most in (token_files.FENCE_BYTES, 0):
-        monkeypatch.setattr(token_files, "FENCE_BYTES", most)
-        assert sorted((r.doc_id, r.ids) for r in token_files.lookup(spark, path, keys).collect()) == want
+    plan = token_files.lookup(spark, path, odd_docs.where("doc_id = 6"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(part" in plan or "EqualTo(part" in plan or "part#" in plan and "PushedFilters" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "seq" in plan.split("PushedFilters")[1].split("]")[0]
 
 
 def test_empty_table(spark, no_docs):
     path = token_files.write(no_docs, PATH)
     assert token_files.read(spark, path).count() == 0
+    assert token_files.lookup(spark, path, spark.createDataFrame([(1,)], "doc_id bigint")).count() == 0
 
 
 def test_query(spark):
