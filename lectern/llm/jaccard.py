@@ -49,6 +49,8 @@ BANDS, BAND_VALUES = 32, 4
 STEP_VALUES, TOLERANCE = 16, 1e-4
 #: Rows of a block, and bytes of its shingle sets, about; a task's group holds two blocks.
 BLOCK_ROWS, BLOCK_BYTES = 256, 16 << 20
+#: Groups of several blocks whose sizes are sent to every task at most; more are joined by key.
+LARGE_GROUPS = 500_000
 
 VALUES = BANDS * BAND_VALUES
 _SEEDS = mixed(np.arange(1, VALUES + 1, dtype=np.uint64))
@@ -143,12 +145,12 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None)
     return root
 
 
-def in_blocks(rows: DataFrame, group: str, size: str, bytes_: str, member: str) -> DataFrame:
-    """rows dealt to (group, lo, hi) for every two blocks of their group: a row meets each other row of its group once.
+def in_blocks(rows: DataFrame, size: str, bytes_: str, member: str) -> DataFrame:
+    """rows dealt to (lo, hi) for every two blocks of their group: a row meets each other row of its group once.
 
-    Adds `mine`, the row's own block. Groups of up to BLOCK_ROWS rows and BLOCK_BYTES bytes are one block.
+    Adds `mine`, the row's own block. Groups of up to BLOCK_ROWS rows and BLOCK_BYTES bytes, or of null size, are one block.
     """
-    n = F.greatest(F.ceil(F.col(size) / BLOCK_ROWS), F.ceil(F.col(bytes_) / BLOCK_BYTES)).cast("int")
+    n = F.coalesce(F.greatest(F.ceil(F.col(size) / BLOCK_ROWS), F.ceil(F.col(bytes_) / BLOCK_BYTES)), F.lit(1)).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64(member, F.lit(7)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
 
@@ -291,7 +293,10 @@ def exact_links(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
 
     sets = saved(with_columns(rows, "text", [T.StructField("shingles", T.BinaryType())], lambda: shingled, drop=True), "sets")
     sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    dealt = in_blocks(sets.join(sizes, "group"), "group", "n", "bytes", "rep")
+    large = saved(sizes.where((F.col("n") > BLOCK_ROWS) | (F.col("bytes") > BLOCK_BYTES)), "large")
+    large = F.broadcast(large) if large.limit(LARGE_GROUPS + 1).count() <= LARGE_GROUPS else large
+    # Dealt by the blocks' numbers too: a large group's blocks are to be many tasks.
+    dealt = in_blocks(sets.join(large, "group", "left"), "n", "bytes", "rep").repartition("group", "lo", "hi")
 
     def verify(rows: pa.Table) -> pa.Table:
         rep, mine, copies = (rows.column(c).to_numpy() for c in ("rep", "mine", "copies"))

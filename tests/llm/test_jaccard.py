@@ -51,11 +51,12 @@ def test_empty_table(no_docs):
     assert jaccard.keep_one(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("block", "size"), [(8, 16 << 20), (128, 16 << 20), (128, 6000)])
-def test_large_group_in_blocks(spark, monkeypatch, block, size):
+@pytest.mark.parametrize(("block", "size", "sent"), [(8, 16 << 20, 9), (128, 16 << 20, 9), (128, 6000, 0)])
+def test_large_group_in_blocks(spark, monkeypatch, block, size, sent):
     """A large group of near copies and one of exact copies; every link is counted though no task sees the group."""
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+    monkeypatch.setattr(jaccard, "LARGE_GROUPS", sent)
     base = prose(11, 80).split()
     rows = []
     for i in range(70):
