@@ -80,10 +80,10 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
     """Appends columns computed from the text column, row by row, with no shuffle; `drop` leaves the text behind in the task.
 
     make() runs once a task and returns a function of a string array (nulls stay null) that gives
-    one array per field. Fields must not clash with the columns of df.
+    one array per field. A field whose name df has already gets underscores in front.
     """
     kept = [c for c in df.columns if not (drop and c == text)]
-    schema = T.StructType([*[df.schema[c] for c in kept], *fields])
+    schema = T.StructType([*[df.schema[c] for c in kept], *fresh_fields(df.select(*kept), fields)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +104,10 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_fields(df: DataFrame, fields: list[T.StructField]) -> list[T.StructField]:
+    return [T.StructField(fresh_name(df, f.name), f.dataType) for f in fields]
+
+
 def crc_mod(doc_id: str | Column, m: int) -> Column:
     """crc32(doc_id as text) mod m; a null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -4,8 +4,9 @@ The decoder walks all frames in step, one sample of each at a time: Rice residua
 linear predictors, constant and verbatim subframes, wasted bits, stereo decorrelation. A seek table
 says where frames begin; frames between two seek points follow one after the other, so a stream
 without seek table decodes too, only with less at once. Header and frame checksums and the MD5 sum
-of the samples are verified. The encoder writes mono streams of fixed predictors with Rice
-residuals, or verbatim subframes where those are shorter, and a seek point for each frame.
+of the samples are verified. The encoder writes mono streams: of each frame the shortest of fixed
+predictors and a linear predictor fitted to it, with Rice residuals, or a verbatim subframe where that
+is shorter, and a seek point for each frame.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ import numpy as np
 
 BLOCK = 192
 SAMPLE_RATE = 8000
+#: Coefficients of the linear predictor that the encoder fits, their bits, and by how many they are scaled.
+ORDER, PRECISION, SHIFT = 4, 8, 6
+#: Frames that are encoded or decoded at once.
+FRAMES = 8192
 #: A metadata block's length has 24 bits.
 MAX_SEEK_POINTS = 900_000
 
@@ -76,26 +81,37 @@ def _utf8_number(n: int) -> bytes:
     return bytes([mark | n, *reversed(tail)])
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload: its bytes as 8-bit samples. Lengths must be positive multiples of BLOCK."""
-    counts = np.array([len(p) // BLOCK for p in payloads])
-    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK).astype(np.int16) - 128
-    number = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-    orders, ks = (0, 1, 2), np.arange(2, 8)
-    cost = np.empty((len(orders), len(ks), len(x)), np.int32)
-    zigzags = []
-    diff = x
-    for n, order in enumerate(orders):
-        u = ((diff << 1) ^ (diff >> 15)).view(np.uint16)
-        zigzags.append(u)
+def linear_predictors(x: np.ndarray) -> np.ndarray:
+    """Of each row of samples, ORDER coefficients times 2 ** SHIFT, by the Levinson-Durbin recursion on its autocorrelation."""
+    x = x.astype(np.float32)
+    r = np.stack([np.einsum("ij,ij->i", x[:, : x.shape[1] - k], x[:, k:]) for k in range(ORDER + 1)], axis=1).astype(float)
+    error = r[:, 0] * (1 + 1e-9) + 1e-9
+    a = np.zeros((len(x), ORDER))
+    for k in range(ORDER):
+        step = (r[:, k + 1] - (a[:, :k] * r[:, k:0:-1]).sum(axis=1)) / error
+        a[:, :k] -= step[:, None] * a[:, :k][:, ::-1]
+        a[:, k] = step
+        error = np.maximum(error * (1 - step**2), 1e-9)
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.rint(a * (1 << SHIFT)), -most, most).astype(np.int16)
+
+
+def _frames(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Frames of BLOCK 8-bit samples each, one after the other, and their sizes; number: of each frame in its stream."""
+    # Of each way to predict: warm-up samples, bits besides them and the residuals, and the residuals as unsigned numbers.
+    coefs = linear_predictors(x)
+    guess = sum(coefs[:, j, None].astype(np.int32) * x[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> SHIFT
+    ways = [(0, 0, x), (1, 0, np.diff(x, axis=1)), (2, 0, np.diff(x, n=2, axis=1)), (ORDER, 9 + ORDER * PRECISION, (x[:, ORDER:] - guess).astype(np.int16))]
+    zigzags = [((e << 1) ^ (e >> 15)).view(np.uint16) for _, _, e in ways]
+    ks = np.arange(2, 8)
+    cost = np.empty((len(ways), len(ks), len(x)), np.int32)
+    for n, (warm, extra, _) in enumerate(ways):
         for j, k in enumerate(ks):
-            cost[n, j] = (u >> k).sum(axis=1, dtype=np.int32) + (BLOCK - order) * (1 + k) + 8 * order
-        diff = np.diff(diff, axis=1)
+            cost[n, j] = (zigzags[n] >> k).sum(axis=1, dtype=np.int32) + (BLOCK - warm) * (1 + k) + 8 * warm + extra
     flat = cost.reshape(-1, len(x))
-    best = flat.argmin(axis=0)
-    verbatim = flat.min(axis=0) + 10 >= 8 * BLOCK
-    order = np.where(verbatim, 0, best // len(ks))
+    best, least = flat.argmin(axis=0), flat.min(axis=0)
+    verbatim = least + 10 >= 8 * BLOCK
+    way = best // len(ks)
     k = ks[best % len(ks)]
 
     heads = {}
@@ -103,28 +119,34 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         head = bytes([0xFF, 0xF8, 0x14, 0x02]) + _utf8_number(n)
         heads[n] = head + bytes([int(_CRC8.of(np.frombuffer(head, np.uint8)[None, :])[0])])
     head_bytes = np.array([len(heads[n]) for n in number.tolist()])
-    body_bits = 8 + np.where(verbatim, 8 * BLOCK, 10 + flat.min(axis=0))
+    body_bits = 8 + np.where(verbatim, 8 * BLOCK, 10 + least)
     size = head_bytes + (body_bits + 7) // 8 + 2
     ends = np.cumsum(size)
     starts = ends - size
     bits = np.zeros(int(ends[-1]) * 8, np.uint8)
 
+    def put(at: np.ndarray, value: np.ndarray | int, n: int) -> None:
+        for b in range(n):
+            bits[at + b] = value >> (n - 1 - b) & 1
+
     data_at = (starts + head_bytes) * 8
-    kind = np.where(verbatim, 0b00000010, (0b001000 | order) << 1)  # the subframe's first byte
-    for b in range(8):
-        bits[data_at + b] = kind >> (7 - b) & 1
+    kind = np.select([verbatim, way == 3], [1, 32 + ORDER - 1], 8 + way)
+    put(data_at, kind << 1, 8)  # the subframe's first byte
     at = data_at + 8
-    rice = np.flatnonzero(~verbatim)
-    for n in range(len(orders)):
-        mine = rice[order[rice] == n]
+    for n, (warm, extra, _) in enumerate(ways):
+        mine = np.flatnonzero(~verbatim & (way == n))
         if not len(mine):
             continue
-        for w in range(n):  # warm-up samples
-            for b in range(8):
-                bits[at[mine] + 8 * w + b] = x[mine, w] >> (7 - b) & 1
-        coded = at[mine] + 8 * n
-        for b in range(4):  # two bits of coding method and four of partition order are zero
-            bits[coded + 6 + b] = k[mine] >> (3 - b) & 1
+        for w in range(warm):
+            put(at[mine] + 8 * w, x[mine, w], 8)
+        coded = at[mine] + 8 * warm
+        if extra:
+            put(coded, PRECISION - 1, 4)
+            put(coded + 4, SHIFT, 5)
+            for j in range(ORDER):
+                put(coded + 9 + PRECISION * j, coefs[mine, j], PRECISION)
+            coded = coded + extra
+        put(coded + 6, k[mine], 4)  # two bits of coding method and four of partition order are zero
         u, kk = zigzags[n][mine].astype(np.int64), k[mine][:, None]
         q = u >> kk
         length = q + 1 + kk
@@ -134,14 +156,25 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             has = b < kk[:, 0]
             bits[stop[has] + 1 + b] = u[has] >> (kk[has] - 1 - b) & 1
     plain = np.flatnonzero(verbatim)
-    for b in range(8):
-        bits[at[plain][:, None] + 8 * np.arange(BLOCK) + b] = x[plain] >> (7 - b) & 1
+    put(at[plain][:, None] + 8 * np.arange(BLOCK), x[plain], 8)
     data = np.packbits(bits)
     for n in np.unique(head_bytes):
         own = np.flatnonzero(head_bytes == n)
         data[starts[own][:, None] + np.arange(n)] = np.frombuffer(b"".join(heads[i] for i in number[own].tolist()), np.uint8).reshape(-1, n)
     crc = _CRC16.of(_rows(data, starts, ends - 2))
     data[ends - 2], data[ends - 1] = crc >> 8, crc & 0xFF
+    return data.tobytes(), size
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream for each payload: its bytes as 8-bit samples. Lengths must be positive multiples of BLOCK. FRAMES at a time are worked on."""
+    counts = np.array([len(p) // BLOCK for p in payloads], np.int64)
+    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
+    number = np.arange(len(samples)) - np.repeat(np.cumsum(counts) - counts, counts)
+    made = [_frames(samples[a : a + FRAMES].astype(np.int16) - 128, number[a : a + FRAMES]) for a in range(0, len(samples), FRAMES)]
+    data, size = b"".join(d for d, _ in made), np.concatenate([n for _, n in made]) if made else np.zeros(0, int)
+    ends = np.cumsum(size)
+    starts = ends - size
 
     out, first = [], 0
     for payload, n in zip(payloads, counts.tolist()):
@@ -157,7 +190,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         layout = SAMPLE_RATE << 44 | 0 << 41 | 7 << 36 | n * BLOCK
         info = struct.pack(">HH", BLOCK, BLOCK) + sizes + struct.pack(">Q", layout) + md5
         table = points.tobytes()
-        out.append(b"fLaC" + struct.pack(">I", len(info)) + info + struct.pack(">I", 3 << 24 | 1 << 31 | len(table)) + table + data[a:b].tobytes())
+        out.append(b"fLaC" + struct.pack(">I", len(info)) + info + struct.pack(">I", 3 << 24 | 1 << 31 | len(table)) + table + data[a:b])
         first += n
     return out
 
@@ -347,10 +380,12 @@ def decode(streams: list[bytes | None]) -> list[Stream]:
     reader, found = _Reader(data), []
     stream, at, end = np.array(segment_stream, np.int64), np.array(segment_at, np.int64), np.array(segment_end, np.int64)
     while len(at):
+        rest = [x[FRAMES:] for x in (stream, at, end)]
+        stream, at, end = (x[:FRAMES] for x in (stream, at, end))
         after, frames = _wave(reader, data, stream, at, end, own_bits, out)
         found += frames
         go = (after > 0) & (after < end)
-        stream, at, end = stream[go], after[go], end[go]
+        stream, at, end = (np.concatenate(x) for x in zip((stream[go], after[go], end[go]), rest))
     frames_of: list[list] = [[] for _ in streams]
     for n, offset, x in found:
         frames_of[n].append((offset, x))

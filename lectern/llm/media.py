@@ -1,10 +1,13 @@
 """Media columns: FLAC streams in a binary column, and the PCM blocks in them.
 
 Texts can be stored as sound: their UTF-8 bytes, filled up with blanks, are 8-bit samples of a FLAC
-stream. A stream column decodes to PCM, to one row per block with seekable offsets, or to features.
+stream. A stream column decodes to PCM blocks: runs of frames of bounded size, each with the sample at
+which it begins and the byte offset of its first frame, so that a player can seek to either. The blocks
+are a column of their stream's row or rows of their own.
 
-Edge cases: null and empty texts store one block of blanks; a null or damaged stream has null PCM
-and an error; repeated rows get equal results; other columns pass through; nothing is shuffled.
+Edge cases: null and empty texts store one block of blanks; a null or damaged stream has no block
+and an error; repeated rows get equal results; other columns pass through; a new column whose name is taken
+gets underscores in front; nothing is shuffled. A stream is decoded as a whole, as its row is one value.
 """
 
 from __future__ import annotations
@@ -13,15 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import flac
-from lectern.llm.batches import in_tasks, slices, with_columns
+from lectern.llm.batches import fresh_fields, in_tasks, slices, with_columns
 from lectern.llm.words import buffers
 
 #: Stream bytes that are decoded at once.
 SLICE = 1 << 20
+#: PCM bytes of a block, about; a frame is never cut.
+BLOCK_BYTES = 1 << 16
+
+BLOCK = "struct<first_sample: bigint, n_samples: bigint, byte_offset: bigint, pcm: binary>"
+_ARROW = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
 
 
 def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -50,44 +59,41 @@ def feature(s: flac.Stream) -> str:
     return f"rms={rms:.4f};zero={crossings:.6f};rough={rough:.4f};peak={int(np.abs(x).max())};blocks={len(s.blocks)}"
 
 
-def read_pcm(rows: DataFrame, media: str = "media") -> DataFrame:
-    """rows with pcm, sample_rate, channels, bits, feature, error of each stream; the stored bytes are decoded and verified."""
-    fields = "pcm binary, sample_rate int, channels int, bits int, feature string, error string"
-    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(fields).fields])
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+def blocks_of(s: flac.Stream) -> list[dict]:
+    """PCM blocks of a decoded stream: its frames in runs of BLOCK_BYTES or one frame."""
+    pcm, size, out = s.pcm(), s.channels * -(-s.bits // 8), []
+    for first, n, offset in s.blocks:
+        if out and (out[-1]["n_samples"] + n) * size <= BLOCK_BYTES:
+            out[-1]["n_samples"] += n
+        else:
+            out.append({"first_sample": first, "n_samples": n, "byte_offset": offset})
+    return [b | {"pcm": pcm[b["first_sample"] * size : (b["first_sample"] + b["n_samples"]) * size]} for b in out]
+
+
+def with_pcm(rows: DataFrame, media: str = "media") -> DataFrame:
+    """rows with blocks (array of BLOCK), sample_rate, channels, bits, feature, error of each stream; the stored bytes are decoded and verified."""
+    fields = T.StructType.fromDDL(f"blocks array<{BLOCK}>, sample_rate int, channels int, bits int, feature string, error string").fields
+    schema = T.StructType([*rows.schema.fields, *fresh_fields(rows, fields)])
+    kinds = [_ARROW, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, media, SLICE):
                 found = flac.decode(part.column(media).to_pylist())
-                out = [(None, None, None, None, None, s.error) if s.error else (s.pcm(), s.sample_rate, s.channels, s.bits, feature(s), None) for s in found]
+                out = [([], None, None, None, None, s.error) if s.error else (blocks_of(s), s.sample_rate, s.channels, s.bits, feature(s), None) for s in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=schema.names)
 
     return in_tasks(rows, run, schema)
 
 
-def pcm_blocks(rows: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """(key, block, first_sample, n_samples, byte_offset, pcm): a row per frame.
+def whole(blocks: Column) -> Column:
+    """The samples of all blocks, in order."""
+    in_order = F.array_sort(F.transform(blocks, lambda b: F.struct(b["first_sample"].alias("at"), F.hex(b["pcm"]).alias("hex"))))
+    return F.unhex(F.array_join(F.transform(in_order, lambda b: b["hex"]), ""))
 
-    first_sample is where the block begins in the decoded samples, byte_offset where its frame begins in the
-    stream, so that either can be sought alone. Damaged streams have no row.
-    """
-    kind = rows.schema[key]
-    schema = T.StructType([kind, *T._parse_datatype_string("block long, first_sample long, n_samples long, byte_offset long, pcm binary").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.select([key, media]), media, SLICE):
-                keys = part.column(key)
-                for n, s in enumerate(flac.decode(part.column(media).to_pylist())):
-                    if s.error or not s.blocks:
-                        continue
-                    pcm, size = s.pcm(), s.channels * -(-s.bits // 8)
-                    first, count, offset = (list(x) for x in zip(*s.blocks))
-                    pieces = [pcm[a * size : (a + c) * size] for a, c in zip(first, count)]
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array([n] * len(first))), pa.array(range(len(first)), pa.int64()), *[pa.array(x, pa.int64()) for x in (first, count, offset)], pa.array(pieces, pa.binary())],
-                        names=schema.names,
-                    )
-
-    return in_tasks(rows.select(key, media), run, schema)
+def pcm_blocks(rows: DataFrame, key: str, media: str = "media") -> DataFrame:
+    """(key, first_sample, n_samples, byte_offset, pcm): a row per block. Damaged streams have no row."""
+    names = [key, media]
+    found = with_pcm(rows.select(*names), media)
+    return found.select(key, F.explode(found.columns[2]).alias("block")).select(key, "block.*")

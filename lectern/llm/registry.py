@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, jaccard, language, lm_score, media, pii, sharding, token_files, toxicity
-from lectern.llm.batches import crc_mod
+from lectern.llm.batches import crc_mod, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,18 +97,20 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and digests of every document's payload as read back from its FLAC stream, of the stream, and features."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = media.read_pcm(media.store_texts(docs))
+    """Sizes and digests of every document's payload, as read back from the PCM blocks of its stored FLAC stream, of the stream, and features."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
+    stored = saved(media.store_texts(docs).drop("text"), "streams")
+    out = media.with_pcm(stored).withColumn("pcm", media.whole(F.col("blocks")))
     return out.select(
         "doc_id",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        "n_bytes",
         F.octet_length("pcm").cast("bigint").alias("payload_bytes"),
         F.sha2("pcm", 256).alias("payload_sha256"),
         F.crc32(F.substring("pcm", -16, 16)).alias("tail_crc32"),
         F.octet_length("media").cast("bigint").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.size("blocks").alias("n_blocks"),
         "error",
     )
 

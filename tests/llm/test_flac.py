@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import flac, media
 
@@ -146,18 +147,53 @@ def test_constant_wasted_bits_and_short_last_frame():
 
 
 def test_columns(spark, odd_docs, no_docs, odd_rows):
-    docs = odd_docs.withColumnRenamed("source", "blocks")
-    out = media.read_pcm(media.store_texts(docs))
-    for r in out.collect():
-        assert r.error is None and bytes(r.pcm) == padded((r.text or "").encode())
-    blocks = media.pcm_blocks(media.store_texts(docs.where("doc_id = 14")), "doc_id").orderBy("block").collect()
-    assert b"".join(bytes(r.pcm) for r in blocks) == padded(odd_rows[15][1].encode())
-    assert media.read_pcm(media.store_texts(no_docs)).count() == 0
+    docs = odd_docs.withColumnRenamed("source", "blocks").withColumnRenamed("lang", "media")
+    stored = media.store_texts(docs)
+    out = media.with_pcm(stored, "_media")
+    assert out.columns == [*docs.columns, "_media", "_blocks", "sample_rate", "channels", "bits", "feature", "error"]
+    for r in out.withColumn("pcm", media.whole(F.col("_blocks"))).collect():
+        payload = padded((r.text or "").encode())
+        assert r.error is None and bytes(r.pcm) == payload
+        at = 0
+        for b in r["_blocks"]:  # each can be sought by its sample or by its byte
+            assert b.first_sample == at and b.n_samples % 192 == 0 and 0 < b.n_samples <= media.BLOCK_BYTES and bytes(b.pcm) == payload[at : at + b.n_samples]
+            assert bytes(r["_media"])[b.byte_offset : b.byte_offset + 2] == b"\xff\xf8"
+            at += b.n_samples
+        assert at == len(payload)
+    blocks = media.pcm_blocks(stored.where("doc_id = 6"), "doc_id", "_media").orderBy("first_sample").collect()
+    assert b"".join(bytes(r.pcm) for r in blocks) == padded(odd_rows[5][1].encode()) and len(blocks) > 1
+    assert media.with_pcm(media.store_texts(no_docs)).count() == 0
     broken = spark.createDataFrame([(1, None), (2, b"xyz")], "doc_id long, media binary")
-    assert [(r.pcm, bool(r.error)) for r in media.read_pcm(broken).collect()] == [(None, True)] * 2
+    assert [(r.blocks, bool(r.error)) for r in media.with_pcm(broken).collect()] == [([], True)] * 2
     assert media.pcm_blocks(broken, "doc_id").count() == 0
 
 
+def test_encoder_uses_linear_predictors():
+    """A slow wave is shorter by a fitted predictor; the decoder gives it back, and more frames than are worked on at once."""
+    wave = bytes((128 + 90 * np.sin(np.arange(192 * 50) / 9) + np.random.default_rng(1).integers(-2, 3, 192 * 50)).astype(np.uint8))
+    raw = flac.encode([wave])[0]
+    stream = flac.decode([raw])[0]
+    kinds = {raw[offset + 6] >> 1 & 0x3F for _, _, offset in stream.blocks if raw[offset + 4] < 128}  # the subframe's first byte
+    assert stream.pcm() == wave and 32 + flac.ORDER - 1 in kinds
+    x = np.array([[*range(10), *range(10)]])
+    assert (np.abs(flac.linear_predictors(np.zeros((1, 192), np.int16))) == 0).all() and flac.linear_predictors(x).shape == (1, flac.ORDER)
+
+
+def test_few_frames_at_once(monkeypatch):
+    whole = flac.encode(PAYLOADS)
+    monkeypatch.setattr(flac, "FRAMES", 3)
+    assert flac.encode(PAYLOADS) == whole
+    assert [s.pcm() for s in flac.decode(whole)] == PAYLOADS and flac.encode([]) == []
+
+
+def plain_feature(payload, blocks):
+    x = [b - 128 for b in payload]
+    steps = list(zip(x, x[1:]))
+    rms = (sum(v * v for v in x) / len(x)) ** 0.5
+    zero, rough = sum((a >= 0) != (b >= 0) for a, b in steps) / len(steps), sum(abs(b - a) for a, b in steps) / len(steps)
+    return f"rms={rms:.4f};zero={zero:.6f};rough={rough:.4f};peak={max(map(abs, x))};blocks={blocks}"
+
+
 def test_query(spark):
     from lectern.llm.registry import QUERIES
 
@@ -167,6 +203,7 @@ def test_query(spark):
         payload = padded(raw)
         stored = flac.encode([payload])[0]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.feature, r.error, r.n_blocks) == (plain_feature(payload, len(payload) // 192), None, -(-(len(payload) // 192) // 341))
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
 
 
