@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from lectern.llm.words import mixed, words_of
 WEIGHT, FLOOR = 8.0, 0.5
 #: Text of a block, whose distinct words and pairs are listed once; one longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Blocks are scored in so many turns, which limits the disk that shuffles take at one time.
+TURNS = 3
 #: Target ids that are sent to every task at most; a longer list is joined by key.
 TARGET_ROWS = 4_000_000
 
@@ -134,15 +137,16 @@ def _counted(texts: pa.Array, side: np.ndarray) -> tuple[np.ndarray, list[np.nda
 
 
 def lists(blocks: DataFrame) -> DataFrame:
-    """(block, key, t, b): each block's distinct words, beginnings and pairs, with their occurrences."""
+    """(block, key, n): each block's distinct words, beginnings and pairs, with their occurrences in target (upper 32 bits) and background texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, waiting = None, []
 
         def out() -> pa.RecordBatch:
             keys, counts = _summed(*(np.concatenate(x) for x in zip(*waiting)))
-            columns = [np.full(len(keys), block), keys.view(np.int64), *counts.astype(np.int64).T]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["block", "key", "t", "b"])
+            n = counts[:, 0].astype(np.int64) << 32 | counts[:, 1]
+            order = np.argsort(n, kind="stable")  # rows that differ in their key alone are moved in the fewest bytes
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(keys.view(np.int64)[order]), pa.array(n[order])], names=["block", "key", "n"])
 
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -157,7 +161,12 @@ def lists(blocks: DataFrame) -> DataFrame:
         if waiting:
             yield out()
 
-    return in_tasks(blocks.select("text", "side", "block"), run, "block long, key long, t long, b long")
+    return in_tasks(blocks.select("text", "side", "block"), run, "block long, key long, n long")
+
+
+def _sums() -> tuple[Column, Column]:
+    """Occurrences in target and background texts over the rows of lists."""
+    return F.sum(F.shiftright("n", 32)), F.sum(F.col("n").bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,16 +185,17 @@ def _models(counts: DataFrame, words: Column) -> Models:
 
 def fit(blocks: DataFrame) -> Models:
     """Models for other documents, as one table of all counts; blocks: from in_blocks, with targets."""
-    return _models(saved(lists(blocks).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "counts"), F.lit(True))
+    return _models(saved(lists(blocks).groupBy("key").agg(*[c.alias(x) for c, x in zip(_sums(), "tb")]), "counts"), F.lit(True))
 
 
 def fit_own(blocks: DataFrame) -> Models:
     """Models for the documents they count. The table has each block's words, and its pairs that other blocks have too."""
     key = Window.partitionBy("key").orderBy("block")
     all_ = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.col("t") + F.col("b")
-    met = lists(blocks).select("block", "key", F.sum("t").over(all_).alias("t"), F.sum("b").over(all_).alias("b"), n.alias("n"), (F.row_number().over(key) == 1).alias("first"))
-    met = met.where((n > F.col("n")) | (F.col("key").bitwiseAND(F.lit(1)) == 1)).drop("n")
+    t, b = _sums()
+    shared = F.max("block").over(all_) != F.min("block").over(all_)
+    met = lists(blocks).select("block", "key", t.over(all_).alias("t"), b.over(all_).alias("b"), shared.alias("shared"), (F.row_number().over(key) == 1).alias("first"))
+    met = met.where(F.col("shared") | (F.col("key").bitwiseAND(F.lit(1)) == 1)).drop("shared")
     return _models(saved(met, "counts"), F.col("first"))
 
 
@@ -238,7 +248,9 @@ def score(blocks: DataFrame, models: Models) -> DataFrame:
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "score")]])
     names = schema.names
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(one, schema)
+    turn = F.pmod(F.xxhash64("block"), F.lit(TURNS))
+    scored = [saved(blocks.where(turn == k).groupBy("block").cogroup(found.where(turn == k).groupBy("block")).applyInArrow(one, schema), "scored") for k in range(TURNS)]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def compare(docs: DataFrame, targets: DataFrame) -> DataFrame:

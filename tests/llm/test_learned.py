@@ -111,7 +111,7 @@ def entropy(rows, targets, new=()):
 
 
 def close(got, want):
-    key = lambda x: (str(x[0]), x[1], round(x[2] or 0, 6))
+    key = lambda x: (str(x[0]), x[1], round(x[2] or 0, 6), round(x[3] or 0, 6))
     got, want = sorted((tuple(r) for r in got), key=key), sorted(want, key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want):
