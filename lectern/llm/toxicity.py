@@ -3,7 +3,9 @@
 Every text becomes a short vector: densities of an insult lexicon and of a lexicon learned
 from the labels, second-person words near lexicon words, capitals, punctuation, and
 obfuscation. Spark ML fits trees and calibration on a bounded sample of labelled rows and
-applies them in the JVM; scoring has no shuffle.
+applies them in the JVM; scoring has no shuffle. A quarter of the sample is set aside for the calibration:
+neither lexicon nor trees are learned from it. With fewer than LEAST_KIND labels of one kind nothing is
+set aside, and all three are learned from all of the sample.
 
 Edge cases: null and empty texts have the zero vector and are scored like any other; a null
 label, or a label of an unknown document, is not learned from; repeated labels of a document
@@ -29,6 +31,8 @@ from lectern.llm.words import Words, buffers, words_of
 
 #: Labelled documents that are learned from at most: those with the lowest hash of their id.
 MAX_LABELLED = 20_000
+#: Labels of each kind from which on some are set aside for calibration.
+LEAST_KIND = 40
 #: Entries of the learned lexicon, and what a stem must show to enter it.
 LEXICON_SIZE, LEAST_DOCUMENTS, LEAST_Z = 512, 8, 6.0
 #: A stem is a word, or its first so many bytes.
@@ -36,10 +40,10 @@ STEM_BYTES = (4, 5, 6, 7, 8)
 NEAR_WORDS = 5
 WINDOW_WORDS = 64
 
-#: Common insults, and second-person words.
+#: Some common insults, one feature among others, and second-person words.
 INSULTS = "idiot idiots moron morons stupid dumb fool loser losers trash scum clown pathetic worthless disgusting ugly jerk creep freak imbecile dimwit filth vermin lowlife garbage coward liar".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros".split()
-#: Signs that stand for letters in disguised words.
+#: Signs that stand for letters in disguised words.
 DISGUISE = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"}
 
 FEATURES = (
@@ -200,18 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = known.withColumn("pick", F.xxhash64("doc_id")).orderBy("pick", "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_labelled small rows
     rows = saved(rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("pick").alias("pick"), F.min("text").alias("text")), "labelled")
-    lexicon, weights = learn_lexicon(rows)
     kinds = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(kinds) < 2:
-        return Toxicity(lexicon, weights, None, None, float(max(kinds, default=0)))
+        return Toxicity(np.zeros(0, np.uint64), np.zeros(0), None, None, float(max(kinds, default=0)))
+    calibrating = fitting = F.lit(True)
+    if min(kinds.values()) >= LEAST_KIND:
+        calibrating = F.pmod(F.shiftright("pick", 8), F.lit(4)) == 0
+        fitting = ~calibrating
+    lexicon, weights = learn_lexicon(rows.where(fitting))
     table = with_features(rows, "features", lexicon, weights).select("toxic", "pick", array_to_vector("features").alias("features"))
     table = saved(table.repartition(8, "pick"), "features")
-    calibrating = F.pmod(F.shiftright("pick", 8), F.lit(4)) == 0
-    if min(kinds.values()) < 40:  # too few to set any aside
-        calibrating = F.lit(True)
-        fitting = F.lit(True)
-    else:
-        fitting = ~calibrating
     trees = GBTClassifier(labelCol="toxic", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(table.where(fitting))
     margin = vector_to_array("rawPrediction")[1]
     scored = trees.transform(table.where(calibrating)).select(F.col("toxic").cast("double").alias("label"), margin.alias("margin"))
