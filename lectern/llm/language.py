@@ -7,11 +7,12 @@ of one language differ in kind. The nearest centroid by cosine names the languag
 from it than nearly all training texts of that language were is marked as rejected.
 
 Document frequencies count all training documents; centroids are fitted on a bounded sample of each
-language: those with the lowest hash of their id.
+language, drawn by the rows' hashes.
 
 Edge cases: null texts and texts without a letter are `und`, score 0, rejected; null languages are
 not learned from; with no training document at all every text is `und`. A third of all rows may have
-one language: only its bounded sample meets in one task. Other columns pass through.
+one language: only its bounded sample meets in one task; so too if a third are one repeated row, as each
+repeat is drawn by itself. Other columns pass through; a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
@@ -112,15 +113,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.array([found.get(k, 0) for k in range(DIMENSIONS)]), found.get(-1, 0)
 
 
-def sample(docs: DataFrame, most: int) -> DataFrame:
-    """About `most` documents of each language, those of the lowest hash; docs: doc_id, text, lang. Fewer if there are fewer.
+def sample(docs: DataFrame, most: int, many: int = MANY) -> DataFrame:
+    """About `most` documents of each language, drawn by hash; docs: doc_id, text, lang. Fewer if there are fewer.
 
     A threshold for each language's hash lets through slightly more than are wanted, so no language has to be sorted.
     """
     sizes = saved(docs.groupBy("lang").count(), "languages")
-    sizes = F.broadcast(sizes) if sizes.limit(MANY + 1).count() <= MANY else sizes
+    sizes = F.broadcast(sizes) if sizes.limit(many + 1).count() <= many else sizes
     share = F.least(F.lit(1.0), F.lit(1.2 * most) / F.col("count"))
-    pick = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    row = F.monotonically_increasing_id()  # rows that are equal otherwise are drawn each by itself
+    pick = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text", row), F.lit(1 << 30)) / (1 << 30)
     return docs.withColumn("pick", pick).join(sizes, "lang").where(F.col("pick") < share).select("lang", "pick", "text")
 
 
