@@ -8,10 +8,11 @@ below it. A word's tokens are read back from its end. The cost is linear in a wo
 
 Vocabularies: files of the tokenizers library whose model is BPE, here with lower-casing,
 white space dropped and an end-of-word mark. Decoding joins the tokens' names by blanks, as
-the library does for a file without decoder.
+the library does for a file without decoder. Files of another kind are refused.
 
 Edge cases: null reads as empty text and has no token; special tokens' names in a text become
-their ids; repeated rows get equal results; other columns pass through.
+their ids; repeated rows get equal results; other columns pass through; a new column whose name is taken
+gets underscores in front.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lectern.llm.batches import in_tasks, kept, with_columns
+from lectern.llm.batches import fresh_fields, in_tasks, kept, with_columns
 
-#: Encoded pieces (and words) that a task keeps of the last two turns, each at most.
-KEPT = 80_000
+#: Encoded pieces (and words) that a task keeps of the last two turns, each at most, and their characters; longer ones hardly come twice.
+KEPT, KEPT_CHARACTERS = 80_000, 64
 #: Pairs of tokens whose compatibility a task keeps.
 KEPT_PAIRS = 200_000
 #: White space to Python, but not to the vocabulary's pattern.
@@ -63,17 +64,44 @@ class Recent:
             self.now[key] = self.before[key]
         return unknown - self.before.keys()
 
-    def turn(self) -> None:
+    def turn(self, new: set[str]) -> None:
+        """The end of a turn in which `new` came in."""
+        for key in new:
+            if len(key) > KEPT_CHARACTERS:
+                del self.now[key]
         if len(self.now) > self.most:
             self.now, self.before = {}, self.now
 
 
+def check_vocabulary(spec: dict, kind: dict) -> None:
+    """Raises unless the file's parts are those that the walk is written for."""
+    model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    found = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "post_processor": spec["post_processor"]}
+    odd = [k for k, v in plain.items() if model.get(k) != v] + [k for k, v in kind.items() if found[k] != v]
+    odd += ["added_tokens" for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"this vocabulary is of another kind: {', '.join(sorted(set(odd)))}")
+
+
+#: What the files of word vocabularies have besides the model. The pattern may be any.
+def _word_vocabulary(spec: dict) -> dict:
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": steps[0].get("pattern"), "behavior": "Removed", "invert": True}
+    letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    return {"normalizer": {"type": "Sequence", "normalizers": normal}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, letters]}, "post_processor": None}
+
+
 class TrieEncoder:
     """Encodes words of one vocabulary file; keeps the compatibility of token pairs it has met."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_vocabulary(spec, _word_vocabulary(spec))
+        if spec["decoder"] is not None:
+            raise ValueError("this vocabulary is of another kind: decoder")
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -209,8 +237,8 @@ class TrieEncoder:
         for name, i in self.special.items():
             pieces[name] = struct.pack("<i", i)
         out = [b"".join(map(pieces.__getitem__, x)) for x in cut]
-        self.known.turn()
-        self.pieces.turn()
+        self.known.turn(fresh)
+        self.pieces.turn(new)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -273,7 +301,7 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encoded with a column of the text that its ids stand for; a null array reads as empty."""
-    schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.StringType())])
+    schema = T.StructType([*encoded.schema.fields, *fresh_fields(encoded, [T.StructField(decoded, T.StringType())])])
 
     def run(batches):
         own = encoder(path)

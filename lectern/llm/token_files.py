@@ -37,6 +37,7 @@ finds them all; an empty table gives no block; columns besides doc_id and text a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -56,7 +57,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm.batches import in_tasks, kept, saved, shared_folder, slices
 from lectern.llm.batches import write as store
-from lectern.llm.bpe import byte_letters
+from lectern.llm.bpe import KEPT_CHARACTERS, byte_letters, check_vocabulary
 from lectern.llm.words import mixed
 
 #: A block ends after so many ids or rows.
@@ -64,6 +65,7 @@ BLOCK_IDS, BLOCK_ROWS = 1 << 20, 4096
 END_ID = 0
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _RUNS = re.compile(r"\s (?!\S)")
 _DOUBLE = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
 _SIGNS = frozenset(",.;:!?")
@@ -92,7 +94,7 @@ class Learned(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        if "\n" not in key:  # hardly any comes twice
+        if len(key) <= KEPT_CHARACTERS and "\n" not in key:  # others hardly come twice
             self[key] = value
         return value
 
@@ -113,11 +115,12 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        with open(path, encoding="utf-8") as f:
+            check_vocabulary(json.load(f), {"normalizer": None, "pre_tokenizer": _BYTE_LEVEL, "post_processor": None})
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.simple = self.library.normalizer is None and self.library.pre_tokenizer is not None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.merge = self.library.model.tokenize
@@ -166,7 +169,7 @@ class Encoder:
         out, at = [], []
         heads, rest = self.heads, self.pieces.__getitem__
         for text in texts:
-            if not self.simple or self._runs(text) or any(x in text for x in self.special):
+            if self._runs(text) or any(x in text for x in self.special):
                 at.append(len(out))
                 out.append(text)
             else:
