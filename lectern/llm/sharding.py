@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.batches import fresh_name, saved, shared_folder
+from lectern.llm.batches import fresh_name, saved, shared_folder, write
 
 KEY_BITS, SALT_BITS = 63, 11
 #: Each cell is cut in so many, 2 ** 9.
@@ -144,7 +144,7 @@ def _size(text: Column) -> Column:
 def _written(rows: DataFrame) -> DataFrame:
     """rows written to the shared folder, one folder per shard, and read again."""
     path = f"{shared_folder(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
-    rows.write.partitionBy("shard").parquet(path)
+    write(rows, path, "shard")
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -1,13 +1,15 @@
 import hashlib
+import json
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe
+from lectern.llm import bpe, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -45,6 +47,28 @@ def test_memory_is_bounded():
         got = own.encode(texts)
         assert [np.frombuffer(x, "<i4").tolist() for x in got] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
         assert len(own.pieces.now) <= 50
+    same(["x" * 5000 + " word", "y" * 65 + " " + "z" * 64])
+    for known in (ENCODER.pieces, ENCODER.known):
+        assert max(map(len, known.now)) <= bpe.KEPT_CHARACTERS
+
+
+@pytest.mark.parametrize("part, value", [("normalizer", None), ("post_processor", {"type": "x"}), ("decoder", {"type": "ByteLevel"}), ("model", {"dropout": 0.1})])
+def test_other_files_are_refused(tmp_path, part, value):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec[part] = spec[part] | value if part == "model" else value
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="dropout" if part == "model" else part):
+        bpe.TrieEncoder(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        token_files.Encoder(PATH)
+
+
+def test_names_that_are_taken(odd_docs):
+    docs = odd_docs.withColumnRenamed("source", "ids").withColumnRenamed("lang", "decoded").where("doc_id = 8")
+    out = bpe.encode_and_decode(docs, PATH)
+    assert out.columns == [*docs.columns, "_ids", "_decoded"] and out.first()["_decoded"]
+    assert bpe.decode(bpe.encode(docs, PATH), PATH, "_ids").columns == out.columns
 
 
 def test_operator(odd_docs, no_docs):

@@ -53,6 +53,42 @@ def test_toxicity_features():
     assert not any(row(None).values()) and not any(row("").values())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_toxicity_features_against_plain_counts(seed):
+    r = np.random.default_rng(seed)
+    pool = ["you", "Your", "IDIOT", "moron", "calm", "Tisch", "été", "dich", "SHOUT", "x!", "a.b", "LOSER!!", "ok,", "trash", "die", "1", "Über"]
+    text = " ".join(r.choice(pool, 60))
+    got = dict(zip(toxicity.FEATURES, toxicity.features(pa.array([text]), np.zeros(0, np.uint64), np.zeros(0))[0]))
+    words = re.findall(r"[^\W_]+", text.lower())
+    insult, you = [w in toxicity.INSULTS for w in words], [w in toxicity.SECOND_PERSON for w in words]
+    near = [insult[i] and any(you[max(0, i - toxicity.NEAR_WORDS) : i + toxicity.NEAR_WORDS + 1]) for i in range(len(words))]
+    raw = text.encode()
+    want = {
+        "insult_density": sum(insult) / len(words), "second_person": sum(you) / len(words), "near_second_person": sum(near) / len(words),
+        "hit_words": math.log1p(sum(insult)), "peak": max(sum(insult[i : i + toxicity.WINDOW_WORDS]) for i in range(len(words))) / toxicity.WINDOW_WORDS,
+        "capitals": sum(65 <= b <= 90 for b in raw) / len(raw), "exclamations": raw.count(b"!") / len(raw),
+        "capital_words": sum(len(x) for x in re.findall(rb"[A-Z]{3,}", raw)) / len(raw), "log_words": math.log1p(len(words)),
+        "word_length": sum(len(w.encode()) for w in words) / len(words), "learned_density": 0.0, "learned_weight": 0.0,
+        "punctuation": sum(chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in raw) / len(raw),
+    }
+    assert {k: got["learned_peak" if k == "peak" else k] for k in want} == pytest.approx(want)
+
+
+def test_calibration_is_learned_apart(spark, monkeypatch):
+    """Rows that calibrate teach neither lexicon nor trees, and the calibrated score never falls where the trees' margin rises."""
+    bad = lambda i: i % 4 == 0
+    docs = spark.createDataFrame([(i, prose(i, 30) + (" gruntle" * 2 if bad(i) else "")) for i in range(800)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(bad(i))) for i in range(800)], "doc_id bigint, toxic int")
+    learned, plain = [], toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda rows: learned.append({r.pick for r in rows.collect()}) or plain(rows))
+    model = toxicity.fit(docs, labels)
+    assert 400 < len(learned[0]) < 750 and not any((p >> 8) % 4 == 0 for p in learned[0])
+    limits, values = model.calibration.boundaries.toArray().tolist(), model.calibration.predictions.toArray().tolist()
+    assert limits == sorted(limits) and values == sorted(values)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(scores[i] for i in scores if bad(i)) > 0.5 > max(scores[i] for i in scores if not bad(i))
+
+
 def test_language_on_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = QUERIES["op7_language"](spark, DATA).collect()
@@ -74,6 +110,42 @@ def test_language_edge_cases(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(docs.drop("lang"), empty).collect()} == {"und"}
 
 
+def test_language_against_plain_cosines(spark, odd_docs):
+    """n-grams, TF-IDF and cosines by plain loops, for the same document frequencies and centroids."""
+    model = language.fit(odd_docs)
+    texts = [r.text for r in odd_docs.where("length(text) < 3000").collect()] + ["Ωμέγα und Straße 12 à-la"]
+    names, scores, _ = model.identify(pa.array(texts))
+    for text, name, score in zip(texts, names, scores):
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        found = Counter()
+        for size in language.SIZES:
+            for i in range(len(data) - size + 1):
+                code = int.from_bytes(bytes([size]) + data[i : i + size], "big")
+                found[(code * int(language._MIX)) % 2**64 >> (65 - language.DIMENSIONS.bit_length())] += 1
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in found.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        like = [sum(x * float(c[k]) for k, x in v.items()) / length for c in model.centroids]
+        if any(c.isalpha() for c in text):
+            assert score == pytest.approx(max(like), abs=1e-4) and like[[n for n in range(len(like)) if model.names[n] == name][0]] <= max(like) + 1e-9
+            assert max(x for x, n in zip(like, model.names) if n == name) == pytest.approx(max(like), abs=1e-4)
+        else:
+            assert (name, score) == ("und", 0)
+
+
+def test_language_sample_of_repeated_rows(spark):
+    """Of a row repeated thousands of times about as many are drawn as are wanted, however languages' sizes are joined."""
+    docs = spark.createDataFrame([(1, "the same text", "en")] * 5000 + [(i, f"text {i}", "de") for i in range(50)], "doc_id bigint, text string, lang string")
+    for many in (10, 0):
+        got = Counter(r.lang for r in language.sample(docs, 500, many).collect())
+        assert 500 <= got["en"] <= 720 and got["de"] == 50
+
+
+def test_language_names_that_are_taken(spark, odd_docs):
+    docs = odd_docs.withColumnRenamed("source", "score")
+    out = language.identify(docs, language.fit(docs))
+    assert out.columns == [*docs.columns, "lang_pred", "_score", "rejected"] and out.count() == docs.count()
+
+
 def test_language_rejects_what_is_far(spark):
     docs = spark.createDataFrame([(i, prose(i, 60), "aa", "s", 1) for i in range(60)] + [(100 + i, prose(i, 60).translate(str.maketrans("aeiou", "wxyzq")), "bb", "s", 1) for i in range(60)], SCHEMA)
     model = language.fit(docs)

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import sharding
 
@@ -76,3 +77,16 @@ def test_query(spark):
     rows = QUERIES["op5_sharding"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
     laws(rows, [tuple(d) for d in docs], 8)
+
+
+def test_splitters_against_a_sort(spark):
+    """Each splitter has the wanted bytes below it, to within the tolerance or the row that no key can cut, as in a plain sort of all keys."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 13 + 1)) for i in range(4000)], "doc_id bigint, text string").repartition(3)
+    rows = docs.select(sharding._size(F.col("text")), sharding.sort_key(F.col("text"), F.col("doc_id")).alias("key"), F.lit(1).alias("one")).cache()
+    plain = sorted((r.key, r.size) for r in rows.collect())
+    total = sum(size for _, size in plain)
+    wanted = [sharding._Boundary(total * k / 8, total / 8 * 0.001, "size") for k in range(1, 8)]
+    for b, key in zip(wanted, sharding.splitters(rows, wanted)):
+        below = sum(size for k, size in plain if k < key)
+        assert abs(below - b.want) <= max(b.tolerance, max(size for _, size in plain))
+    rows.unpersist()
