@@ -1,6 +1,6 @@
 """Cross-entropy difference: two n-gram models over one vocabulary score each document.
 
-Tokens are words (runs of letters and digits of the lower-cased text), known by hashes of 63 bits;
+Tokens are words (runs of letters and digits of the lower-cased text), known by hashes of 62 bits;
 the vocabulary of both models is what the corpus has. The target model counts the target documents,
 the background model all others. The models are matched: both are bigram models with the same smoothing,
 and the counts of the one with more tokens are weighed down until both have as many, so that neither
@@ -49,11 +49,13 @@ WEIGHT, FLOOR = 8.0, 0.5
 BLOCK_BYTES = 8 << 20
 #: Blocks are scored in so many turns, which limits the disk that shuffles take at one time.
 TURNS = 3
+#: Partitions of a shuffle at most; beyond that tasks' shares grow, and are sorted on disk.
+MOST_PARTITIONS = 20_000
 #: Target ids that are sent to every task at most; a longer list is joined by key.
 TARGET_ROWS = 4_000_000
 
-#: Keys of words are odd, keys of pairs even. The beginning of a text is a word that no text has.
-START = np.uint64(1)
+#: Keys of words are odd, keys of pairs even; the second bit is free. The beginning of a text is a word that no text has.
+START, ALONE, FREE = np.uint64(1), np.uint64(1), np.uint64(2)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BACKGROUND, TARGET, NEW = 0, 1, 2
 
@@ -84,12 +86,12 @@ class Keys:
 
 def keys_of(texts: pa.Array) -> Keys:
     w = words_of(texts)
-    word = w.hashes() | np.uint64(1)
+    word = w.hashes() & ~FREE | ALONE
     before = np.full(len(word), START, np.uint64)
     before[1:] = word[:-1]
     counts = w.counts()
     before[w.first[:-1][counts > 0]] = START
-    return Keys(mixed(before * _SPREAD + word) & ~np.uint64(1), before, word, w.text_of(), counts)
+    return Keys(mixed(before * _SPREAD + word) & ~(FREE | ALONE), before, word, w.text_of(), counts)
 
 
 def with_target(docs: DataFrame, targets: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
@@ -118,22 +120,9 @@ def in_blocks(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return saved(in_tasks(docs, run, schema), "blocks")
 
 
-def _listed(texts: pa.Array, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, beginnings and pairs, and how often target and background texts have each."""
-    k = keys_of(texts)
-    first = k.before == START
-    keys, text = np.concatenate([k.pair, k.word, k.before[first]]), np.concatenate([k.text, k.text, k.text[first]])
-    return _summed(keys, (side[text][:, None] == np.array([TARGET, BACKGROUND])).astype(np.int32))
-
-
-def _counted(texts: pa.Array, side: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The same of a whole block, by slices."""
-    found, at = [], 0
-    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 2 << 20):
-        found.append(_listed(part.column(0), side[at : at + part.num_rows]))
-        at += part.num_rows
-    keys, counts = _summed(*(np.concatenate(x) for x in zip(*found)))
-    return keys, [counts[:, 0].astype(np.int64), counts[:, 1].astype(np.int64)]
+def _partitions(blocks: DataFrame) -> int:
+    """As many as there are blocks, so that a task's share does not grow with the corpus until there are very many."""
+    return max(1, min(MOST_PARTITIONS, blocks.select("block").distinct().count()))
 
 
 def lists(blocks: DataFrame) -> DataFrame:
@@ -143,9 +132,13 @@ def lists(blocks: DataFrame) -> DataFrame:
         block, waiting = None, []
 
         def out() -> pa.RecordBatch:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*waiting)))
-            n = counts[:, 0].astype(np.int64) << 32 | counts[:, 1]
-            order = np.argsort(n, kind="stable")  # rows that differ in their key alone are moved in the fewest bytes
+            keys = np.sort(np.concatenate(waiting))
+            n = np.where(keys & FREE, np.int64(1 << 32), np.int64(1))
+            keys &= ~FREE
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+            keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
+            # Rows that differ in their key alone are moved in the fewest bytes.
+            order = np.concatenate([np.flatnonzero(n == 1), np.flatnonzero(n == 1 << 32), np.flatnonzero((n != 1) & (n != 1 << 32))])
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(keys.view(np.int64)[order]), pa.array(n[order])], names=["block", "key", "n"])
 
         for batch in batches:
@@ -157,7 +150,10 @@ def lists(blocks: DataFrame) -> DataFrame:
                         yield out()
                         waiting = []
                     block = int(one)
-                    waiting.append(_listed(rows.column("text"), rows.column("side").to_numpy()))
+                    k = keys_of(rows.column("text"))
+                    side = np.where(rows.column("side").to_numpy() == TARGET, FREE, np.uint64(0))[k.text]
+                    first = k.before == START
+                    waiting += [k.pair | side, k.word | side, k.before[first] | side[first]]
         if waiting:
             yield out()
 
@@ -192,24 +188,34 @@ def fit_own(blocks: DataFrame) -> Models:
     """Models for the documents they count. The table has each block's words, and its pairs that other blocks have too."""
     key = Window.partitionBy("key").orderBy("block")
     all_ = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t, b = _sums()
-    shared = F.max("block").over(all_) != F.min("block").over(all_)
-    met = lists(blocks).select("block", "key", t.over(all_).alias("t"), b.over(all_).alias("b"), shared.alias("shared"), (F.row_number().over(key) == 1).alias("first"))
-    met = met.where(F.col("shared") | (F.col("key").bitwiseAND(F.lit(1)) == 1)).drop("shared")
+    t, b = (c.over(all_) for c in _sums())
+    own = F.shiftright("n", 32) + F.col("n").bitwiseAND(F.lit((1 << 32) - 1))
+    met = lists(blocks).repartition(_partitions(blocks), "key").select("block", "key", t.alias("t"), b.alias("b"), own.alias("own"), (F.row_number().over(key) == 1).alias("first"))
+    met = met.where((F.col("t") + F.col("b") > F.col("own")) | (F.col("key").bitwiseAND(F.lit(1)) == 1)).drop("own")
     return _models(saved(met, "counts"), F.col("first"))
 
 
-def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Of each token, how often its key occurs in its text."""
-    order = np.lexsort((keys, text))
-    t, k = text[order], keys[order]
-    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])))) if len(k) else np.zeros(0, int)
-    n = np.diff(np.append(first, len(k)))
-    out = np.empty(len(keys), np.int64)
+def _repeats(values: np.ndarray) -> np.ndarray:
+    """Of each value, how often it occurs."""
+    order = np.argsort(values)
+    ranked = values[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, int)
+    n = np.diff(np.append(first, len(ranked)))
+    out = np.empty(len(values), np.int64)
     out[order] = np.repeat(n, n)
     return out
 
 
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, the place of each key among them)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
 def score(blocks: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score) of each row of blocks, which is from in_blocks."""
     found = models.counts if "block" in models.counts.columns else lists(blocks).select("block", "key").join(models.counts, "key")
@@ -218,28 +224,31 @@ def score(blocks: DataFrame, models: Models) -> DataFrame:
     weights, words, size = models.weights(), (models.target, models.background), models.vocabulary + 1
 
     def one(docs: pa.Table, known: pa.Table) -> pa.Table:
-        side, texts = docs.column("side").to_numpy(), docs.column("text").combine_chunks()
-        own, counts = _counted(texts, side)
+        k = keys_of(docs.column("text").combine_chunks())
+        side, n, begins = docs.column("side").to_numpy(), k.counts, k.before == START
+        own, place = _places(np.concatenate([k.pair, k.word, [START]]))
+        pair, word = place[: len(k.pair)], place[len(k.pair) : -1]
+        before = np.where(begins, place[-1], np.concatenate((place[-1:], word))[:-1])
         keys = known.column("key").to_numpy().view(np.uint64)
-        place = np.searchsorted(own, keys)
-        for m, c in enumerate(("t", "b")):
-            counts[m][place] = known.column(c).to_numpy()
-        n, losses = np.zeros(docs.num_rows, np.int64), np.zeros((2, docs.num_rows))
-        at = 0
-        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 2 << 20):
-            k, rows = keys_of(part.column(0)), slice(at, at + part.num_rows)
-            at = rows.stop
-            n[rows] = k.counts
-            own_word = _own(k.text, k.word)
-            own_before = np.where(k.before == START, 1, np.concatenate(([1], own_word))[:-1])
-            place = [np.searchsorted(own, x) for x in (k.pair, k.before, k.word)]
-            mine = [_own(k.text, k.pair), own_before, own_word]
-            for m, kind in enumerate((TARGET, BACKGROUND)):
-                seen = side[rows][k.text] == kind
-                pair, before, word = (weights[m] * (counts[m][p] - np.where(seen, o, 0)) for p, o in zip(place, mine))
-                p = (word + FLOOR) / (weights[m] * words[m] + FLOOR * size)
-                p = (pair + WEIGHT * p) / (before + WEIGHT)
-                losses[m, rows] = np.bincount(k.text, -np.log2(p), part.num_rows)
+        order = np.argsort(keys)
+        at = np.searchsorted(own, keys[order])
+        counts = []
+        for kind, c in ((TARGET, "t"), (BACKGROUND, "b")):
+            mine = side[k.text] == kind
+            count = np.bincount(np.concatenate([pair[mine], word[mine]]), minlength=len(own))
+            count[place[-1]] = (begins & mine).sum()
+            count[at] = known.column(c).to_numpy()[order]
+            counts.append(count)
+        base = k.text * len(own)
+        own_word = _repeats(base + word)
+        own_counts = _repeats(base + pair), np.where(begins, 1, np.concatenate(([1], own_word))[:-1]), own_word
+        losses = np.empty((2, docs.num_rows))
+        for m, kind in enumerate((TARGET, BACKGROUND)):
+            seen = side[k.text] == kind
+            c_pair, c_before, c_word = (weights[m] * (counts[m][x] - np.where(seen, o, 0)) for x, o in zip((pair, before, word), own_counts))
+            p = (c_word + FLOOR) / (weights[m] * words[m] + FLOOR * size)
+            p = (c_pair + WEIGHT * p) / (c_before + WEIGHT)
+            losses[m] = np.bincount(k.text, -np.log2(p), docs.num_rows)
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = losses / n
         cut = n == 0
@@ -248,8 +257,9 @@ def score(blocks: DataFrame, models: Models) -> DataFrame:
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "score")]])
     names = schema.names
-    turn = F.pmod(F.xxhash64("block"), F.lit(TURNS))
-    scored = [saved(blocks.where(turn == k).groupBy("block").cogroup(found.where(turn == k).groupBy("block")).applyInArrow(one, schema), "scored") for k in range(TURNS)]
+    turn, n = F.pmod(F.xxhash64("block"), F.lit(TURNS)), -(-_partitions(blocks) // TURNS)
+    dealt = lambda df, k: df.where(turn == k).repartition(n, "block").groupBy("block")
+    scored = [saved(dealt(blocks, k).cogroup(dealt(found, k)).applyInArrow(one, schema), "scored") for k in range(TURNS)]
     return reduce(DataFrame.unionByName, scored)
 
 
