@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _single(n: Column, what: Column) -> Column:
+    """True; running it fails where n is not 1."""
+    return F.when(n == 1, True).otherwise(F.raise_error(F.concat(what, F.lit(": rows found: "), n.cast("string"))).cast("boolean"))
+
+
 def by_key(df: DataFrame, column: str, value, strict: bool = False) -> DataFrame:
     """The row whose column equals value; no row if there is none.
 
@@ -15,12 +20,17 @@ def by_key(df: DataFrame, column: str, value, strict: bool = False) -> DataFrame
     found = df.where(F.col(column) == value)
     if not strict:
         return found
-    message = F.concat(F.lit(f"{column} = {value}: rows found: "), F.col("_n").cast("string"))
     checked = found.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
-    checked = checked.withColumn("_ok", F.when(F.col("_n") == 1, True).otherwise(F.raise_error(message).cast("boolean")))
-    return checked.where("_ok").select("_row.*")
+    return checked.where(_single(F.col("_n"), F.lit(f"{column} = {value}"))).select("_row.*")
 
 
 def attach_or_null(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """df with the columns of the other table's row of the same key, null where there is none."""
-    return df.join(other, key, "left")
+    """df with the columns of the other table's row of the same key, null where there is none.
+
+    Running the result fails if a key of df has several rows there. The other table is brought to a row a key first, so nothing fans out.
+    """
+    rest = [c for c in other.columns if c != key]
+    one = other.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    joined = df.join(one, key, "left")
+    right = F.col("_n").isNull() | _single(F.col("_n"), F.concat(F.lit(f"{key} = "), F.col(key).cast("string")))
+    return joined.where(right).select(*df.columns, *[F.col("_row").getField(c).alias(c) for c in rest])

@@ -4,28 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from lectern.sources.shared import saved
 
 
-def _before(window: WindowSpec) -> Column:
-    """The sum of _n over the rows before this one."""
-    return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`, 1.. over all rows by `order`, whose columns together should tell rows apart.
 
-
-def number_rows(df: DataFrame, buckets: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds `name`, 1.. over all rows by (bucket, order).
-
-    `buckets` must be monotone in the wanted order, null-free, and leave few rows to each bucket. Rows are
-    numbered within their bucket. The buckets' counts are dealt by range and written, so that each keeps its
-    partition; they are summed within partitions, and only the partitions' totals meet in one place.
+    Rows are dealt by range of `order`, so no value of its first columns makes a part large, and written
+    with their part. They are numbered within parts; only the parts' counts meet in one place.
     """
-    df = df.withColumn("_bucket", buckets)
-    counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    counts = saved(counts.repartitionByRange("_bucket").withColumn("_part", F.spark_partition_id()), "counts")
-    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_n")).select("_part", _before(Window.orderBy("_part")).alias("_base"))
-    offsets = counts.select("_part", "_bucket", _before(Window.partitionBy("_part").orderBy("_bucket")).alias("_own")).join(parts, "_part")
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)).cast("bigint")
-    numbered = df.withColumn("_k", within).join(offsets, "_bucket").withColumn(name, F.col("_base") + F.col("_own") + F.col("_k"))
-    return numbered.drop("_bucket", "_k", "_base", "_own", "_part")
+    dealt = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint")
+    numbered = dealt.withColumn("_k", within).join(F.broadcast(parts), "_part")  # a row for each part
+    return numbered.withColumn(name, F.col("_base") + F.col("_k")).drop("_part", "_k", "_base")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.sources.shared import saved
+
 
 def roots(outline: DataFrame) -> DataFrame:
     return outline.where(F.col("parent_id").isNull())
@@ -19,7 +21,7 @@ def descendants(spark: SparkSession, outline: DataFrame, with_path: bool = False
 
     path holds (ord, id) of each step, nulls last; sorting by it visits the tree depth
     first, parents before children. A cycle can't be reached from a root with no parent.
-    The tree may have any number of rows: the recursion's row limit is lifted.
+    The tree may have any number of rows: the recursion's row limit is lifted, for the session, as it is read when the rows are.
     """
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     step = "array(struct(c.ord is null as no_ord, c.ord as ord, c.id as id))"
@@ -65,7 +67,8 @@ def inherited_sources(spark: SparkSession, outline: DataFrame, materials: DataFr
     m = completed(materials).where(F.col("module_node_id").isNull()).select(
         F.col("outline_node_id").alias("node_id"), F.col("id").alias("source_id"), "created_at"
     )
-    below = descendants(spark, outline).select("root_id", F.col("id").alias("node_id"))
+    # Written, as the recursion would run anew wherever its rows are asked for.
+    below = saved(descendants(spark, outline).select("root_id", F.col("id").alias("node_id")), "below")
     return m.join(below, "node_id").select("root_id", "source_id", "created_at")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.numbering import number_rows
 from lectern.operators.outline import lesson_sources, roots
+from lectern.sources.shared import saved
 
 
 def _last(order: Column) -> Column:
@@ -32,8 +33,7 @@ def sync_modules(old: DataFrame, outline: DataFrame) -> DataFrame:
         .select("id", "source_id", F.coalesce("_seen", "is_active").alias("is_active"))
     )
     fresh = wanted.join(old.select("source_id"), "source_id", "left_anti")
-    bucket = F.struct(_last(F.col("ord")).alias("o"), F.shiftright("source_id", 10).alias("r"))
-    numbered = number_rows(fresh, bucket, [F.col("source_id")], "_n")
+    numbered = number_rows(fresh, [_last(F.col("ord")), F.col("source_id")], "_n")
     new = numbered.crossJoin(F.broadcast(_after(old))).select((F.col("_top") + F.col("_n")).alias("id"), "source_id", F.lit(True).alias("is_active"))
     return kept.unionByName(new)
 
@@ -48,9 +48,8 @@ def sync_lessons(spark: SparkSession, old: DataFrame, modules: DataFrame, outlin
     )
     keys = ["module_id", "source_kind", "source_id"]
     fresh = wanted.join(old.select(*keys), keys, "left_anti")
-    hour = F.date_trunc("hour", F.col("created_at").cast("timestamp"))
-    bucket = F.struct(_last(F.col("ord")).alias("o"), F.col("root_id").alias("r"), hour.isNull().alias("no_time"), hour.alias("h"))
-    numbered = number_rows(fresh, bucket, [F.col("created_at").asc_nulls_last(), F.col("source_id").asc_nulls_last()], "_n")
+    order = [_last(F.col("ord")), F.col("root_id"), F.col("created_at").asc_nulls_last(), F.col("source_id").asc_nulls_last()]
+    numbered = number_rows(fresh, order, "_n")
     new = numbered.crossJoin(F.broadcast(_after(old))).select((F.col("_top") + F.col("_n")).alias("id"), *keys)
     return old.select("id", *keys).unionByName(new)
 
@@ -65,13 +64,9 @@ def sync_questions(old: DataFrame, fresh: DataFrame) -> DataFrame:
         fresh.select(*keys, "bloom_level", "ord", F.lit(True).alias("_fresh")), keys, "full_outer"
     )
     value = lambda new, before: F.when(F.col("_fresh"), F.col(new)).otherwise(F.col(before)).alias(new)
-    merged = both.select("id", *keys, value("bloom_level", "_level"), value("ord", "_ord"))
-    numbered = number_rows(
-        merged.where(F.col("id").isNull()).drop("id"),
-        F.shiftright("lesson_id", 10),
-        [F.col("lesson_id"), F.col("ord").asc_nulls_last(), F.col("question_id")],
-        "_n",
-    )
+    merged = saved(both.select("id", *keys, value("bloom_level", "_level"), value("ord", "_ord")), "merged")
+    order = [F.col("lesson_id"), F.col("ord").asc_nulls_last(), F.col("question_id")]
+    numbered = number_rows(merged.where(F.col("id").isNull()).drop("id"), order, "_n")
     new = numbered.crossJoin(F.broadcast(_after(old))).select((F.col("_top") + F.col("_n")).alias("id"), *keys, "bloom_level", "ord")
     return merged.where(F.col("id").isNotNull()).unionByName(new)
 

@@ -7,16 +7,19 @@ materials, with a stale number, plus links of questions that are no longer fresh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.choices import answer_label, choice_texts
-from lectern.functions.text import bloom_bucket, first_filled, node_order
-from lectern.operators import lesson_text, outline, questions, select, sync, variants
-from lectern.plans import package
-from lectern.sources.shared import saved
+from lectern.functions.text import BLOOM_BUCKETS, bloom_bucket, first_filled, node_order
+from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
+from lectern.operators.numbering import number_rows
+from lectern.plans import course, package
+from lectern.sources.shared import saved, shared_folder
 from lectern.sources.tables import relation, relation_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,8 +156,8 @@ def _modules(t) -> DataFrame:
 _NO_LESSONS = "id bigint, module_id bigint, source_kind string, source_id bigint"
 
 
-def _lessons(spark, t) -> DataFrame:
-    return sync.sync_lessons(spark, spark.createDataFrame([], _NO_LESSONS), _modules(t), t("f_outline"), t("f_material"))
+def _lessons(spark, t, modules: DataFrame | None = None) -> DataFrame:
+    return sync.sync_lessons(spark, spark.createDataFrame([], _NO_LESSONS), modules or saved(_modules(t), "modules"), t("f_outline"), t("f_material"))
 
 
 def _fresh(t) -> DataFrame:
@@ -162,12 +165,9 @@ def _fresh(t) -> DataFrame:
 
 
 def _old_links(t) -> DataFrame:
-    from pyspark.sql.window import Window
-
     fresh = _fresh(t)
-    even = fresh.where("lesson_id % 2 = 0")
-    rank = F.row_number().over(Window.orderBy("lesson_id", "question_id")).cast("bigint")
-    stored = even.select(rank.alias("id"), "lesson_id", "question_id", F.lit("APPLY").alias("bloom_level"), (F.col("ord") + 100).alias("ord"))
+    stored = number_rows(fresh.where("lesson_id % 2 = 0"), [F.col("lesson_id"), F.col("question_id")], "id")
+    stored = stored.select("id", "lesson_id", "question_id", F.lit("APPLY").alias("bloom_level"), (F.col("ord") + 100).alias("ord"))
     seven = fresh.where("lesson_id = 7").select(F.col("question_id").alias("id"))
     stale = t("f_question").where("id % 97 = 0").join(seven, "id", "left_anti")
     return stored.unionByName(
@@ -227,7 +227,7 @@ def module_sources_cascade(spark, t):
 )
 def module_lookup_or_null(spark, t):
     m = _old_modules(t).select(F.col("id").alias("module_id"), F.col("source_id").alias("node_id"))
-    return t("f_outline").select(F.col("id").alias("node_id")).join(m, "node_id", "left")
+    return lookup.attach_or_null(t("f_outline").select(F.col("id").alias("node_id")), m, "node_id")
 
 
 @_query(f"+{MODULES} select id, source_id, is_active from new_module", "f_outline")
@@ -343,11 +343,12 @@ from bucket b left join new_link n on n.lesson_id = b.lesson_id and lower(n.bloo
 )
 def questions_by_bucket(spark, t):
     lessons = t("f_object").select(F.col("material_id").alias("lesson_id")).distinct()
-    maps = package.question_maps(questions.question_cards(_links(t), t("f_question")))
-    filled = lessons.join(maps, "lesson_id", "left").select("lesson_id", F.coalesce("questions", package._seed()).alias("q"))
-    rows = filled.select("lesson_id", F.explode("q").alias("bucket", "cards"))
-    ids = F.concat_ws(",", F.transform("cards", lambda c: c["id"].cast("string")))
-    return rows.select("lesson_id", "bucket", F.size("cards").cast("bigint").alias("n_questions"), ids.alias("question_ids"))
+    links = _links(t).where("bloom_level is not null").select("lesson_id", F.lower("bloom_level").alias("bucket"), "id", "ord", "question_id")
+    ranked = F.array_sort(F.collect_list(F.struct(F.col("ord").isNull(), "ord", "id", "question_id")))
+    ids = F.concat_ws(",", F.transform(ranked, lambda r: r["question_id"].cast("string")))
+    lists = links.groupBy("lesson_id", "bucket").agg(F.count(F.lit(1)).alias("n_questions"), ids.alias("question_ids"))
+    spine = lessons.withColumn("bucket", F.explode(F.array(*map(F.lit, BLOOM_BUCKETS)))).unionByName(lists.select("lesson_id", "bucket").join(lessons, "lesson_id", "left_semi")).distinct()
+    return spine.join(lists, ["lesson_id", "bucket"], "left").select("lesson_id", "bucket", F.coalesce("n_questions", F.lit(0)).alias("n_questions"), F.coalesce("question_ids", F.lit("")).alias("question_ids"))
 
 
 @_query("select id, case when coalesce(ord, 0) <> 0 then cast(ord as bigint) else id end as node_order from f_outline", "f_outline")
@@ -382,29 +383,44 @@ order by o.ord nulls last, l.id limit 1""",
     "f_course",
 )
 def first_lesson(spark, t):
-    return select.first_lesson(t("f_course"), _modules(t), _lessons(spark, t), t("f_outline"))
+    modules = saved(_modules(t), "modules")
+    return select.first_lesson(t("f_course"), modules, _lessons(spark, t, modules), t("f_outline"))
 
 
-def _package_inputs(spark, t) -> dict[str, DataFrame]:
-    lessons = saved(_lessons(spark, t), "lessons").withColumn("title", F.concat(F.lit("Lesson "), F.col("id").cast("string")))
-    modules = saved(_modules(t), "modules").join(t("f_outline").select(F.col("id").alias("source_id"), "title", F.col("ord").alias("sequence_order")), "source_id")
-    lesson_of = lessons.where("source_kind = 'material'").select(F.col("source_id").alias("material_id"), F.col("id").alias("lesson_id"))
+@dataclass
+class _Synced:
+    """Modules and lessons after a sync, with what packages add to them."""
+
+    lessons: DataFrame
+    modules: DataFrame
+
+
+def _synced(spark, t) -> _Synced:
+    modules = saved(_modules(t), "modules")
+    titled = modules.join(t("f_outline").select(F.col("id").alias("source_id"), "title", F.col("ord").alias("sequence_order")), "source_id")
+    return _Synced(course.titled(saved(_lessons(spark, t, modules), "lessons")), titled)
+
+
+def _stored_questions(spark, t, lessons: DataFrame) -> DataFrame:
     fresh = questions.fresh_questions(lessons, t("f_object"), t("f_question"), t("f_material"))
-    return {
-        "lessons": lessons,
-        "modules": modules,
-        "outline": t("f_outline"),
-        "materials": t("f_material"),
-        "objects": t("f_object"),
-        "questions": t("f_question"),
-        "module_questions": sync.sync_questions(spark.createDataFrame([], "id bigint, lesson_id bigint, question_id bigint, bloom_level string, ord bigint"), fresh),
-        "variants": t("f_variant").join(lesson_of, "material_id"),
-    }
+    return sync.sync_questions(spark.createDataFrame([], course.MODULE_QUESTIONS), fresh)
+
+
+def _lesson_variants(t, lessons: DataFrame) -> DataFrame:
+    lesson_of = lessons.where("source_kind = 'material'").select(F.col("source_id").alias("material_id"), F.col("id").alias("lesson_id"))
+    return t("f_variant").join(lesson_of, "material_id")
+
+
+def _packages(spark, t) -> DataFrame:
+    x = _synced(spark, t)
+    return package.packages(
+        x.lessons, x.modules, t("f_outline"), t("f_material"), t("f_object"), t("f_question"), _stored_questions(spark, t, x.lessons), _lesson_variants(t, x.lessons)
+    )
 
 
 def nested_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one nested package per lesson."""
-    return package.packages(**_package_inputs(spark, lambda name: relation(spark, sf_dir, name)))
+    return _packages(spark, lambda name: relation(spark, sf_dir, name))
 
 
 PACKAGE = f"""{LESSONS}, {MATERIAL_TEXT}, {NUMBERED},
@@ -447,8 +463,9 @@ left join saved s on s.lesson_id = t.lesson_id and s.variant = k.variant""",
     "f_variant",
 )
 def package_flat_variants(spark, t):
-    rows = package.packages(**_package_inputs(spark, t)).select(F.col("lesson_node.id").alias("lesson_id"), F.explode("variants").alias("variant", "v"))
-    return rows.select("lesson_id", "variant", "v.text", "v.audio_url")
+    lessons = _synced(spark, t).lessons
+    texts = lesson_text.lesson_texts(lessons, t("f_object"), t("f_material"), t("f_outline"))
+    return variants.variant_spine(texts, _lesson_variants(t, lessons))
 
 
 @_query(
@@ -459,8 +476,9 @@ from link k join f_question q on q.id = k.question_id join labelled c on c.id =
     *_PACKAGE_TABLES,
 )
 def package_flat_questions(spark, t):
-    rows = package.packages(**_package_inputs(spark, t)).select(F.col("lesson_node.id").alias("lesson_id"), F.explode(F.flatten(F.map_values("questions"))).alias("q"))
-    return rows.select("lesson_id", "q.id", F.col("q.order").alias("ord"), "q.bloom_level", "q.question", F.concat_ws("|", "q.choices").alias("choices"), "q.correct_answer")
+    cards = questions.question_cards(_stored_questions(spark, t, _synced(spark, t).lessons), t("f_question"))
+    shown = cards.withColumn("choices", F.concat_ws("|", "choices"))
+    return shown.select("lesson_id", F.col("question_id").alias("id"), "ord", F.col("bucket").alias("bloom_level"), "question", "choices", "correct_answer")
 
 
 @_query(
@@ -472,8 +490,8 @@ left join f_outline o on l.source_kind = 'outline' and o.id = l.source_id""",
     "f_material",
 )
 def package_header(spark, t):
-    x = _package_inputs(spark, t)
-    return package.package_headers(x["lessons"], x["modules"], x["outline"])
+    x = _synced(spark, t)
+    return package.package_headers(x.lessons, x.modules, t("f_outline"))
 
 
 @_query(
@@ -483,7 +501,7 @@ from link k join f_question q on q.id = k.question_id join labelled c on c.id =
     *_PACKAGE_TABLES,
 )
 def serialized_questions(spark, t):
-    shown = package.without_answers(package.packages(**_package_inputs(spark, t)))
+    shown = package.without_answers(_packages(spark, t))
     rows = shown.select(F.col("id").alias("lesson_id"), F.explode("questions").alias("bucket", "cards"))
     rows = rows.select("lesson_id", "bucket", F.explode("cards").alias("c"))
     return rows.select("lesson_id", "bucket", "c.id", "c.question", F.concat_ws("|", "c.choices").alias("choices"))
@@ -493,5 +511,43 @@ def serialized_questions(spark, t):
     f"+{LESSONS} select module_id as id, count(*) as n_lessons, min(id) as first_lesson from new_lesson group by 1", "f_outline", "f_material"
 )
 def module_overview(spark, t):
-    modules = package.module_view(package.without_answers(package.packages(**_package_inputs(spark, t))))
+    modules = package.module_view(package.without_answers(_packages(spark, t)))
     return modules.select("id", F.size("lesson_nodes").cast("bigint").alias("n_lessons"), F.col("lesson_nodes")[0]["id"].alias("first_lesson"))
+
+
+@_query("select id, title, course_id from f_outline where id = 30", "f_outline")
+def unique_fetch(spark, t):
+    return lookup.by_key(t("f_outline"), "id", 30, strict=True).select("id", "title", "course_id")
+
+
+@_query(
+    f"+{LESSONS} select 'module' as kind, id, source_id from new_module union all select 'lesson', id, source_id from new_lesson", "f_outline", "f_material"
+)
+def snapshot_commit(spark, t):
+    """Modules and lessons written as one version, as a reader finds them."""
+    root = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    modules = saved(_modules(t), "modules")
+    snapshot.write_snapshot(spark, root, {"modules": modules, "lessons": _lessons(spark, t, modules)})
+    kinds = {"module": "modules", "lesson": "lessons"}
+    rows = [snapshot.read_snapshot(spark, root, name).select(F.lit(kind).alias("kind"), "id", "source_id") for kind, name in kinds.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@_query(
+    f"""+{LESSONS} select l.id as lesson_id, 'Lesson ' || cast(l.id as varchar) as lesson_title, r.title as module_title, l.module_id
+from new_lesson l join new_module m on m.id = l.module_id join f_outline r on r.id = m.source_id""",
+    "f_outline",
+    "f_material",
+)
+def package_document(spark, t):
+    """What a client reads from the JSON documents of the nested packages."""
+    at = lambda path: F.get_json_object("document", f"$.{path}")
+    documents = package.as_json(_packages(spark, t))
+    return documents.select("lesson_id", at("lesson_node.title").alias("lesson_title"), at("module.title").alias("module_title"), at("module.id").cast("bigint").alias("module_id"))
+
+
+@_query(f"+{LESSONS} select module_id as id, string_agg(cast(id as varchar), ',' order by id) as lesson_ids from new_lesson group by 1", "f_outline", "f_material")
+def module_lesson_order(spark, t):
+    """The lessons of each module in the order that a learner sees."""
+    modules = package.module_view(package.without_answers(_packages(spark, t)))
+    return modules.select("id", F.concat_ws(",", F.transform("lesson_nodes", lambda n: n["id"].cast("string"))).alias("lesson_ids"))

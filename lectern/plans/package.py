@@ -107,7 +107,7 @@ def without_answers(package: DataFrame) -> DataFrame:
 def module_view(shown: DataFrame) -> DataFrame:
     """(id, sequence_order, title, lesson_nodes) of each module, its lessons by id."""
     lesson = F.struct("id", "title", "variants", "questions")
-    listed = F.array_sort(F.collect_list(lesson), lambda a, b: (a["id"] - b["id"]).cast("int"))
+    listed = F.array_sort(F.collect_list(lesson), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     return shown.groupBy("module").agg(listed.alias("lesson_nodes")).select("module.id", "module.sequence_order", "module.title", "lesson_nodes")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions.choices import answer_label, choice_texts
 from lectern.functions.text import bloom_bucket, node_order, strip
 from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
-from lectern.plans import package
+from lectern.operators.numbering import number_rows
+from lectern.plans import course, package
 
 OUTLINE = "id bigint, parent_id bigint, course_id bigint, ord int, title string, description string"
 MATERIAL = "id bigint, module_node_id bigint, outline_node_id bigint, status string, created_at timestamp_ntz"
@@ -193,6 +194,70 @@ def test_lookup(spark):
     for key in (2, 9):
         with pytest.raises(Exception, match="rows found"):
             lookup.by_key(df, "id", key, strict=True).collect()
+    keys = spark.createDataFrame([(1,), (9,), (1,), (None,)], "id bigint")
+    found = lookup.attach_or_null(keys, df, "id")
+    assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 'a')", "(1, 'a')", "(9, None)", "(None, None)"]
+    with pytest.raises(Exception, match="id = 2: rows found: 2"):
+        lookup.attach_or_null(df.select("id"), df, "id").collect()
+
+
+def test_row_numbers_of_a_hot_value(spark):
+    """Nearly all rows agree in the first column, and no part holds them all."""
+    df = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(7).alias("a"), (F.col("id") * 7919 % 5003).alias("b")).repartition(3)
+    rows = number_rows(df, [F.col("a").asc_nulls_last(), F.col("b")], "n").collect()
+    assert [r.n for r in sorted(rows, key=lambda r: (r.a, r.b))] == list(range(1, 5001))
+    empty = number_rows(df.where("false"), [F.col("a"), F.col("b")], "n")
+    assert empty.columns == ["a", "b", "n"] and empty.count() == 0
+
+
+def test_module_view_of_far_ids(spark):
+    """Lessons are in order whatever the distance of their ids."""
+    ids = [5_000_000_000, 1, 2**62, -(2**40), 3]
+    shown = spark.createDataFrame([((1, "m", 1), i, f"Lesson {i}") for i in ids], "module struct<id:bigint,title:string,sequence_order:int>, id bigint, title string")
+    shown = shown.select("*", F.create_map().alias("variants"), F.create_map().alias("questions"))
+    assert [n.id for n in package.module_view(shown).first().lesson_nodes] == sorted(ids)
+
+
+def a_course(spark, root):
+    outline_rows = [(1, None, 1, 1, "M1", "about"), (2, 1, 1, 2, "N2", ""), (3, None, 2, 1, "M3", "d"), (4, None, 1, 2, "M4", "")]
+    return course.Course(
+        root,
+        spark.createDataFrame([(1, "c1", False), (2, "c2", True)], "id bigint, title string, is_approved boolean"),
+        spark.createDataFrame(outline_rows, OUTLINE),
+        spark.createDataFrame([(10, None, 2, "completed", T0), (11, 4, None, "pending", T0)], MATERIAL),
+        spark.createDataFrame([(100, 10, "text", "T", "words", 1)], OBJECT),
+        spark.createDataFrame([(7, 100, "remember", "MCQ", "why?", '["x","y"]', "y")], QUESTION),
+        spark.createDataFrame([(1, 1, "Elaborated", "longer", "u")], "id bigint, lesson_id bigint, variant string, narration string, audio_url string"),
+    )
+
+
+def test_course_calls(spark, tmp_path):
+    """One course's outline, its first lesson, one lesson's package; unknown ids raise and change nothing."""
+    store = a_course(spark, str(tmp_path / "state"))
+    with pytest.raises(Exception, match="id = 9: rows found: 0"):
+        course.sync_course_outline(spark, store, 9)
+    assert snapshot.current_version(spark, store.root) == 0
+    active = course.sync_course_outline(spark, store, 1).collect()
+    assert sorted((r.id, r.source_id, r.course_id) for r in active) == [(1, 1, 1), (2, 4, 1)]
+    lessons = lambda: sorted(tuple(r) for r in snapshot.read_snapshot(spark, store.root, "lessons").collect())
+    assert lessons() == [(1, 1, "material", 10), (2, 2, "outline", 4)] and snapshot.current_version(spark, store.root) == 1
+    # The first approved course is the other one: only now it is synced, and what was there stays.
+    first = course.first_lesson_node(spark, store).first()
+    assert (first.course_id, first.module_id, first.lesson_id, first.source_kind, first.source_id) == (2, 3, 3, "outline", 3)
+    assert lessons() == [(1, 1, "material", 10), (2, 2, "outline", 4), (3, 3, "outline", 3)]
+    assert course.first_lesson_node(spark, store, 1).first().lesson_id == 1
+    with pytest.raises(Exception, match="id = 77: rows found: 0"):
+        course.build_package(spark, store, 77)
+    for _ in range(2):  # a second call changes nothing
+        rows = course.build_package(spark, store, 1).collect()
+        assert len(rows) == 1
+        p = rows[0]
+        assert (p.module.id, p.module.title, p.lesson_node.id, p.lesson_node.title) == (1, "M1", 1, "Lesson 1")
+        assert {k: (v.text, v.audio_url) for k, v in p.variants.items()} == {"normal": ("T\nwords", ""), "elaborated": ("longer", "u"), "simplified": ("T\nwords", "")}
+        assert {k: [(c.id, c.order, c.correct_answer) for c in v] for k, v in p.questions.items()} == {"remember": [(7, 1, "B")], "understand": [], "analyze": []}
+    assert snapshot.read_snapshot(spark, store.root, "module_questions").count() == 1
+    store.courses = store.courses.where("not is_approved")
+    assert course.first_lesson_node(spark, store).count() == 0
 
 
 def test_snapshot_versions(spark, tmp_path):
@@ -203,6 +268,9 @@ def test_snapshot_versions(spark, tmp_path):
     assert snapshot.write_snapshot(spark, root, {"a": grown, "b": spark.range(1)}) == 2
     spark.range(100).write.parquet(f"{root}/a/3")  # a writer that died before its log row
     assert snapshot.read_snapshot(spark, root, "a").count() == 7 and snapshot.read_snapshot(spark, root, "b", 1).count() == 3
+    assert snapshot.write_snapshot(spark, root, {"b": spark.range(9)}) == 3  # the other table stays where it is
+    assert snapshot.read_snapshot(spark, root, "a").count() == 7 and snapshot.read_snapshot(spark, root, "b").count() == 9
+    assert snapshot.read_snapshot(spark, root, "c", empty="id bigint").count() == 0
 
 
 def test_json_document(spark):
