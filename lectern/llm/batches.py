@@ -144,9 +144,27 @@ def write(df: DataFrame, path: str, by: str | None = None, **options: Any) -> No
             conf.set(TIDY, before)
 
 
+#: Folders that this process has written tables to.
+_SAVED: list[str] = []
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there."""
+    """df written as a table in the shared folder and read again: its lineage ends there. `cleared` removes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _SAVED.append(path)
     write(df, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def n_saved() -> int:
+    return len(_SAVED)
+
+
+def cleared(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Removes tables that `saved` wrote, from the one of number `since` on, but for the last `but`. What was made from them can't be read after."""
+    gone = _SAVED[since : len(_SAVED) - but]
+    for path in gone:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _SAVED.remove(path)

@@ -11,6 +11,9 @@ characters and only looks ahead to the longest run that may follow, so that a ca
 does no harm: the run may also end before any blank in it, and what lies behind is tried again. Spans come from the pieces between matches, whose
 lengths are summed in blocks, so that a text with very many matches is no problem either.
 
+Context is what stands before a span, CONTEXT code points of it and no farther back than the end of the kind's match
+before: of two addresses behind one "contact:" the first has the bonus. What stands behind a span adds nothing.
+
 Edge cases: null reads as empty text, which has no span; spans are in code points, end exclusive;
 spans of different kinds may overlap, those of one kind do not; repeated rows get equal results; nothing is shuffled and
 other columns pass through.
