@@ -7,35 +7,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, jaccard, pii, toxicity
-from lectern.llm.batches import crc_mod, fresh_name, saved
+from lectern.llm.batches import cleared, crc_mod, fresh_name, n_saved, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score is below 0.5; learned from labels that are not held out."""
+    """Documents whose calibrated score is below 0.5; learned from labels that are not held out.
+
+    Null and empty texts are scored like any other; rows with null or repeated doc_ids and repeated rows are judged each by
+    itself, equal texts alike; with no label, or labels of one kind, all get that kind's score (none: 0, all stay); an empty table
+    gives none. Columns come back as they were, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 5) != 0)
     name = fresh_name(docs, "toxicity")
     return toxicity.score(docs, toxicity.fit(docs, labels), name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the document with the lowest doc_id."""
+    """Of near-duplicates, the document with the lowest doc_id; at a tie the lowest text hash; a null doc_id only if no other has one.
+
+    Null and empty texts have no duplicates, but rows equal in doc_id and text count as one. An empty table gives none.
+    Columns come back as they were, whatever their names.
+    """
     return jaccard.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; null and empty items match nothing; repeated rows are judged each by itself, alike; an
+    empty table gives none, with an empty benchmark all stay. Columns come back as they were, whatever their names.
+    """
     name = fresh_name(docs, "leaks")
     return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name).where(F.size(name) == 0).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text.
+
+    A null text stays null, and its n_chars with it; an empty one stays empty; repeated rows stay and are masked alike; an empty
+    table gives none. Other columns come back as they were, whatever their names.
+    """
     out = pii.redact(docs)
     return out.select(*[F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(f.name) for f in docs.schema.fields])
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, and digests of the ids and of what they decode to.
+
+    Null reads as empty: no token, digests of the empty text. Each row gives one, repeated ones too; an empty table gives none.
+    Other columns are left out.
+    """
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_and_decode(docs.select("doc_id", "text"), path, digests=True)
 
@@ -53,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written before the next reads it; what earlier ones wrote is removed as soon as no stage needs it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = n_saved()
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        cleared(spark, first, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
