@@ -2,6 +2,8 @@
 
 `from_json` keeps the digits of numbers as written, VARIANT knows an element's
 type; together they give the text form the back end prints (`True`, `None`).
+Where several of these functions are used, give them `parsed`, a column of
+`parse(choices)`: else each parses anew wherever it asks for a type.
 Nested containers and floats below 1e-6 keep JSON's own text form.
 """
 
@@ -13,9 +15,13 @@ from pyspark.sql import functions as F
 from lectern.functions.text import ANSWER_LABELS, strip
 
 
-def _element_kind(choices: Column, path: str) -> Column:
+def parse(choices: Column) -> Column:
+    return F.try_parse_json(choices)
+
+
+def _element_kind(parsed: Column, path: str) -> Column:
     """BOOLEAN, VOID, BIGINT, .. of the element at a JSON path; null if there is none."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(choices), path, "variant"))
+    return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
 
 
 def _as_text(text: Column, kind: Column) -> Column:
@@ -39,28 +45,30 @@ def choice_map(choices: Column) -> Column:
     return F.when(F.ltrim(choices).startswith("{") & (F.size(parsed) > 0), parsed)
 
 
-def choice_list(choices: Column) -> Column:
+def choice_list(choices: Column, parsed: Column | None = None) -> Column:
     """The first four elements as text; of a bare string, its first four characters; else an empty list."""
+    parsed = parse(choices) if parsed is None else parsed
     body = F.trim(choices)
     array = F.from_json(choices, "array<string>")
-    listed = F.array(*(F.struct(F.get(array, F.lit(i)).alias("t"), _element_kind(choices, f"$[{i}]").alias("k")) for i in range(4)))
+    listed = F.array(*(F.struct(F.get(array, F.lit(i)).alias("t"), _element_kind(parsed, f"$[{i}]").alias("k")) for i in range(4)))
     listed = F.transform(F.slice(listed, 1, F.least(F.size(array), F.lit(4))), lambda e: _as_text(e["t"], e["k"]))
-    string = F.try_variant_get(F.try_parse_json(choices), "$", "string")
+    string = F.try_variant_get(parsed, "$", "string")
     letters = F.slice(F.regexp_extract_all(string, F.lit("(?s)."), F.lit(0)), 1, 4)
     empty = F.array().cast("array<string>")
     return F.coalesce(F.when(body.startswith("[") & array.isNotNull(), listed).when(body.startswith('"'), letters), empty)
 
 
-def choice_texts(choices: Column, question_format: Column) -> Column:
+def choice_texts(choices: Column, question_format: Column, parsed: Column | None = None) -> Column:
     """What a learner is shown: the filled labels of an object, else up to four list elements."""
+    parsed = parse(choices) if parsed is None else parsed
     by_label = choice_map(choices)
     labelled = F.array(
         *(
-            F.when(_truthy(by_label[label], kind := _element_kind(choices, f"$.{label}")), _as_text(by_label[label], kind))
+            F.when(_truthy(by_label[label], kind := _element_kind(parsed, f"$.{label}")), _as_text(by_label[label], kind))
             for label in ANSWER_LABELS
         )
     )
-    listed = choice_list(choices)
+    listed = choice_list(choices, parsed)
     true_false = (question_format == "TF") & (F.size(listed) == 0)
     return (
         F.when(by_label.isNotNull(), F.array_compact(labelled))
@@ -69,12 +77,13 @@ def choice_texts(choices: Column, question_format: Column) -> Column:
     )
 
 
-def answer_label(correct_answer: Column, choices: Column, question_format: Column) -> Column:
+def answer_label(correct_answer: Column, choices: Column, question_format: Column, parsed: Column | None = None) -> Column:
     """The letter of the right choice, or the stripped answer itself if no choice equals it.
 
     A letter as answer wins over an equal text; `TF` questions ignore the order of
     their choices; a label that an object lacks reads as empty text.
     """
+    parsed = parse(choices) if parsed is None else parsed
     answer = strip(F.coalesce(correct_answer, F.lit("")))
     low = F.lower(answer)
     by_label = choice_map(choices)
@@ -83,10 +92,10 @@ def answer_label(correct_answer: Column, choices: Column, question_format: Colum
     of_map = answer
     for label in reversed(ANSWER_LABELS):
         text = F.when(
-            F.map_contains_key(by_label, label), _as_text(by_label[label], _element_kind(choices, f"$.{label}"))
+            F.map_contains_key(by_label, label), _as_text(by_label[label], _element_kind(parsed, f"$.{label}"))
         ).otherwise("")
         of_map = F.when(same(text), label).otherwise(of_map)
-    at = F.array_position(F.transform(choice_list(choices), lambda t: F.lower(strip(t))), low)
+    at = F.array_position(F.transform(choice_list(choices, parsed), lambda t: F.lower(strip(t))), low)
     of_list = F.when(at > 0, F.element_at(F.array(*map(F.lit, ANSWER_LABELS)), at.cast("int"))).otherwise(answer)
 
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.choices import answer_label, choice_texts
+from lectern.functions.choices import answer_label, choice_texts, parse
 from lectern.functions.text import bloom_bucket
 
 
@@ -46,11 +46,11 @@ def fresh_questions(lessons: DataFrame, objects: DataFrame, questions: DataFrame
 
 def question_cards(module_questions: DataFrame, questions: DataFrame) -> DataFrame:
     """(lesson_id, id, ord, bucket, question, choices, correct_answer) of each stored question, stale ones included."""
-    q = questions.select(
+    q = questions.withColumn("_parsed", parse(F.col("choices"))).select(
         F.col("id").alias("question_id"),
         F.col("question_text").alias("question"),
-        choice_texts(F.col("choices"), F.col("question_format")).alias("choices"),
-        answer_label(F.col("correct_answer"), F.col("choices"), F.col("question_format")).alias("correct_answer"),
+        choice_texts(F.col("choices"), F.col("question_format"), F.col("_parsed")).alias("choices"),
+        answer_label(F.col("correct_answer"), F.col("choices"), F.col("question_format"), F.col("_parsed")).alias("correct_answer"),
     )
     stored = module_questions.where(F.col("bloom_level").isNotNull()).select(
         "lesson_id", "question_id", F.col("id").alias("link_id"), "ord", F.lower("bloom_level").alias("bucket")

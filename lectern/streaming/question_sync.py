@@ -1,8 +1,10 @@
 """Question sync on a stream: each micro-batch is merged into the stored snapshot.
 
 The state after all batches equals one batch merge of the last number and level seen
-per (lesson, question). Snapshots are whole new folders; a batch that is retried
-writes the folder of its own batch id again, so each batch counts once.
+per (lesson, question): the one of the latest `at`, whatever batch it comes in; at a tie the later batch's.
+Snapshots are whole new folders; a batch that is retried writes the folder of its own batch id again, so each
+batch counts once. Folders older than the one that a retry reads are removed. A batch costs a pass over the state,
+so triggers should be as far apart as the state is large.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.sync import sync_questions
 
-STATE = "id bigint, lesson_id bigint, question_id bigint, bloom_level string, ord bigint"
+STATE = "id bigint, lesson_id bigint, question_id bigint, bloom_level string, ord bigint, at timestamp"
 
 
 def snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -21,12 +23,23 @@ def snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.createDataFrame([], STATE) if batch_id < 0 else spark.read.schema(STATE).parquet(f"{path}/{batch_id}")
 
 
+def merged(before: DataFrame, batch: DataFrame) -> DataFrame:
+    """The state after rows (lesson_id, question_id, bloom_level, ord, at)."""
+    keys = ["lesson_id", "question_id"]
+    latest = batch.groupBy(*keys).agg(F.max_by(F.struct("bloom_level", "ord", "at"), "at").alias("r")).select(*keys, "r.*")
+    newer = latest.join(before.select(*keys, F.col("at").alias("_before")), keys, "left").where("_before is null or at >= _before").drop("_before")
+    after = sync_questions(before.drop("at"), newer.drop("at"))
+    seen = before.select(*keys, "at").unionByName(newer.select(*keys, "at")).groupBy(*keys).agg(F.max("at").alias("at"))
+    return after.join(seen, keys, "left").select("id", *keys, "bloom_level", "ord", "at")
+
+
 def start_sync(fresh: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """fresh: a stream of (lesson_id, question_id, bloom_level, ord, at); the latest `at` of a key in a batch wins."""
+    """fresh: a stream of (lesson_id, question_id, bloom_level, ord, at)."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("lesson_id", "question_id").agg(F.max_by(F.struct("bloom_level", "ord"), "at").alias("r"))
-        rows = latest.select("lesson_id", "question_id", "r.bloom_level", "r.ord")
-        sync_questions(snapshot(batch.sparkSession, path, batch_id - 1), rows).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        spark = batch.sparkSession
+        merged(snapshot(spark, path, batch_id - 1), batch).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -181,10 +181,14 @@ def test_stream_sync_equals_batch(spark, tmp_path):
     schema = "lesson_id bigint, question_id bigint, bloom_level string, ord bigint, at timestamp"
     spark.createDataFrame([(1, 10, "APPLY", 3, T0), (1, 11, "APPLY", 4, T0)], schema).write.parquet(f"{tmp_path}/in")
     start_sync(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    spark.createDataFrame([(1, 10, "ANALYZE", 1, T0)], schema).write.mode("append").parquet(f"{tmp_path}/in")
-    start_sync(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    rows = {(r.question_id, r.bloom_level, r.ord) for r in snapshot(spark, f"{tmp_path}/out", 1).collect()}
-    assert rows == {(10, "ANALYZE", 1), (11, "APPLY", 4)}
+    hour = dt.timedelta(hours=1)
+    for k, more in enumerate([[(1, 10, "ANALYZE", 1, T0), (1, 11, "REMEMBER", 9, T0 - hour)], [(1, 12, "APPLY", 2, T0 - hour)]], 1):
+        spark.createDataFrame(more, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        start_sync(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+        rows = {(r.question_id, r.bloom_level, r.ord) for r in snapshot(spark, f"{tmp_path}/out", k).collect()}
+        # An older row of a later batch changes nothing.
+        assert rows == {(10, "ANALYZE", 1), (11, "APPLY", 4)} | ({(12, "APPLY", 2)} if k == 2 else set())
+    assert not (tmp_path / "out" / "0").exists() and (tmp_path / "out" / "1").exists()
 
 
 def test_lookup(spark):
