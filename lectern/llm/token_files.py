@@ -70,7 +70,7 @@ _RUNS = re.compile(r"\s (?!\S)")
 _DOUBLE = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
 _SIGNS = frozenset(",.;:!?")
 _LETTERS = byte_letters()
-_ASCII = {b: _LETTERS[b] for b in range(128) if _LETTERS[b] != chr(b)}
+_LATIN = {c: "".join([_LETTERS[b] for b in chr(c).encode()]) for c in range(0x250) if c >= 128 or _LETTERS[c] != chr(c)}
 _BEYOND_LATIN = re.compile("[\x1c-\x1f]|[^\x00-\u024f]")
 KEYS_PER_BUCKET = 4
 #: Keys of an index bucket, about.
@@ -142,9 +142,11 @@ class Encoder:
             lines = word.split("\n")
             if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):  # a line break alone is a pre-token
                 return known[lines[0]] + b"".join([self.parts["Ċ"] + self.heads[x] for x in lines[1:]])
-        if piece.isascii():
+        plain = piece.isascii()
+        if plain or not _BEYOND_LATIN.search(piece):
             if word.isalpha():
-                return self._ids("Ġ" + word if known is self.pieces else word)
+                part = word if plain else word.translate(_LATIN)
+                return self._ids("Ġ" + part if known is self.pieces else part)
             if word[-1:] in _SIGNS and word[:-1].isalpha():
                 return known[word[:-1]] + self.parts[word[-1]]
         return b"".join([self.parts[part] for part in self._parts(piece)])
@@ -155,9 +157,7 @@ class Encoder:
             return ["Ġ" + part[1:] if part[0] == " " else part for part in _PATTERN.findall(piece)]
         if _BEYOND_LATIN.search(piece):
             return [part for part, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
-        if not piece.isascii():
-            return ["".join([_LETTERS[b] for b in part.encode()]) for part in _PATTERN.findall(piece)]
-        return [part.translate(_ASCII) for part in _PATTERN.findall(piece)]
+        return [part.translate(_LATIN) for part in _PATTERN.findall(piece)]
 
     def _runs(self, text: str) -> bool:
         """Whether some blank has white space before it and white space or the end behind it."""
