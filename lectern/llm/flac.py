@@ -6,7 +6,7 @@ says where frames begin; frames between two seek points follow one after the oth
 without seek table decodes too, only with less at once. Header and frame checksums and the MD5 sum
 of the samples are verified. The encoder writes mono streams: of each frame the shortest of fixed
 predictors and a linear predictor fitted to it, with Rice residuals, or a verbatim subframe where that
-is shorter, and a seek point for each frame.
+is shorter, and a seek point for every SEEK_FRAMES frames.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SAMPLE_RATE = 8000
 ORDER, PRECISION, SHIFT = 4, 8, 6
 #: Frames that are encoded or decoded at once.
 FRAMES = 8192
+#: Frames from one seek point to the next.
+SEEK_FRAMES = 4
 #: A metadata block's length has 24 bits.
 MAX_SEEK_POINTS = 900_000
 
@@ -180,7 +182,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for payload, n in zip(payloads, counts.tolist()):
         a, b = int(starts[first]), int(ends[first + n - 1])
         own = size[first : first + n]
-        every = -(-n // MAX_SEEK_POINTS)
+        every = max(SEEK_FRAMES, -(-n // MAX_SEEK_POINTS))
         points = np.zeros((-(-n // every)), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
         points["sample"] = np.arange(0, n, every) * BLOCK
         points["offset"] = (starts[first : first + n] - a)[::every]
