@@ -123,7 +123,10 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.merge = self.library.model.tokenize
+        model = self.library.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # it is asked for each word once
+        self.merge = model.tokenize
         # What was learned of pieces without a blank in front, with one, and of pre-tokens.
         self.heads, self.pieces, self.parts = Learned(self._piece, 150_000), Learned(lambda x: self._piece(" " + x), 600_000), Learned(self._ids, 150_000)
 
@@ -337,7 +340,7 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False, only_nulls: bool = False) -> DataFrame:
-    """(part, seq, doc_id, own, n_tokens, ids): rows of each block: all, those without doc_id, or those at the places in column `wanted`.
+    """(part, seq, row, doc_id, own, n_tokens, ids): rows of each block: all, those without doc_id, or those at the places in column `wanted`.
 
     With `digest`, ids_crc32 in place of ids: the checksum of the ids as little-endian unsigned 32-bit integers.
     """
@@ -361,16 +364,16 @@ def _each(rows: DataFrame, wanted: str | None = None, digest: bool = False, only
                     else:
                         values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(found).view(np.int32)))
                     place = [pa.array(np.full(len(out), x, np.int32)) for x in (block.part, block.seq)]
-                    columns = [*place, pa.array([block.key(r) for r in out], pa.int64()), pa.array([int(block.at[r]) for r in out], pa.int64()), pa.array(sizes), values]
+                    columns = [*place, pa.array(out, pa.int32()), pa.array([block.key(r) for r in out], pa.int64()), pa.array([int(block.at[r]) for r in out], pa.int64()), pa.array(sizes), values]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
-    names = ["part", "seq", "doc_id", "own", "n_tokens", kind.split()[0]]
-    return in_tasks(rows, run, f"part int, seq int, doc_id long, own long, n_tokens long, {kind}")
+    names = ["part", "seq", "row", "doc_id", "own", "n_tokens", kind.split()[0]]
+    return in_tasks(rows, run, f"part int, seq int, row int, doc_id long, own long, n_tokens long, {kind}")
 
 
 def read(spark: SparkSession, path: str, digest: bool = False, only_nulls: bool = False) -> DataFrame:
-    """(part, seq, doc_id, own, n_tokens, ids or ids_crc32) of all documents, or those without doc_id; own counts the block's ids before the document."""
+    """(part, seq, row, doc_id, own, n_tokens, ids or ids_crc32) of all documents, or those without doc_id; own counts the block's ids before the document."""
     rows = blocks(spark, path)
     return _each(rows.where("nulls > 0") if only_nulls else rows, digest=digest, only_nulls=only_nulls)
 
@@ -395,12 +398,20 @@ def places(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, digest: bool = False) -> DataFrame:
-    """What `read` gives, for the doc_ids in `keys` alone; ids that no file holds give no row."""
+    """What `read` gives, for the doc_ids in `keys` alone; ids that no file holds give no row.
+
+    Ids are read at their places once these have come to the blocks. Digests are small, so with `digest` the blocks stay where they lie
+    and their rows' digests come to the places.
+    """
     found = saved(places(spark, path, keys), "places")
     rows = blocks(spark, path)
     files = found.select("part").distinct().limit(FILES + 1).collect()
     if len(files) <= FILES:
         last = found.agg(F.min("seq"), F.max("seq")).first()
         rows = rows.where(F.col("part").isin([r.part for r in files])).where(F.col("seq").between(*last)) if files else rows.where("false")
+    if digest:
+        at = found.select("part", "seq", F.explode(F.sequence("row", F.col("row") + F.col("rows") - 1)).alias("row"), "doc_id")
+        made = _each(rows, digest=True)
+        return made.join(at, ["part", "seq", "row", "doc_id"]).select(*made.columns)
     wanted = found.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "row", "rows")).alias("wanted"))  # at most a block's rows
-    return _each(rows.join(wanted.hint("shuffle_hash"), ["part", "seq"]), "wanted", digest)
+    return _each(rows.join(wanted.hint("shuffle_hash"), ["part", "seq"]), "wanted")
