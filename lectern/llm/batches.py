@@ -148,12 +148,12 @@ def write(df: DataFrame, path: str, by: str | None = None, **options: Any) -> No
 _SAVED: list[str] = []
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there. `cleared` removes it."""
+def saved(df: DataFrame, what: str, **options: Any) -> DataFrame:
+    """df written as a table in the shared folder and read again: its lineage ends there. `cleared` removes it; options: for the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     _SAVED.append(path)
-    write(df, path)
+    write(df, path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -99,7 +99,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and digests of every document's payload, as read back from the PCM blocks of its stored FLAC stream, of the stream, and features."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
-    stored = saved(media.store_texts(docs).drop("text"), "streams")
+    stored = saved(media.store_texts(docs).drop("text"), "streams", **{"parquet.compression.codec.zstd.level": "6"})
     out = media.with_pcm(stored).withColumn("pcm", media.whole(F.col("blocks")))
     return out.select(
         "doc_id",
