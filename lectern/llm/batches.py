@@ -1,20 +1,20 @@
-"""Arrow batches in tasks: bounded slices of texts, columns appended to rows, and a shared folder for tables."""
+"""Arrow batches in tasks: bounded slices of texts, columns appended to rows, and compressed tables between steps."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.sources import shared
+
 #: Text bytes that are worked on at once; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch between the JVM and Python; each task holds a few on either side.
@@ -114,57 +114,11 @@ def crc_mod(doc_id: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; set to a temporary one only on a single machine where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-#: Spark's setting by which a query's shuffle files go when the query ends.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def write(df: DataFrame, path: str, by: str | None = None, **options: Any) -> None:
-    """df as Parquet files at `path`, in folders by the column `by`. The shuffle files of the write go when it ends."""
-    conf = df.sparkSession.conf
-    before = conf.get(TIDY, None)
-    conf.set(TIDY, "true")
-    try:
-        out = df.write.options(**{"compression": "zstd"} | options)
-        (out.partitionBy(by) if by else out).parquet(path)
-    finally:
-        if before is None:
-            conf.unset(TIDY)
-        else:
-            conf.set(TIDY, before)
-
-
-#: Folders that this process has written tables to.
-_SAVED: list[str] = []
+    """df as compressed Parquet files at `path`, in folders by the column `by`."""
+    shared.write(df, path, by, **{"compression": "zstd"} | options)
 
 
 def saved(df: DataFrame, what: str, **options: Any) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there. `cleared` removes it; options: for the Parquet writer."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    _SAVED.append(path)
-    write(df, path, **options)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def n_saved() -> int:
-    return len(_SAVED)
-
-
-def cleared(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Removes tables that `saved` wrote, from the one of number `since` on, but for the last `but`. What was made from them can't be read after."""
-    gone = _SAVED[since : len(_SAVED) - but]
-    for path in gone:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        _SAVED.remove(path)
+    """df written as a compressed table and read again: its lineage ends there. It goes with the scratch folder that it lies in."""
+    return shared.saved(df, what, **{"compression": "zstd"} | options)

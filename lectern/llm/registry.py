@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, jaccard, language, lm_score, media, pii, sharding, token_files, toxicity
+from lectern.llm import bpe, decontaminate, jaccard, language, lm_score, media, periodic, pii, prefix_bpe, sharding, token_files, toxicity, vector_codes
 from lectern.llm.batches import crc_mod, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the number of runs, the greatest one, and digests of all runs and of the collapsed text of every document."""
+    return periodic.summarise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
+
+
+@_query
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the decoded bytes of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 of every sound vector of embeddings."""
+    coded = vector_codes.encode(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    out = vector_codes.with_label_error(coded.rows, "label", "error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(coded.books)).alias("codebooks_sha256"))
+
+
+
 ORACLES["op2_ngram_jaccard_join"] = r"""
 with recursive words as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents

@@ -23,7 +23,6 @@ shards empty. Other columns move with their row.
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left
 from dataclasses import dataclass
 
@@ -31,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.batches import fresh_name, saved, shared_folder, write
+from lectern.llm.batches import fresh_name, saved, write
+from lectern.sources.shared import fresh_path
 
 KEY_BITS, SALT_BITS = 63, 11
 #: Each cell is cut in so many, 2 ** 9.
@@ -143,7 +143,7 @@ def _size(text: Column) -> Column:
 
 def _written(rows: DataFrame) -> DataFrame:
     """rows written to the shared folder, one folder per shard, and read again."""
-    path = f"{shared_folder(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
+    path = fresh_path(rows.sparkSession, "shards")
     write(rows, path, "shard")
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

@@ -41,7 +41,6 @@ import json
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -55,10 +54,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from lectern.llm.batches import in_tasks, kept, saved, shared_folder, slices
+from lectern.llm.batches import in_tasks, kept, saved, slices
 from lectern.llm.batches import write as store
 from lectern.llm.bpe import KEPT_CHARACTERS, byte_letters, check_vocabulary
 from lectern.llm.words import mixed
+from lectern.sources.shared import fresh_path
 
 #: A block ends after so many ids or rows.
 BLOCK_IDS, BLOCK_ROWS = 1 << 20, 4096
@@ -267,7 +267,7 @@ def _block(part: int, seq: int, doc_ids: list, ids: list[bytes], dtype: np.dtype
 
 def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
     """Encodes docs (doc_id, text) into the file format at `path`, by default a new folder in the shared one; returns it."""
-    path = path or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = path or fresh_path(docs.sparkSession, "tokens")
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     ordered = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")

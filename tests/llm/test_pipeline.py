@@ -1,11 +1,14 @@
 import hashlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectern.llm import batches, decontaminate, toxicity
+from lectern.llm import decontaminate, toxicity
 from lectern.llm.batches import crc_mod
+from lectern.sources.shared import shared_folder
 
 from .conftest import SCHEMA, prose
 from .test_decontaminate import brute as leaks
@@ -68,9 +71,12 @@ def test_each_stage_against_brute_force(spark):
         ids = library.encode(before[k].text, add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(" ".join(map(str, ids))))
         assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
-    first = batches.n_saved()
+    folder = Path(urlparse(shared_folder(spark)).path)
+    known = set(folder.iterdir())
     assert sorted(map(str, rows(corpus_pipeline.run(spark, DATA)))) == sorted(map(str, last))
-    assert batches.n_saved() == first + 1  # what the stages wrote on their way is gone, but for the last one's input
+    # What the stages wrote on their way is gone, but for the last one's input; nothing else is.
+    assert known < (now := set(folder.iterdir()))
+    assert [p.name[:9] for p in now - known] == ["stage-pii"]
 
 
 def test_odd_and_empty_documents(spark, odd_docs, no_docs):
