@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, jaccard, pii, toxicity
-from lectern.llm.batches import cleared, crc_mod, fresh_name, n_saved, saved
+from lectern.llm.batches import crc_mod, fresh_name, write
+from lectern.sources.shared import fresh_path, remove, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage is written before the next reads it; what earlier ones wrote is removed as soon as no stage needs it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = n_saved()
+    """The last stage's rows. Each stage is written before the next reads it; its own tables go then, and so does what it read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
-        cleared(spark, first, but=1)
+        path = fresh_path(spark, f"stage-{name}")
+        with scratch(spark, name):
+            out = stage(spark, docs, sf_dir)
+            write(out, path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
