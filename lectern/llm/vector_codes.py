@@ -9,7 +9,7 @@ distance to its entry and a lower bound of the distance to each entry. By the tr
 
 both strictly, so that no tie is lost; what is left is decided by exact squared distances, ties by the lower index.
 The bounds are kept relative to all that an entry has moved so far, so a round that finds nothing new about an entry writes
-the same bound again. A lower bound is one byte: a multiple, rounded down, of an eighth of the first distance of that part.
+the same bound again. A lower bound is a multiple, rounded down, of a quarter of the first distance of that part, up to 15 times.
 
 Rows with their bounds are a table of the shared folder, written anew in each round, the one before removed; a
 lost executor costs its tasks. What goes through the driver is the codebooks, entries and their sums, whatever the number of rows.
@@ -38,8 +38,8 @@ from lectern.sources.shared import fresh_path, remove
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Rows that are worked on at once: their bounds take a kilobyte each.
 ROWS = 2048
-#: Steps of a lower bound in the first distance of its part.
-STEPS = 8
+#: Steps of a lower bound in the first distance of its part, and the most that are told apart: few, so that the bounds compress to a third.
+STEPS, MOST_STEPS = 4, 15
 #: What float arithmetic may be wrong by, many times over; bounds give way by it.
 SLACK = 1e-6
 #: Labels whose sums go to every task; sums of more are joined.
@@ -103,7 +103,7 @@ class Bounds:
 
 
 def _steps(distance: np.ndarray, moved: np.ndarray, step: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((distance - SLACK + moved) / step), 0, 255).astype(np.uint8)
+    return np.clip(np.floor((distance - SLACK + moved) / step), 0, MOST_STEPS).astype(np.uint8)
 
 
 def first_bounds(x: np.ndarray, book: Book) -> Bounds:
