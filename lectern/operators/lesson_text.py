@@ -6,13 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import first_filled, text_piece
+from lectern.operators.numbering import dealt_by_range, split_hot
 
 
-def _joined(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """A group's text is one output value, so its pieces must meet; only non-empty pieces are moved."""
+#: Pieces of one text from which on they are joined in several tasks first.
+HOT_PIECES = 100_000
+
+
+def _joined(pieces: DataFrame, key: str, order: list[str], most: int = HOT_PIECES) -> DataFrame:
+    """(key, lesson_text): a group's non-empty pieces in order, nulls last.
+
+    A text of more than `most` pieces is made in two steps: its pieces are dealt by range of their order and joined in each
+    range, then the ranges' texts, which are few, are joined. So no task holds all pieces of a long text as rows.
+    """
     rank = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))), F.col("piece"))
     in_order: Column = F.array_sort(F.collect_list(F.when(F.col("piece") != "", rank)))
-    return pieces.groupBy(key).agg(F.concat_ws("\n\n", F.transform(in_order, lambda p: p["piece"])).alias("lesson_text"))
+    text = F.concat_ws("\n\n", F.transform(in_order, lambda p: p["piece"])).alias("lesson_text")
+    few, many = split_hot(pieces, key, most)
+    plain = few.groupBy(key).agg(text)
+    if many is None:
+        return plain
+    ranges = dealt_by_range(many, key, [F.col(c).asc_nulls_last() for c in order]).groupBy(key, "_part").agg(text)
+    some = F.array_sort(F.collect_list(F.when(F.col("lesson_text") != "", F.struct("_part", "lesson_text"))))
+    return plain.unionByName(ranges.groupBy(key).agg(F.concat_ws("\n\n", F.transform(some, lambda r: r["lesson_text"])).alias("lesson_text")))
 
 
 def _text_objects(objects: DataFrame) -> DataFrame:

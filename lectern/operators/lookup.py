@@ -34,3 +34,16 @@ def attach_or_null(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     joined = df.join(one, key, "left")
     right = F.col("_n").isNull() | _single(F.col("_n"), F.concat(F.lit(f"{key} = "), F.col(key).cast("string")))
     return joined.where(right).select(*df.columns, *[F.col("_row").getField(c).alias(c) for c in rest])
+
+
+def with_keys(df: DataFrame, column: str, keys: DataFrame, most: int = 1000) -> DataFrame:
+    """Rows of df whose column has a value of the one column of `keys`; nulls match nothing.
+
+    Up to `most` distinct keys are named in a filter, which the scan tests file by file and row group by row group; more are a
+    semi join. Few keys must be cheap to find, as they are asked for at once.
+    """
+    name = keys.columns[0]
+    values = [r[0] for r in keys.where(F.col(name).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(values) <= most:
+        return df.where(F.col(column).isin(values)) if values else df.where("false")
+    return df.join(keys.where(F.col(name).isNotNull()).withColumnRenamed(name, column), column, "left_semi").select(*df.columns)

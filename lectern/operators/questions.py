@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions.choices import answer_label, choice_texts, parse
 from lectern.functions.text import bloom_bucket
+from lectern.operators.numbering import number_within
 
 
 def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.col("node_ord").asc_nulls_last(), F.col("question_id"))
-    return rows.select(
-        key, "question_id", F.upper(bloom_bucket(F.col("bloom_level"))).alias("bloom_level"), F.row_number().over(order).cast("bigint").alias("ord")
-    )
+    order = [F.col("node_ord").asc_nulls_last(), F.col("question_id")]
+    return number_within(rows, key, order, "ord").select(key, "question_id", F.upper(bloom_bucket(F.col("bloom_level"))).alias("bloom_level"), "ord")
 
 
 def _of_objects(objects: DataFrame, questions: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.operators.sync import active_modules
 
@@ -14,9 +13,11 @@ def first_approved_course(courses: DataFrame) -> DataFrame:
 
 
 def first_active_modules(modules: DataFrame, outline: DataFrame) -> DataFrame:
-    """One row per course: its first active module by (source order, source id)."""
-    order = Window.partitionBy("course_id").orderBy(F.col("source_ord").asc_nulls_last(), F.col("source_id"))
-    return active_modules(modules, outline).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    """One row per course: its first active module by (source order, source id). The least row combines before the shuffle."""
+    active = active_modules(modules, outline)
+    order = F.struct(F.col("source_ord").isNull(), "source_ord", "source_id")
+    least = active.groupBy("course_id").agg(F.min_by(F.struct(*[c for c in active.columns if c != "course_id"]), order).alias("_row"))
+    return least.select(*[F.col(c) if c == "course_id" else F.col(f"_row.{c}").alias(c) for c in active.columns])
 
 
 def first_lesson(courses: DataFrame, modules: DataFrame, lessons: DataFrame, outline: DataFrame, course_id: int | None = None) -> DataFrame:

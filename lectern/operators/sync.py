@@ -71,6 +71,29 @@ def sync_questions(old: DataFrame, fresh: DataFrame) -> DataFrame:
     return merged.where(F.col("id").isNotNull()).unionByName(new)
 
 
+def module_changes(known: DataFrame, own_roots: DataFrame) -> DataFrame:
+    """(id, source_id, is_active, ord): of the roots, modules that are new (null id) or become active again; `known` has the modules of these roots."""
+    wanted = own_roots.select(F.col("id").alias("source_id"), "ord")
+    return wanted.join(known.select("id", "source_id", "is_active"), "source_id", "left").where("id is null or not is_active").select("id", "source_id", F.lit(True).alias("is_active"), "ord")
+
+
+def lesson_changes(known: DataFrame, modules: DataFrame, sources: DataFrame, own_roots: DataFrame) -> DataFrame:
+    """(id, module_id, source_kind, source_id, and what orders them): lessons that the modules' sources lack, without id."""
+    module = modules.select(F.col("id").alias("module_id"), F.col("source_id").alias("root_id"))
+    wanted = sources.join(module, "root_id").join(own_roots.select(F.col("id").alias("root_id"), "ord"), "root_id")
+    fresh = wanted.join(known.select("module_id", "source_kind", "source_id"), ["module_id", "source_kind", "source_id"], "left_anti")
+    return fresh.select(F.lit(None).cast("bigint").alias("id"), "module_id", "source_kind", "source_id", "ord", "root_id", "created_at")
+
+
+def question_changes(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, lesson_id, question_id, bloom_level, ord): fresh rows that are new (null id) or differ from what is known of them."""
+    keys = ["lesson_id", "question_id"]
+    old = known.select("id", *keys, F.col("bloom_level").alias("_level"), F.col("ord").alias("_ord"))
+    both = fresh.select(*keys, "bloom_level", "ord").join(old, keys, "left")
+    same = F.col("id").isNotNull() & F.col("bloom_level").eqNullSafe(F.col("_level")) & F.col("ord").eqNullSafe(F.col("_ord"))
+    return both.where(~same).select("id", *keys, "bloom_level", "ord")
+
+
 def active_modules(modules: DataFrame, outline: DataFrame, course_id: int | None = None) -> DataFrame:
     """Active modules with their course, of one course or of all."""
     out = modules.where("is_active").join(

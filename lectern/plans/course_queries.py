@@ -7,9 +7,9 @@ materials, with a stale number, plus links of questions that are no longer fresh
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from lectern.functions.text import BLOOM_BUCKETS, bloom_bucket, first_filled, no
 from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
 from lectern.operators.numbering import number_rows
 from lectern.plans import course, package
-from lectern.sources.shared import saved, shared_folder
+from lectern.sources.shared import fresh_path, saved
 from lectern.sources.tables import relation, relation_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,7 +525,7 @@ def unique_fetch(spark, t):
 )
 def snapshot_commit(spark, t):
     """Modules and lessons written as one version, as a reader finds them."""
-    root = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "state")
     modules = saved(_modules(t), "modules")
     snapshot.write_snapshot(spark, root, {"modules": modules, "lessons": _lessons(spark, t, modules)})
     kinds = {"module": "modules", "lesson": "lessons"}
@@ -551,3 +551,117 @@ def module_lesson_order(spark, t):
     """The lessons of each module in the order that a learner sees."""
     modules = package.module_view(package.without_answers(_packages(spark, t)))
     return modules.select("id", F.concat_ws(",", F.transform("lesson_nodes", lambda n: n["id"].cast("string"))).alias("lesson_ids"))
+
+
+def _store(spark, t) -> course.Course:
+    """A course store with empty state."""
+    none = spark.createDataFrame([], "id bigint, lesson_id bigint, variant string, narration string, audio_url string")
+    return course.Course(fresh_path(spark, "state"), t("f_course"), t("f_outline"), t("f_material"), t("f_object"), t("f_question"), none)
+
+
+def _course_ids(t) -> list[int]:
+    """Courses are called one by one, as a client would; they are few, whatever the size of their tables."""
+    return [r.id for r in t("f_course").select("id").orderBy("id").collect()]
+
+
+#: Ids as calls give them that sync one course after the other, by course id.
+CALLED = f"""{SOURCES},
+called_module as (
+  select row_number() over (order by course_id, ord nulls last, id) as id, id as source_id, course_id, ord from root where course_id in (select id from f_course)
+),
+called_lesson as (
+  select row_number() over (order by m.course_id, m.ord nulls last, s.root_id, s.created_at nulls last, s.source_id) as id, m.id as module_id, m.course_id, s.source_kind, s.source_id
+  from sources s join called_module m on m.source_id = s.root_id
+),
+called_first as (
+  select l.* from called_lesson l join (select * from called_module qualify row_number() over (partition by course_id order by ord nulls last, source_id) = 1) m on m.id = l.module_id
+  left join f_outline o on l.source_kind = 'outline' and o.id = l.source_id
+  qualify row_number() over (partition by l.course_id order by o.ord nulls last, l.id) = 1
+)"""
+
+
+@_query(
+    f"""+{CALLED}
+select 'module' as kind, id, 'outline' as source_kind, source_id, id as module_id from called_module
+union all select 'lesson', id, source_kind, source_id, module_id from called_lesson""",
+    "f_course",
+    "f_outline",
+    "f_material",
+)
+def sync_course_call(spark, t):
+    """Modules and lessons after each course has been brought up to date by a call of its own."""
+    store = _store(spark, t)
+    for c in _course_ids(t):
+        course.sync_course_outline(spark, store, c)
+    state = snapshot.current(spark, store.root)
+    modules = state.rows(course.MODULES).select(F.lit("module").alias("kind"), "id", F.lit("outline").alias("source_kind"), "source_id", F.col("id").alias("module_id"))
+    return modules.unionByName(state.rows(course.LESSONS).select(F.lit("lesson").alias("kind"), "id", "source_kind", "source_id", "module_id"))
+
+
+@_query(f"+{CALLED} select course_id, module_id, id as lesson_id, source_kind, source_id from called_first", "f_course", "f_outline", "f_material")
+def first_lesson_call(spark, t):
+    """The lesson that each course begins with, asked for by a call for each course."""
+    store = _store(spark, t)
+    found = [course.first_lesson_node(spark, store, c) for c in _course_ids(t)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query(
+    f"""+{CALLED}, {MATERIAL_TEXT}, {NUMBERED}, {CHOICES},
+saved as (select material_id, lower(variant) as variant, id, narration, audio_url from f_variant qualify row_number() over (partition by material_id, lower(variant) order by id desc) = 1),
+node_text as (
+  select m.outline_node_id as node_id, coalesce(string_agg(p, chr(10) || chr(10) order by material_id, ord nulls last, piece.id) filter (where p <> ''), '') as lesson_text
+  from piece join f_material m on m.id = piece.material_id where m.status = 'completed' group by 1
+),
+by_node as (
+  select m.outline_node_id as node_id, q.id as question_id,
+    case lower(coalesce(q.bloom_level, '')) when 'remember' then 'REMEMBER' when 'understand' then 'UNDERSTAND' else 'ANALYZE' end as bloom_level,
+    row_number() over (partition by m.outline_node_id order by o.ord nulls last, q.id) as ord
+  from f_question q join f_object o on o.id = q.node_id join f_material m on m.id = o.material_id where o.kind = 'text'
+),
+asked as (
+  select distinct on (course_id) l.* from called_lesson l
+  where l.source_kind = 'material' and l.source_id in (select material_id from numbered) or l.source_kind = 'outline' and l.source_id in (select node_id from by_node)
+  order by course_id, id
+),
+called as (select * from called_first union select * from asked),
+link as (
+  select l.id as lesson_id, n.question_id, n.bloom_level, n.ord from called l join numbered n on l.source_kind = 'material' and n.material_id = l.source_id
+  union all
+  select l.id, n.question_id, n.bloom_level, n.ord from called l join by_node n on l.source_kind = 'outline' and n.node_id = l.source_id
+),
+shown as (
+  select l.id as lesson_id, l.source_kind, l.source_id, coalesce(nullif(coalesce(x.lesson_text, n.lesson_text), ''), nullif(o.description, ''), 'Lesson ' || cast(l.id as varchar)) as lesson_text
+  from called l left join material_text x on l.source_kind = 'material' and x.material_id = l.source_id
+  left join node_text n on l.source_kind = 'outline' and n.node_id = l.source_id
+  left join f_outline o on l.source_kind = 'outline' and o.id = l.source_id
+)
+select t.lesson_id, 'variant' as kind, k.variant as key, 0 as ord, case when s.id is not null then s.narration else t.lesson_text end as text, coalesce(s.audio_url, '') as more
+from shown t cross join (values ('normal'), ('elaborated'), ('simplified')) k(variant)
+left join saved s on t.source_kind = 'material' and s.material_id = t.source_id and s.variant = k.variant
+union all
+select k.lesson_id, 'question', lower(k.bloom_level), k.ord, q.question_text, array_to_string(c.texts, '|') || '>' || c.label
+from link k join f_question q on q.id = k.question_id join labelled c on c.id = k.question_id""",
+    "f_course",
+    *_PACKAGE_TABLES,
+    "f_variant",
+)
+def build_package_call(spark, t):
+    """Variants and questions of the packages of each course's first lesson, and of its first one that has a question, each built by a call of its own."""
+    store = _store(spark, t)
+    firsts = [course.first_lesson_node(spark, store, c).first() for c in _course_ids(t)]
+    state = snapshot.current(spark, store.root)
+    lessons = state.rows(course.LESSONS)
+    store.variants = _lesson_variants(t, lessons)
+    of_course = sync.active_modules(state.rows(course.MODULES), t("f_outline")).select(F.col("id").alias("module_id"), "course_id")
+    asked = questions.fresh_questions(lessons, t("f_object"), t("f_question"), t("f_material")).select(F.col("lesson_id").alias("id"))
+    asked = lessons.join(asked, "id", "left_semi").join(of_course, "module_id").groupBy("course_id").agg(F.min("id").alias("id"))  # a row a course
+    rows = []
+    for lesson_id in sorted({f.lesson_id for f in firsts if f} | {r.id for r in asked.collect()}):
+        package_ = course.build_package(spark, store, lesson_id).select(F.col("lesson_node.id").alias("lesson_id"), "variants", "questions")
+        variant = package_.select("lesson_id", F.explode("variants").alias("key", "v"))
+        rows.append(variant.select("lesson_id", F.lit("variant").alias("kind"), "key", F.lit(0).cast("bigint").alias("ord"), "v.text", F.col("v.audio_url").alias("more")))
+        card = package_.select("lesson_id", F.explode("questions").alias("key", "cards")).select("lesson_id", "key", F.explode("cards").alias("c"))
+        more = F.concat(F.concat_ws("|", "c.choices"), F.lit(">"), "c.correct_answer")
+        rows.append(card.select("lesson_id", F.lit("question").alias("kind"), "key", F.col("c.order").alias("ord"), F.col("c.question").alias("text"), more.alias("more")))
+    return reduce(DataFrame.unionByName, rows)

@@ -243,7 +243,7 @@ def test_course_calls(spark, tmp_path):
     assert snapshot.current_version(spark, store.root) == 0
     active = course.sync_course_outline(spark, store, 1).collect()
     assert sorted((r.id, r.source_id, r.course_id) for r in active) == [(1, 1, 1), (2, 4, 1)]
-    lessons = lambda: sorted(tuple(r) for r in snapshot.read_snapshot(spark, store.root, "lessons").collect())
+    lessons = lambda: sorted(tuple(r) for r in snapshot.current(spark, store.root).rows(course.LESSONS).collect())
     assert lessons() == [(1, 1, "material", 10), (2, 2, "outline", 4)] and snapshot.current_version(spark, store.root) == 1
     # The first approved course is the other one: only now it is synced, and what was there stays.
     first = course.first_lesson_node(spark, store).first()
@@ -259,7 +259,7 @@ def test_course_calls(spark, tmp_path):
         assert (p.module.id, p.module.title, p.lesson_node.id, p.lesson_node.title) == (1, "M1", 1, "Lesson 1")
         assert {k: (v.text, v.audio_url) for k, v in p.variants.items()} == {"normal": ("T\nwords", ""), "elaborated": ("longer", "u"), "simplified": ("T\nwords", "")}
         assert {k: [(c.id, c.order, c.correct_answer) for c in v] for k, v in p.questions.items()} == {"remember": [(7, 1, "B")], "understand": [], "analyze": []}
-    assert snapshot.read_snapshot(spark, store.root, "module_questions").count() == 1
+    assert snapshot.current(spark, store.root).rows(course.QUESTIONS).count() == 1
     store.courses = store.courses.where("not is_approved")
     assert course.first_lesson_node(spark, store).count() == 0
 
