@@ -1,28 +1,26 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact shingle similarity.
 
 An item matches a window of as many words if the weighted Jaccard similarity of their five-word
-shingles, each weighted by the length of its words, is THRESHOLD or more. Two ways propose places:
-
-* Every window of a text gets 64-bit SimHashes of its words, one for each window length. A match may
-  differ from its item in a few words at either end (`spare`: more cost it too many shingles), so an item
-  is fingerprinted at its beginning, middle and end, each run without the words that may differ: edits at
-  one end leave the run at the other whole. Lengths are rounded down to a geometric series, so that a few
-  serve all items. Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree in one
-  block at least, so looking up each block finds all within the radius.
-* Words changed inside a long item can move all three fingerprints beyond the radius. So of each item the
-  shingles that are rarest in the benchmark are looked up too, as many as weigh more than 1 - THRESHOLD of
-  it: a window without any of them cannot match. All windows that hold a found shingle are proposed.
-
-What is proposed is compared with the item exactly, in windows of the item's own number of words, so all
-matches are found, wherever the edits are.
-
-A benchmark goes to the tasks in chunks of a fixed size, each in a pass of its own: what one pass has
+shingles, each weighted by the length of its words, is THRESHOLD or more.
+
+Every window of a text gets 64-bit SimHashes of its words, one for each window length; running votes serve all lengths. A
+window's length is the item's, rounded down to a geometric series of ratio STEP so that a few lengths serve all items. As edits
+at an item's ends may leave a match, windows without the words that these may take are fingerprinted as well.
+Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree in one
+block at least, so looking up each block finds all within the radius. What is found is compared with the item exactly, in all windows
+of the item's own number of words around it, and only matches count.
+
+So all fingerprints within the radius are found, and all that is reported is a match. That a match's fingerprint lies within the radius is very
+likely, not sure (the README has the measured recall). With `exact`, the shingles of each item that are rarest in the benchmark are looked up
+as well, as many as weigh more than 1 - THRESHOLD of it: no window without one of them can match, so nothing is missed whatever the edits.
+
+A benchmark's distinct items go to the tasks in chunks of bounded bytes, each in a pass of its own: what one pass has
 found is written to the shared folder before the next, so driver and tasks hold one chunk at a time.
 Texts are never shuffled.
 
 Edge cases: null and empty texts have no leak; null, empty and wordless items match nothing; an item
-of fewer than five words has one shingle and counts only if found whole; items with equal texts, or
-repeated rows, are reported each by their item_id, once per document and item_id. Other columns of
+of fewer than five words has one shingle and counts only if found whole; items with equal texts are reported each by their
+item_id, once per document and item_id; repeated items count as one. Other columns of
 the documents pass through.
 """
 
@@ -36,6 +34,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.batches import fresh_name, in_tasks, saved, slices
 from lectern.llm.words import Words, shingle_hashes, words_of
+from lectern.operators.numbering import running_sum
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 RADIUS = 5
@@ -63,10 +62,11 @@ def spare(words: int) -> int:
     return int(max(0, words - SHINGLE_WORDS + 1) * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9)
 
 
-def runs_of(words: int) -> tuple[int, list[int]]:
-    """(length, offsets) of the runs of an item's words that are fingerprinted."""
-    length = window_length(words - spare(words))
-    return length, sorted({0, (words - length) // 2, words - length})
+def runs_of(words: int) -> list[tuple[int, int]]:
+    """(length, offset) of the windows of an item that are fingerprinted: of its own size from either end, and, as edits at an end may
+    take `spare` words from it, windows without these at its beginning, middle and end."""
+    whole, inner = window_length(words), window_length(words - spare(words))
+    return sorted({(whole, 0), (whole, words - whole), *((inner, at) for at in (0, (words - inner) // 2, words - inner))})
 
 
 def running_votes(hashes: np.ndarray, longest: int) -> np.ndarray:
@@ -146,14 +146,14 @@ class Rare:
 
 
 class Benchmark:
-    def __init__(self, item_ids: list[int], texts: list[str]):
+    def __init__(self, item_ids: list[int], texts: list[str], exact: bool = True):
         w = words_of(pa.array(texts, pa.string()))
         hashes, lengths = w.hashes(), w.end - w.start
         self.item_ids, self.words = np.array(item_ids, np.int64), w.counts()
         by_length: dict[int, list[tuple[int, int]]] = {}
         for k in np.flatnonzero(self.words).tolist():
-            length, offsets = runs_of(int(self.words[k]))
-            by_length.setdefault(length, []).extend([(k, at) for at in offsets])
+            for length, at in runs_of(int(self.words[k])):
+                by_length.setdefault(length, []).append((k, at))
         self.longest = max(by_length, default=1)
         votes = running_votes(hashes, self.longest)
         self.spare = np.array([spare(n) for n in self.words.tolist()], np.int64)
@@ -176,6 +176,7 @@ class Benchmark:
         self.keys, self.weights = keys[first], weight[first]
         self.first = np.searchsorted(item[first], np.arange(len(item_ids) + 1))
         self.weight = np.bincount(item, weight, len(item_ids)).astype(np.int64)
+        self.exact = exact
         self.rare = Rare(self.keys, item[first], self.weights * self.counts)
         self.sizes = sorted({min(n, SHINGLE_WORDS) for n in self.words.tolist() if n})
 
@@ -194,7 +195,7 @@ class Benchmark:
                 low.append(np.maximum(start - self.spare[item], first))
                 high.append(np.minimum(np.maximum(start + self.spare[item], first), windows))
                 items.append(item)
-        for size, (own, start) in shingles.items():
+        for size, (own, start) in shingles.items() if self.exact else ():
             place, found = self.rare.find(own)
             fits = np.minimum(self.words[found], SHINGLE_WORDS) == size
             place, found = place[fits], found[fits]
@@ -274,31 +275,40 @@ class Benchmark:
         return both / either
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text: str = "text") -> DataFrame:
-    """docs with a column `name`: the items that a text holds, with the best place (a word's number) and similarity of each."""
-    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+def in_chunks(known: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct items with `chunk`, each chunk of about CHUNK_BYTES (or of one longer item), and how many chunks there are."""
+    known = known.distinct()
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // CHUNK_BYTES))
-    if chunks > 1:
-        known = saved(known, "benchmark")
+    if total <= CHUNK_BYTES:
+        return known.withColumn("chunk", F.lit(0)), 1
+    numbered = running_sum(known.withColumn("_all", F.lit(0)), "_all", [F.xxhash64("item_id", "text"), F.col("item_id"), F.col("text")], F.octet_length("text").cast("bigint"), "_upto", most=10_000)
+    chunks = saved(numbered.select("item_id", "text", F.floor(F.col("_upto") / CHUNK_BYTES).cast("int").alias("chunk")), "benchmark")
+    return chunks, total // CHUNK_BYTES + 1
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text: str = "text", exact: bool = True) -> DataFrame:
+    """docs with a column `name`: the items that a text holds, with the best place (a word's number) and similarity of each.
+
+    `exact`: rare shingles propose places beside the fingerprints, so that no match is missed; without it, fingerprints alone decide where to look.
+    """
+    known, chunks = in_chunks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null"))
     columns = []
     out = docs
     for k in range(chunks):
-        mine = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        rows = mine.collect()  # one chunk of bounded size
+        rows = known.where(F.col("chunk") == k).collect()  # one chunk of bounded size
         columns.append(fresh_name(out, f"leaks_{k}"))
-        out = _against(out, [r.item_id for r in rows], [r.text for r in rows], columns[-1], text)
+        out = _against(out, [r.item_id for r in rows], [r.text for r in rows], columns[-1], text, exact)
         if k < chunks - 1:  # else the passes would share a task, each with its own index
             out = saved(out, "leaks")
     found = F.concat(*columns) if chunks > 1 else F.col(columns[0])
     return out.select(*docs.columns, found.alias(name))
 
 
-def _against(docs: DataFrame, item_ids: list[int], texts: list[str], name: str, text: str) -> DataFrame:
+def _against(docs: DataFrame, item_ids: list[int], texts: list[str], name: str, text: str, exact: bool) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, LEAK)])
 
     def run(batches):
-        items = Benchmark(item_ids, texts)
+        items = Benchmark(item_ids, texts, exact)
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(items.leaks(part.column(text)), _ARROW)], names=schema.names)

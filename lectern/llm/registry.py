@@ -51,7 +51,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids, similarity (the best) of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    out = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"), exact=False)
     return out.select(
         "doc_id",
         (F.size("leaks") > 0).alias("contaminated"),

@@ -151,3 +151,52 @@ def test_edits_at_every_place_are_found():
             iw = words(dict(items)[x["item_id"]])
             every = [like(ws[i : i + len(iw)], iw) for i in range(len(ws))]
             assert (x["word"], x["similarity"]) == (every.index(max(every)), max(every))
+
+
+def edited_items():
+    r = random.Random(11)
+    items = [(i, prose(6000 + i, n, 3000)) for i, n in enumerate([15, 17, 20, 24, 29, 35, 42, 50, 59, 80, 120])]
+    rows = []
+    for i, t in items:
+        for at in range(0, len(t.split()), 3):
+            ws = t.split()
+            ws = r.choice([ws, ws[:at] + ["zzz"] + ws[at + 1 :], ws[:at] + ws[at + 1 :], ["zzz"] + ws[1:]])
+            rows.append((i, f"{prose(r.randrange(10**6), 15, 3000)} {' '.join(ws)} {prose(r.randrange(10**6), 5, 3000)}"))
+    return items, rows
+
+
+def test_fingerprints_decide_where_to_look(spark, monkeypatch):
+    """Without `exact`, what the Hamming index finds is all that is compared: without the index nothing is found."""
+    items, rows = edited_items()
+    docs = spark.createDataFrame([(k, text, None, None, None) for k, (_, text) in enumerate(rows)], SCHEMA)
+    bench = spark.createDataFrame([(i, t, "") for i, t in items], ITEM)
+    found = {r.doc_id: {x.item_id for x in r.leaks} for r in decontaminate.find_leaks(docs, bench, exact=False).collect()}
+    want = {k: brute(text, items) for k, (_, text) in enumerate(rows)}
+    assert all(found[k] <= want[k] for k in want) and sum(map(len, want.values())) > 100
+    assert sum(map(len, found.values())) >= 0.99 * sum(map(len, want.values()))
+    bare = decontaminate.Benchmark(*map(list, zip(*items)), exact=False)
+    monkeypatch.setattr(decontaminate.Index, "within", lambda self, prints: (np.zeros(0, np.int64),) * 2)
+    assert not any(bare.leaks(pa.array([text for _, text in rows])))
+
+
+def test_windows_are_of_the_items_size():
+    for n in range(1, 400):
+        runs = decontaminate.runs_of(n)
+        assert max(length for length, _ in runs) > n / 1.3 - 1 and all(0 <= at <= n - length for length, at in runs)
+        assert {at for length, at in runs if length == max(x for x, _ in runs)} >= {0, n - max(x for x, _ in runs)}
+
+
+def test_repeated_items_count_once(spark, monkeypatch):
+    """A repeated item is in one chunk once, and chunks are bounded by bytes."""
+    one = prose(500, 30)
+    items = spark.createDataFrame([(1, one, str(k)) for k in range(300)] + [(2 + k, prose(600 + k, 30), "") for k in range(40)], ITEM)
+    docs = spark.createDataFrame([(1, prose(1, 20) + " " + one, None, None, None), (2, prose(2, 50), None, None, None)], SCHEMA)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 1000)
+    known, chunks = decontaminate.in_chunks(items.select("item_id", "text"))
+    sizes = {}
+    for r in known.collect():
+        sizes.setdefault(r.chunk, []).append(len(r.text))
+    assert sum(map(len, sizes.values())) == 41 and max(sizes) < chunks and all(sum(x) - x[-1] <= 2000 for x in sizes.values())
+    for exact in (True, False):
+        got = decontaminate.find_leaks(docs, items.where("item_id < 12"), exact=exact).collect()
+        assert {r.doc_id: [x.item_id for x in r.leaks] for r in got} == {1: [1], 2: []}
