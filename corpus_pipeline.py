@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table gives none, with an empty benchmark all stay. Columns come back as they were, whatever their names.
     """
     name = fresh_name(docs, "leaks")
-    return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name).where(F.size(name) == 0).select(*docs.columns)
+    return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name, exact=False).where(F.size(name) == 0).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
