@@ -116,14 +116,21 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def sample(docs: DataFrame, most: int, many: int = MANY) -> DataFrame:
     """About `most` documents of each language, drawn by hash; docs: doc_id, text, lang. Fewer if there are fewer.
 
-    A threshold for each language's hash lets through slightly more than are wanted, so no language has to be sorted.
+    A threshold for each language's hash lets through slightly more than are wanted, so no language has to be sorted. Of rows
+    that agree in doc_id and text, as many are drawn as their number and their hash say: what is drawn depends on the rows
+    alone, not on how they lie in partitions. Only hashes and counts are shuffled, and then the texts drawn.
     """
     sizes = saved(docs.groupBy("lang").count(), "languages")
     sizes = F.broadcast(sizes) if sizes.limit(many + 1).count() <= many else sizes
     share = F.least(F.lit(1.0), F.lit(1.2 * most) / F.col("count"))
-    row = F.monotonically_increasing_id()  # rows that are equal otherwise are drawn each by itself
-    pick = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text", row), F.lit(1 << 30)) / (1 << 30)
-    return docs.withColumn("pick", pick).join(sizes, "lang").where(F.col("pick") < share).select("lang", "pick", "text")
+    part = lambda x: F.pmod(x, F.lit(1 << 30)) / (1 << 30)
+    hashed = docs.withColumns({"_a": F.xxhash64(F.lit(11), "doc_id", "text"), "_b": F.xxhash64(F.lit(12), "text", "doc_id")})
+    equal = hashed.groupBy("lang", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    drawn = equal.join(sizes, "lang").withColumn("_drawn", F.floor(F.col("_n") * share + part(F.col("_a")))).where("_drawn > 0")
+    drawn = saved(drawn.select("lang", "_a", "_b", "_drawn"), "drawn")
+    texts = hashed.join(drawn, ["lang", "_a", "_b"]).groupBy("lang", "_a", "_b", "_drawn").agg(F.min("text").alias("text"))
+    each = texts.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_drawn")))
+    return each.select("lang", part(F.xxhash64(F.lit(13), "_a", "_b", "_k")).alias("pick"), "text")
 
 
 def _cluster(x: np.ndarray, seed: int = 3) -> np.ndarray:

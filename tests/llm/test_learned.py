@@ -233,3 +233,19 @@ def test_repeated_documents_are_set_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.ce_background for r in lm_score.compare(docs, spark.createDataFrame([(30 + i,) for i in range(10)], "doc_id bigint")).collect()}
     assert max(got[0], got[100]) < min(v for k, v in got.items() if k not in (0, 100)) - 1
+
+
+def test_languages_do_not_hang_on_partitions(spark, monkeypatch):
+    """The same rows in other partitions give the same model, where the sample leaves most rows out; repeated rows are drawn each by itself."""
+    monkeypatch.setattr(language, "SAMPLE", 12)
+    rows = [(k, prose(k, 25), f"l{k % 3}") for k in range(150)] + [(7, "again and again", "l1")] * 60 + [(None, prose(900, 20), "l2"), (4, None, "l0"), (5, "x y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    answers = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts, "text") if parts > 1 else docs.coalesce(1)
+        out = language.identify(docs.select("doc_id", "text"), language.fit(dealt))
+        answers.append(sorted(map(str, map(tuple, out.collect()))))
+        drawn = [r.text for r in language.sample(dealt.where("lang is not null and text is not null"), 12).collect()]
+        answers[-1].append(sorted(drawn))
+        assert 3 <= drawn.count("again and again") <= 12 and len(drawn) < 70
+    assert answers[0] == answers[1]
