@@ -32,7 +32,8 @@ very many rows is spread too; the index has one entry for each block that holds
 
 Edge cases: null reads as empty text, which has the end id alone; rows without doc_id are kept
 and listed but have no key; rows that share a doc_id follow each other by text hash and one key
-finds them all; an empty table gives no block; columns besides doc_id and text are not read.
+finds them all; an empty table gives no block; columns besides doc_id and text are not read; doc_ids of
+another type are cast to 64-bit integers, as asked keys are.
 """
 
 from __future__ import annotations
@@ -269,7 +270,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
     """Encodes docs (doc_id, text) into the file format at `path`, by default a new folder in the shared one; returns it."""
     path = path or fresh_path(docs.sparkSession, "tokens")
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    ordered = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +401,8 @@ def places(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 def lookup(spark: SparkSession, path: str, keys: DataFrame, digest: bool = False) -> DataFrame:
     """What `read` gives, for the doc_ids in `keys` alone; ids that no file holds give no row.
 
-    Ids are read at their places once these have come to the blocks. Digests are small, so with `digest` the blocks stay where they lie
-    and their rows' digests come to the places.
+    Places meet their blocks, and of each block only the rows at these places are read (and digested, with `digest`). The block's own key
+    turns away what a fingerprint let through.
     """
     found = saved(places(spark, path, keys), "places")
     rows = blocks(spark, path)
@@ -409,9 +410,5 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, digest: bool = False
     if len(files) <= FILES:
         last = found.agg(F.min("seq"), F.max("seq")).first()
         rows = rows.where(F.col("part").isin([r.part for r in files])).where(F.col("seq").between(*last)) if files else rows.where("false")
-    if digest:
-        at = found.select("part", "seq", F.explode(F.sequence("row", F.col("row") + F.col("rows") - 1)).alias("row"), "doc_id")
-        made = _each(rows, digest=True)
-        return made.join(at, ["part", "seq", "row", "doc_id"]).select(*made.columns)
     wanted = found.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "row", "rows")).alias("wanted"))  # at most a block's rows
-    return _each(rows.join(wanted.hint("shuffle_hash"), ["part", "seq"]), "wanted")
+    return _each(rows.join(wanted.hint("shuffle_hash"), ["part", "seq"]), "wanted", digest)

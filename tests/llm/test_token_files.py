@@ -105,3 +105,28 @@ def test_query(spark):
         ids = np.array(ids_of(docs[doc_id]), "<u4")
         assert tuple(rows[doc_id])[1:] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_lookup_reads_its_places_only(spark, odd_docs):
+    """Rows are read and digested above the join with the places: what a lookup makes is what it was asked for."""
+    path = token_files.write(odd_docs.withColumn("doc_id", odd_docs.doc_id.cast("int")), PATH)
+    every = {}
+    for r in token_files.read(spark, path, digest=True).collect():
+        every.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    for keys in ([7], [1, 5, 12, 999_999]):
+        asked = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+        out = token_files.lookup(spark, path, asked, digest=True)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("Join") and plan.count("MapInArrow") == 1
+        assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in out.collect()) == sorted((k, *x) for k in keys for x in every.get(k, []))
+
+
+def test_fingerprints_turn_keys_away():
+    """Of keys that the index does not have, the stored fingerprints let none of 100,000 through."""
+    r = np.random.default_rng(4)
+    keys = np.unique(r.integers(0, 1 << 40, 4000))
+    pilots, prints, _ = token_files.build_index(keys)
+    others = np.setdiff1d(r.integers(0, 1 << 40, 100_000), keys)
+    assert (token_files.find(others, pilots, prints) < 0).all()
+    bare = np.zeros_like(prints)
+    assert (token_files.find(keys, pilots, prints) >= 0).all() and (token_files.find(keys, pilots, bare) < 0).mean() > 0.99
