@@ -1,80 +1,128 @@
 """Answer choices are JSON of changing kind: object, list, string, or nothing.
 
-`from_json` keeps the digits of numbers as written, VARIANT knows an element's
-type; together they give the text form the back end prints (`True`, `None`).
-Where several of these functions are used, give them `parsed`, a column of
-`parse(choices)`: else each parses anew wherever it asks for a type.
-Nested containers and floats below 1e-6 keep JSON's own text form.
+They are read once, into `items`: what a learner may be shown, as text in the form of the course back end's language (`True`, `None`, `1e-07`).
+Plain JSON (lists and objects of strings without escapes, whole numbers, short fractions and literals) is told by one expression and cut by
+another, in the JVM. Anything else (nested values, escapes, exponents, long numbers) goes through Python's own reader, in
+Arrow batches; `with_items` leaves that step out where a table has no such row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import ANSWER_LABELS, strip
 
+#: kind: map, list or none. shown: the texts that a learner sees, of a map those of labels whose value counts as true. low: the texts
+#: that an answer may equal, stripped and in lower case; a map has one for each answer label.
+ITEMS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("shown", T.ArrayType(T.StringType())), T.StructField("low", T.ArrayType(T.StringType()))])
+
+_BLANK = r"[ \t\n\r]*+"
+_TEXT = r'"[^"\\\x00-\x1f]*+"'
+#: Whole numbers and fractions that print as they are written.
+_NUMBER = r"(?:-?[1-9][0-9]{0,17}+|0|-?(?:0|[1-9][0-9]{0,8}+)\.(?:0|[0-9]{0,3}[1-9]))(?![0-9.eE])"
+_VALUE = rf"(?:{_TEXT}|{_NUMBER}|true|false|null)"
+_LIST = rf"\[{_BLANK}(?:{_VALUE}{_BLANK}(?:,{_BLANK}{_VALUE}{_BLANK})*+)?\]"
+_MAP = rf"\{{{_BLANK}(?:{_TEXT}{_BLANK}:{_BLANK}{_VALUE}{_BLANK}(?:,{_BLANK}{_TEXT}{_BLANK}:{_BLANK}{_VALUE}{_BLANK})*+)?\}}"
+_PLAIN = rf"\A{_BLANK}(?:{_LIST}|{_MAP}|{_VALUE}){_BLANK}\z"
+#: Longer texts are left to Python, as the expression needs stack for each element.
+_LONG = 4000
+
+
+def is_plain(choices: Column) -> Column:
+    """Whether the items of choices need no Python; nulls don't."""
+    return F.coalesce((F.length(choices) <= _LONG) & choices.rlike(_PLAIN), choices.isNull())
 
-def parse(choices: Column) -> Column:
-    return F.try_parse_json(choices)
 
+def _shown(token: Column) -> Column:
+    """The text of one token."""
+    quoted = token.startswith('"')
+    literal = F.when(token.isin("true", "false"), F.initcap(token)).when(token == "null", "None").otherwise(token)
+    return F.when(quoted, token.substr(F.lit(2), F.length(token) - 2)).otherwise(literal)
 
-def _element_kind(parsed: Column, path: str) -> Column:
-    """BOOLEAN, VOID, BIGINT, .. of the element at a JSON path; null if there is none."""
-    return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
 
+def _filled(token: Column) -> Column:
+    return ~token.isin('""', "0", "0.0", "-0.0", "false", "null")
 
-def _as_text(text: Column, kind: Column) -> Column:
-    return F.when(text.isNull(), F.lit("None")).when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
+def _struct(kind: Column, shown: Column, low: Column) -> Column:
+    return F.struct(kind.alias("kind"), shown.alias("shown"), low.alias("low"))
 
-def _truthy(text: Column, kind: Column) -> Column:
-    number = text.try_cast("double")
+
+def plain_items(choices: Column) -> Column:
+    """ITEMS of plain choices; of nulls and of anything else that is no container, no item."""
+    first = F.regexp_extract(choices, r"\A[ \t\n\r]*+(.)", 1)
+    tokens = F.regexp_extract_all(choices, F.lit(rf"{_TEXT}|[^ \t\n\r,:\[\]{{}}]++"), F.lit(0))
+    low = lambda texts: F.transform(texts, lambda t: F.lower(strip(t)))
+
+    names, values = (F.reverse(F.filter(tokens, lambda t, i: i % 2 == k)) for k in (0, 1))  # so that the last of repeated names comes first
+    of = [F.get(values, F.array_position(names, f'"{label}"').cast("int") - 1) for label in ANSWER_LABELS]  # null where a label is missing
+    filled = F.transform(F.filter(F.array(*of), lambda t: t.isNotNull() & _filled(t)), _shown)
+    labelled = low(F.array(*[F.coalesce(_shown(t), F.lit("")) for t in of]))
+
+    listed = F.transform(F.slice(tokens, 1, 4), _shown)
+    body = F.trim(F.translate(choices, "\t\n\r", "   "))
+    letters = F.slice(F.regexp_extract_all(_shown(body), F.lit("(?s)."), F.lit(0)), 1, 4)
+    row = F.when(first == '"', letters).otherwise(listed)
+    none = F.array().cast("array<string>")
     return (
-        text.isNotNull()
-        & (text != "")
-        & ~((kind == "BOOLEAN") & (text == "false"))
-        & ~(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == 0) & number.isNotNull())
-        & ~(kind.rlike("^(ARRAY|OBJECT)") & text.isin("[]", "{}"))
+        F.when((first == "{") & (F.size(tokens) > 0), _struct(F.lit("map"), filled, labelled))
+        .when(first.isin("[", "{", '"'), _struct(F.lit("list"), row, low(row)))
+        .otherwise(_struct(F.lit("none"), none, none))
     )
 
 
-def choice_map(choices: Column) -> Column:
-    """map<label, text> of an object, null for anything else; an empty object counts as no object."""
-    parsed = F.from_json(choices, "map<string,string>")
-    return F.when(F.ltrim(choices).startswith("{") & (F.size(parsed) > 0), parsed)
+def read_items(text: str | None) -> tuple[str, list[str], list[str]]:
+    """ITEMS of any JSON text, by Python's reader; what is no JSON has no item."""
+    try:
+        value = json.loads(text or "null")
+        if isinstance(value, dict) and value:
+            kind, shown, every = "map", [str(value[x]) for x in ANSWER_LABELS if value.get(x)], [str(value.get(x, "")) for x in ANSWER_LABELS]
+        elif isinstance(value, (dict, list, str)):
+            shown = every = [str(x) for x in list(value)[:4]]
+            kind = "list"
+        else:
+            return "none", [], []
+    except (ValueError, RecursionError):
+        return "none", [], []
+    whole = lambda s: s.encode("utf-8", "replace").decode()  # noqa: E731  (half a surrogate pair is no character)
+    return kind, list(map(whole, shown)), [whole(s.strip().lower()) for s in every]
 
 
-def choice_list(choices: Column, parsed: Column | None = None) -> Column:
-    """The first four elements as text; of a bare string, its first four characters; else an empty list."""
-    parsed = parse(choices) if parsed is None else parsed
-    body = F.trim(choices)
-    array = F.from_json(choices, "array<string>")
-    listed = F.array(*(F.struct(F.get(array, F.lit(i)).alias("t"), _element_kind(parsed, f"$[{i}]").alias("k")) for i in range(4)))
-    listed = F.transform(F.slice(listed, 1, F.least(F.size(array), F.lit(4))), lambda e: _as_text(e["t"], e["k"]))
-    string = F.try_variant_get(parsed, "$", "string")
-    letters = F.slice(F.regexp_extract_all(string, F.lit("(?s)."), F.lit(0)), 1, 4)
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.when(body.startswith("[") & array.isNotNull(), listed).when(body.startswith('"'), letters), empty)
+def _odd_items(choices: Column) -> Column:
+    """ITEMS by `read_items`, in Arrow batches."""
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([read_items(t) for t in texts], columns=ITEMS.names)
+
+    read.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(read, ITEMS)(choices)
+
+
+def parse(choices: Column) -> Column:
+    """ITEMS of any choices. Python has a part in its plan; `with_items` looks first whether there is need."""
+    plain = is_plain(choices)
+    return F.when(plain, plain_items(choices)).otherwise(_odd_items(F.when(~plain, choices)))
+
+
+def with_items(questions: DataFrame, name: str = "_parsed") -> DataFrame:
+    """questions with a column of their choices' ITEMS; Python has a part in it only if some choices are not plain."""
+    choices = F.col("choices")
+    odd = questions.where(~is_plain(choices)).select(F.lit(1))
+    return questions.withColumn(name, plain_items(choices) if odd.isEmpty() else parse(choices))
 
 
 def choice_texts(choices: Column, question_format: Column, parsed: Column | None = None) -> Column:
-    """What a learner is shown: the filled labels of an object, else up to four list elements."""
+    """What a learner is shown: the filled labels of an object, else up to four list elements. `parsed`: a column of `with_items`."""
     parsed = parse(choices) if parsed is None else parsed
-    by_label = choice_map(choices)
-    labelled = F.array(
-        *(
-            F.when(_truthy(by_label[label], kind := _element_kind(parsed, f"$.{label}")), _as_text(by_label[label], kind))
-            for label in ANSWER_LABELS
-        )
-    )
-    listed = choice_list(choices, parsed)
-    true_false = (question_format == "TF") & (F.size(listed) == 0)
-    return (
-        F.when(by_label.isNotNull(), F.array_compact(labelled))
-        .when(true_false, F.array(F.lit("True"), F.lit("False")))
-        .otherwise(listed)
-    )
+    true_false = (question_format == "TF") & (parsed["kind"] != "map") & (F.size(parsed["shown"]) == 0)
+    return F.when(true_false, F.array(F.lit("True"), F.lit("False"))).otherwise(parsed["shown"])
 
 
 def answer_label(correct_answer: Column, choices: Column, question_format: Column, parsed: Column | None = None) -> Column:
@@ -86,22 +134,11 @@ def answer_label(correct_answer: Column, choices: Column, question_format: Colum
     parsed = parse(choices) if parsed is None else parsed
     answer = strip(F.coalesce(correct_answer, F.lit("")))
     low = F.lower(answer)
-    by_label = choice_map(choices)
-    same = lambda text: F.lower(strip(text)) == low
-
-    of_map = answer
-    for label in reversed(ANSWER_LABELS):
-        text = F.when(
-            F.map_contains_key(by_label, label), _as_text(by_label[label], _element_kind(parsed, f"$.{label}"))
-        ).otherwise("")
-        of_map = F.when(same(text), label).otherwise(of_map)
-    at = F.array_position(F.transform(choice_list(choices, parsed), lambda t: F.lower(strip(t))), low)
-    of_list = F.when(at > 0, F.element_at(F.array(*map(F.lit, ANSWER_LABELS)), at.cast("int"))).otherwise(answer)
-
+    at = F.array_position(parsed["low"], low)
     return (
         F.when(F.upper(answer).isin(*ANSWER_LABELS), F.upper(answer))
         .when((question_format == "TF") & (low == "true"), "A")
         .when((question_format == "TF") & (low == "false"), "B")
-        .when(by_label.isNotNull(), of_map)
-        .otherwise(of_list)
+        .when(at > 0, F.element_at(F.array(*map(F.lit, ANSWER_LABELS)), at.cast("int")))
+        .otherwise(answer)
     )

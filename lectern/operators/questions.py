@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.choices import answer_label, choice_texts, parse
+from lectern.functions.choices import answer_label, choice_texts, with_items
 from lectern.functions.text import bloom_bucket
 from lectern.operators.numbering import number_within
 
@@ -44,7 +44,7 @@ def fresh_questions(lessons: DataFrame, objects: DataFrame, questions: DataFrame
 
 def question_cards(module_questions: DataFrame, questions: DataFrame) -> DataFrame:
     """(lesson_id, id, ord, bucket, question, choices, correct_answer) of each stored question, stale ones included."""
-    q = questions.withColumn("_parsed", parse(F.col("choices"))).select(
+    q = with_items(questions).select(
         F.col("id").alias("question_id"),
         F.col("question_text").alias("question"),
         choice_texts(F.col("choices"), F.col("question_format"), F.col("_parsed")).alias("choices"),

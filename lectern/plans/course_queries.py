@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.choices import answer_label, choice_texts, parse
+from lectern.functions.choices import answer_label, choice_texts, with_items
 from lectern.functions.text import BLOOM_BUCKETS, bloom_bucket, first_filled, node_order
 from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
 from lectern.operators.numbering import number_rows
@@ -257,16 +257,16 @@ def bloom_bucket_(spark, t):
 
 @_query(f"+{CHOICES} select id, label from labelled", "f_question")
 def answer_label_(spark, t):
-    label = answer_label(F.col("correct_answer"), F.col("choices"), F.col("question_format"), F.col("parsed"))
-    return t("f_question").withColumn("parsed", parse(F.col("choices"))).select("id", label.alias("label"))
+    label = answer_label(F.col("correct_answer"), F.col("choices"), F.col("question_format"), F.col("_parsed"))
+    return with_items(t("f_question")).select("id", label.alias("label"))
 
 
 @_query(
     f"+{CHOICES} select id, cast(generate_subscripts(texts, 1) as bigint) as position, unnest(texts) as text from labelled", "f_question"
 )
 def choice_texts_(spark, t):
-    texts = choice_texts(F.col("choices"), F.col("question_format"), F.col("parsed"))
-    rows = t("f_question").withColumn("parsed", parse(F.col("choices"))).select("id", F.posexplode(texts).alias("position", "text"))
+    texts = choice_texts(F.col("choices"), F.col("question_format"), F.col("_parsed"))
+    rows = with_items(t("f_question")).select("id", F.posexplode(texts).alias("position", "text"))
     return rows.withColumn("position", F.col("position").cast("bigint") + 1)
 
 
