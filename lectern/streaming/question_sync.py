@@ -1,7 +1,8 @@
-"""Question sync on a stream: each micro-batch is merged into the stored snapshot.
+"""Question sync on a stream: each micro-batch is merged into the stored snapshot. (`keyed_sync` costs less where the state is large.)
 
 The state after all batches equals one batch merge of the last number and level seen
-per (lesson, question): the one of the latest `at`, whatever batch it comes in; at a tie the later batch's.
+per (lesson, question): the one of the latest `at`, whatever batch it comes in; at a tie the later batch's, within a batch
+the greatest (ord, bloom_level); a null `at` counts as the beginning of 1970.
 Snapshots are whole new folders; a batch that is retried writes the folder of its own batch id again, so each
 batch counts once. Folders older than the one that a retry reads are removed. A batch costs a pass over the state,
 so triggers should be as far apart as the state is large.
@@ -26,7 +27,8 @@ def snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 def merged(before: DataFrame, batch: DataFrame) -> DataFrame:
     """The state after rows (lesson_id, question_id, bloom_level, ord, at)."""
     keys = ["lesson_id", "question_id"]
-    latest = batch.groupBy(*keys).agg(F.max_by(F.struct("bloom_level", "ord", "at"), "at").alias("r")).select(*keys, "r.*")
+    timed = batch.withColumn("at", F.coalesce("at", F.timestamp_micros(F.lit(0))))
+    latest = timed.groupBy(*keys).agg(F.max(F.struct("at", "ord", "bloom_level")).alias("r")).select(*keys, "r.*")
     newer = latest.join(before.select(*keys, F.col("at").alias("_before")), keys, "left").where("_before is null or at >= _before").drop("_before")
     after = sync_questions(before.drop("at"), newer.drop("at"))
     seen = before.select(*keys, "at").unionByName(newer.select(*keys, "at")).groupBy(*keys).agg(F.max("at").alias("at"))
