@@ -8,7 +8,7 @@ materials, with a stale number, plus links of questions that are no longer fresh
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +18,10 @@ from lectern.functions.choices import answer_label, choice_texts, with_items
 from lectern.functions.text import BLOOM_BUCKETS, bloom_bucket, first_filled, node_order
 from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
 from lectern.operators.numbering import number_rows
-from lectern.plans import course, package
+from lectern.plans import course, package, refresh
 from lectern.sources.shared import fresh_path, saved
-from lectern.sources.tables import relation, relation_sql
+from lectern.sources.tables import relation, relation_sql, relation_stream
+from lectern.streaming import keyed_sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +29,26 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+@dataclass
+class _Relations:
+    """t(name): a relation of one set of tables; t.stream(name): the same as a stream."""
+
+    spark: SparkSession
+    sf_dir: str
+
+    def __call__(self, name: str) -> DataFrame:
+        return relation(self.spark, self.sf_dir, name)
+
+    def stream(self, name: str) -> DataFrame:
+        return relation_stream(self.spark, self.sf_dir, name)
+
+
 def _query(oracle: str, *relations: str):
     """Registers a query with its oracle; the relations become the oracle's common table expressions."""
 
     def add(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(spark, lambda name: relation(spark, sf_dir, name))
+            return build(spark, _Relations(spark, sf_dir))
 
         name = build.__name__.rstrip("_")
         QUERIES[name] = run
@@ -420,7 +435,7 @@ def _packages(spark, t) -> DataFrame:
 
 def nested_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one nested package per lesson."""
-    return _packages(spark, lambda name: relation(spark, sf_dir, name))
+    return _packages(spark, _Relations(spark, sf_dir))
 
 
 PACKAGE = f"""{LESSONS}, {MATERIAL_TEXT}, {NUMBERED},
@@ -665,3 +680,44 @@ def build_package_call(spark, t):
         more = F.concat(F.concat_ws("|", "c.choices"), F.lit(">"), "c.correct_answer")
         rows.append(card.select("lesson_id", F.lit("question").alias("kind"), "key", F.col("c.order").alias("ord"), F.col("c.question").alias("text"), more.alias("more")))
     return reduce(DataFrame.unionByName, rows)
+
+
+@_query(
+    f"""+{PACKAGE.replace("f_object", "g_object")}, saved as (
+  select l.id as lesson_id, lower(v.variant) as variant, v.id, v.narration, v.audio_url
+  from lesson l join f_variant v on l.source_kind = 'material' and v.material_id = l.source_id
+  qualify row_number() over (partition by l.id, lower(v.variant) order by v.id desc) = 1
+)
+select t.lesson_id, k.variant, case when s.id is not null then s.narration else t.lesson_text end as text
+from lesson_txt t cross join (values ('normal'), ('elaborated'), ('simplified')) k(variant)
+left join saved s on s.lesson_id = t.lesson_id and s.variant = k.variant""",
+    "f_outline",
+    "f_material",
+    "g_object",
+    "f_question",
+    "f_variant",
+)
+def package_refresh(spark, t):
+    """Variants of all packages after objects have changed: of packages as they were, and of those that the change reaches."""
+    x = _synced(spark, t)
+    links = saved(_stored_questions(spark, t, x.lessons), "links")
+    variant_rows = _lesson_variants(t, x.lessons).select("id", "lesson_id", "variant", "narration", "audio_url")
+    before = refresh.Inputs(x.lessons, x.modules, t("f_outline"), t("f_material"), t("f_object"), t("f_question"), links, variant_rows)
+    after = replace(before, objects=t("g_object"))
+    old = saved(before.packages(), "packages")
+    out = refresh.refreshed(old, before, after).select(F.col("lesson_node.id").alias("lesson_id"), F.explode("variants").alias("variant", "v"))
+    return out.select("lesson_id", "variant", "v.text")
+
+
+@_query(
+    """+latest as (
+  select * from f_answer qualify row_number() over (partition by lesson_id, question_id order by moment desc, ord desc nulls last, bloom_level desc nulls last) = 1
+) select row_number() over (order by lesson_id, question_id) as id, lesson_id, question_id, bloom_level, ord from latest""",
+    "f_answer",
+)
+def stream_question_sync(spark, t):
+    """Question rows as a stream: the latest of each (lesson, question), as keyed state has put them into the course state."""
+    rows = t.stream("f_answer").withColumn("at", F.col("moment").cast("timestamp"))
+    root = fresh_path(spark, "stream")
+    keyed_sync.start_sync(rows, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    return keyed_sync.stored(spark, f"{root}/state").select("id", "lesson_id", "question_id", "bloom_level", "ord")

@@ -55,6 +55,17 @@ RELATIONS: dict[str, tuple[str, dict[str, str]]] = {
             "ord": "n_chars % 5",
         },
     ),
+    "g_object": (  # f_object after a change: texts with another beginning, and objects of other materials
+        "documents",
+        {
+            "id": "doc_id",
+            "material_id": "case when doc_id % 70 = 5 then (doc_id + 1) % 500 else doc_id % 500 end",
+            "kind": "case when doc_id % 7 = 0 then 'image' else 'text' end",
+            "title": "source",
+            "content": "case when doc_id % 50 = 3 then concat('new ', text) else text end",
+            "ord": "n_chars % 5",
+        },
+    ),
     "f_question": (
         "events",
         {
@@ -71,6 +82,16 @@ RELATIONS: dict[str, tuple[str, dict[str, str]]] = {
             "when 2 then concat(' ', event_type) when 4 then 'none of these' end",
         },
     ),
+    "f_answer": (  # rows of a question sync as they come in over time
+        "events",
+        {
+            "lesson_id": "event_id % 50",
+            "question_id": "event_id % 700",
+            "bloom_level": "event_type",
+            "ord": "user_id % 9",
+            "moment": "ts",
+        },
+    ),
     "f_variant": (
         "labels",
         {
@@ -89,6 +110,13 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, source).selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
 
 
+def relation_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The relation as a stream of the files that its table has."""
+    source, columns = RELATIONS[name]
+    rows = spark.readStream.schema(table(spark, sf_dir, source).schema).parquet(f"{sf_dir}/{source}.parquet*")  # a pattern, as a table may be one file
+    return rows.selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
+
+
 def relation_sql(*names: str) -> str:
     """The relations as common table expressions, for an oracle's WITH clause."""
     parts = []
