@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +95,7 @@ def read_items(text: str | None) -> tuple[str, list[str], list[str]]:
 
 def _odd_items(choices: Column) -> Column:
     """ITEMS by `read_items`, in Arrow batches."""
+    import pandas as pd  # asked for only where choices are not plain
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
