@@ -43,12 +43,20 @@ CHANGES = {
 }
 
 
-@pytest.mark.parametrize("name", CHANGES)
-def test_refresh_equals_a_rebuild(spark, name):
-    before = inputs(spark)
-    made, reach = CHANGES[name]
-    after = replace(before, **{table: f(getattr(before, table)) for table, f in made.items()})
+TOGETHER = [
+    ["a text", "a node", "a variant"],
+    ["an image"],
+    ["an object of another material", "a module", "a lesson that goes"],
+    ["a material of another node", "a question", "a link that goes", "a lesson that comes"],
+    ["nothing"],
+]
+
+
+@pytest.mark.parametrize("names", TOGETHER, ids="; ".join)
+def test_refresh_equals_a_rebuild(spark, names):
+    before = after = inputs(spark)
+    for table, change in [c for name in names for c in CHANGES[name][0].items()]:
+        after = replace(after, **{table: change(getattr(after, table))})
     rows = lambda df: sorted(r.document for r in df.select(F.to_json(F.struct("*")).alias("document")).collect())
-    got = refresh.refreshed(before.packages(), before, after)
-    assert rows(got) == rows(after.packages())
-    assert {r.lesson_id for r in refresh.affected(before, after).collect()} == reach
+    assert {r.lesson_id for r in refresh.affected(before, after).collect()} == set().union(*[CHANGES[name][1] for name in names])
+    assert rows(refresh.refreshed(before.packages(), before, after)) == rows(after.packages())
