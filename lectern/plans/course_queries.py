@@ -617,7 +617,7 @@ def sync_course_call(spark, t):
 def first_lesson_call(spark, t):
     """The lesson that each course begins with, asked for by a call for each course."""
     store = _store(spark, t)
-    found = [course.first_lesson_node(spark, store, c) for c in _course_ids(t)]
+    found = [saved(course.first_lesson_node(spark, store, c), "first") for c in _course_ids(t)]  # a row each
     return reduce(DataFrame.unionByName, found)
 
 
@@ -674,6 +674,7 @@ def build_package_call(spark, t):
     rows = []
     for lesson_id in sorted({f.lesson_id for f in firsts if f} | {r.id for r in asked.collect()}):
         package_ = course.build_package(spark, store, lesson_id).select(F.col("lesson_node.id").alias("lesson_id"), "variants", "questions")
+        package_ = saved(package_, "package")  # a row; else the plans of all packages would be one
         variant = package_.select("lesson_id", F.explode("variants").alias("key", "v"))
         rows.append(variant.select("lesson_id", F.lit("variant").alias("kind"), "key", F.lit(0).cast("bigint").alias("ord"), "v.text", F.col("v.audio_url").alias("more")))
         card = package_.select("lesson_id", F.explode("questions").alias("key", "cards")).select("lesson_id", "key", F.explode("cards").alias("c"))
