@@ -16,7 +16,7 @@ from lectern.operators import select, sync
 from lectern.operators.lookup import by_key, with_keys
 from lectern.operators.outline import lesson_sources, roots
 from lectern.operators.questions import fresh_questions
-from lectern.operators.snapshot import Delta, Keyed, Snapshot, commit, current
+from lectern.operators.snapshot import Delta, Keyed, Snapshot, commit, current, no_rows
 from lectern.plans import package
 
 MODULES = Keyed("modules", "id bigint, source_id bigint, is_active boolean", ("source_id",), "source_id")
@@ -75,7 +75,7 @@ def first_lesson_node(spark: SparkSession, store: Course, course_id: int | None
     if course_id is None:
         first = select.first_approved_course(store.courses).first()
         if first is None:
-            return spark.createDataFrame([], "course_id bigint, module_id bigint, lesson_id bigint, source_kind string, source_id bigint")
+            return no_rows(spark, "course_id bigint, module_id bigint, lesson_id bigint, source_kind string, source_id bigint")
         course_id = first.id
     sync_course_outline(spark, store, course_id)
     state = current(spark, store.root)
@@ -107,7 +107,7 @@ def build_package(spark: SparkSession, store: Course, lesson_id: int) -> DataFra
     """
     lesson = by_key(current(spark, store.root).rows(LESSONS), "id", lesson_id, strict=True).first()
     own = narrowed(store, lesson)
-    one = titled(spark.createDataFrame([lesson], LESSONS.schema))
+    one = titled(spark.range(1).select(*[F.lit(lesson[c]).cast(kind).alias(c) for c, kind in (x.split() for x in LESSONS.schema.split(", "))]))
 
     def change(before: Snapshot) -> list[Delta]:
         fresh = fresh_questions(one, own.objects, own.questions, own.materials)

@@ -18,6 +18,7 @@ from lectern.functions.choices import answer_label, choice_texts, with_items
 from lectern.functions.text import BLOOM_BUCKETS, bloom_bucket, first_filled, node_order
 from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
 from lectern.operators.numbering import number_rows
+from lectern.operators.snapshot import no_rows
 from lectern.plans import course, package, refresh
 from lectern.sources.shared import fresh_path, saved
 from lectern.sources.tables import relation, relation_sql, relation_stream
@@ -172,7 +173,7 @@ _NO_LESSONS = "id bigint, module_id bigint, source_kind string, source_id bigint
 
 
 def _lessons(spark, t, modules: DataFrame | None = None) -> DataFrame:
-    return sync.sync_lessons(spark, spark.createDataFrame([], _NO_LESSONS), modules or saved(_modules(t), "modules"), t("f_outline"), t("f_material"))
+    return sync.sync_lessons(spark, no_rows(spark, _NO_LESSONS), modules or saved(_modules(t), "modules"), t("f_outline"), t("f_material"))
 
 
 def _fresh(t) -> DataFrame:
@@ -418,7 +419,7 @@ def _synced(spark, t) -> _Synced:
 
 def _stored_questions(spark, t, lessons: DataFrame) -> DataFrame:
     fresh = questions.fresh_questions(lessons, t("f_object"), t("f_question"), t("f_material"))
-    return sync.sync_questions(spark.createDataFrame([], course.MODULE_QUESTIONS), fresh)
+    return sync.sync_questions(no_rows(spark, course.MODULE_QUESTIONS), fresh)
 
 
 def _lesson_variants(t, lessons: DataFrame) -> DataFrame:
@@ -570,7 +571,7 @@ def module_lesson_order(spark, t):
 
 def _store(spark, t) -> course.Course:
     """A course store with empty state."""
-    none = spark.createDataFrame([], "id bigint, lesson_id bigint, variant string, narration string, audio_url string")
+    none = no_rows(spark, "id bigint, lesson_id bigint, variant string, narration string, audio_url string")
     return course.Course(fresh_path(spark, "state"), t("f_course"), t("f_outline"), t("f_material"), t("f_object"), t("f_question"), none)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators.snapshot import no_rows
 from lectern.operators.sync import sync_questions
 
 STATE = "id bigint, lesson_id bigint, question_id bigint, bloom_level string, ord bigint, at timestamp"
@@ -21,7 +22,7 @@ STATE = "id bigint, lesson_id bigint, question_id bigint, bloom_level string, or
 
 def snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """The state after a batch; before the first one it is empty."""
-    return spark.createDataFrame([], STATE) if batch_id < 0 else spark.read.schema(STATE).parquet(f"{path}/{batch_id}")
+    return no_rows(spark, STATE) if batch_id < 0 else spark.read.schema(STATE).parquet(f"{path}/{batch_id}")
 
 
 def merged(before: DataFrame, batch: DataFrame) -> DataFrame:
