@@ -126,7 +126,7 @@ def test_whole_tables_of_a_stale_base(spark, tmp_path):
 
 
 def a_store(spark, root):
-    """Two courses; below root 1 of course 1 lie nodes of course 2 and of no course (services walk children whatever their course)."""
+    """Two courses; below root 1 of course 1 lie nodes of course 2 and of no course."""
     nodes = [(1, None, 1, 1, "R1", ""), (2, 1, 2, 1, "N2", ""), (3, 2, None, 1, "N3", ""), (4, None, 2, 1, "R4", "about"), (5, None, 1, 2, "R5", "d")]
     materials = [(10, None, 3, "completed", T0), (11, None, 2, "completed", T0 + dt.timedelta(1)), (12, 5, None, "completed", T0), (13, None, 5, "pending", T0)]
     objects = [(100 + k, m, "text", f"T{k}", "words", k) for k, m in enumerate((10, 10, 11, 12, 13))]
