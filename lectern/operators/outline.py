@@ -31,7 +31,8 @@ def below(spark: SparkSession, outline: DataFrame, seeds: DataFrame, levels: int
     """(root_id, id) of each node below the given roots, whatever its other columns are.
 
     The walk begins at the given roots and follows their children only, level by level; where these are more than `levels`,
-    all nodes find their root by doubling instead. The tree may have any number of rows: the recursion's row limit is lifted while it runs.
+    all nodes find their root by doubling instead. The tree may have any number of rows: the recursion's row limit is lifted while it runs,
+    and levels are joined by shuffles, as a broadcast would send the whole outline through the driver once a level.
     """
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit, None)
@@ -40,9 +41,9 @@ def below(spark: SparkSession, outline: DataFrame, seeds: DataFrame, levels: int
         walk = spark.sql(
             f"""
             with recursive below(root_id, id) max recursion level {levels} as (
-              select r.id, c.id from {{seeds}} r join {{outline}} c on c.parent_id = r.id
+              select /*+ merge(c) */ r.id, c.id from {{seeds}} r join {{outline}} c on c.parent_id = r.id
               union all
-              select b.root_id, c.id from below b join {{outline}} c on c.parent_id = b.id
+              select /*+ merge(c) */ b.root_id, c.id from below b join {{outline}} c on c.parent_id = b.id
             )
             select * from below
             """,
@@ -81,8 +82,10 @@ def inherited_sources(spark: SparkSession, outline: DataFrame, materials: DataFr
     m = completed(materials).where(F.col("module_node_id").isNull()).select(
         F.col("outline_node_id").alias("node_id"), F.col("id").alias("source_id"), "created_at"
     )
-    nodes = descendants(spark, outline) if seeds is None else below(spark, outline, seeds)
-    return m.join(nodes.select("root_id", F.col("id").alias("node_id")), "node_id").select("root_id", "source_id", "created_at")
+    nodes = (descendants(spark, outline) if seeds is None else below(spark, outline, seeds)).select("root_id", F.col("id").alias("node_id"))
+    if seeds is not None:  # of a walk's nodes, those that bear material meet it: a small side as a rule, found by a shuffle
+        nodes = nodes.join(m.select("node_id").distinct().hint("merge"), "node_id", "left_semi")
+    return m.join(nodes, "node_id").select("root_id", "source_id", "created_at")
 
 
 def lesson_sources(spark: SparkSession, outline: DataFrame, materials: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

@@ -286,3 +286,28 @@ def test_json_document(spark):
     document = json.loads(row.document)
     assert list(document) == ["module", "lesson_node", "variants", "questions"]
     assert document["lesson_node"]["id"] == row.lesson_id and list(document["variants"]) == ["normal", "elaborated", "simplified"]
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """A broadcast of more than 2 MB fails; a table of any size may not go through the driver by one."""
+    name = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(name, "2m")
+    yield
+    spark.conf.unset(name)
+
+
+def _wide_outline(spark, tmp_path):
+    """One root of course 1 with 100,000 nodes below, as files; its last node bears a material."""
+    node = F.struct(F.when(F.col("id") > 0, 0).cast("bigint").alias("parent_id"), F.lit(1).cast("bigint").alias("course_id"), F.lit(0).alias("ord"))
+    spark.range(100_001).select("id", node.alias("n")).select("id", "n.*", F.lit("t").alias("title"), F.lit("").alias("description")).write.parquet(f"{tmp_path}/outline")
+    return spark.read.parquet(f"{tmp_path}/outline")
+
+
+def test_walk_sends_no_outline_through_the_driver(spark, tmp_path, small_broadcasts):
+    tree = _wide_outline(spark, tmp_path)
+    materials = spark.createDataFrame([(7, None, 100_000, "completed", T0), (8, None, 5, "pending", T0)], MATERIAL)
+    seeds = outline.roots(tree)
+    assert outline.below(spark, tree, seeds).count() == 100_000
+    rows = outline.lesson_sources(spark, tree, materials, seeds).collect()
+    assert [(r.root_id, r.tier, r.source_kind, r.source_id) for r in rows] == [(0, 2, "material", 7)]
