@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.lookup import with_keys
 from lectern.operators.sync import active_modules
 
 
@@ -28,6 +29,8 @@ def first_lesson(courses: DataFrame, modules: DataFrame, lessons: DataFrame, out
     """
     course = first_approved_course(courses).select(F.col("id").alias("course_id")) if course_id is None else courses.where(F.col("id") == course_id).select(F.col("id").alias("course_id"))
     module = first_active_modules(modules, outline).join(course, "course_id", "left_semi").select(F.col("id").alias("module_id"), "course_id")
+    if course_id is not None:  # lessons are those of one module, so only their nodes are looked up
+        outline = with_keys(outline, "id", lessons.where(F.col("source_kind") == "outline").select("source_id"))
     order = outline.select(F.lit("outline").alias("source_kind"), F.col("id").alias("source_id"), F.col("ord").alias("source_ord"))
     return (
         lessons.join(module, "module_id")

@@ -311,3 +311,12 @@ def test_walk_sends_no_outline_through_the_driver(spark, tmp_path, small_broadca
     assert outline.below(spark, tree, seeds).count() == 100_000
     rows = outline.lesson_sources(spark, tree, materials, seeds).collect()
     assert [(r.root_id, r.tier, r.source_kind, r.source_id) for r in rows] == [(0, 2, "material", 7)]
+
+
+def test_first_lesson_sends_no_outline_through_the_driver(spark, tmp_path, small_broadcasts):
+    tree = _wide_outline(spark, tmp_path)
+    spark.createDataFrame([(1, 0, True)], MODULE).write.parquet(f"{tmp_path}/modules")
+    modules = spark.read.parquet(f"{tmp_path}/modules")
+    lessons = spark.createDataFrame([(3, 1, "outline", 0, ""), (2, 1, "material", 9, "")], LESSON)
+    courses = spark.createDataFrame([(1, True)], "id bigint, is_approved boolean")
+    assert [r.lesson_id for r in select.first_lesson(courses, modules, lessons, tree, 1).collect()] == [3]  # the node's order comes before none
