@@ -668,7 +668,7 @@ def build_package_call(spark, t):
     firsts = [course.first_lesson_node(spark, store, c).first() for c in _course_ids(t)]
     state = snapshot.current(spark, store.root)
     lessons = state.rows(course.LESSONS)
-    store.variants = _lesson_variants(t, lessons)
+    store.variants = saved(_lesson_variants(t, lessons), "variants")  # joined once; a call reads its lesson's rows
     of_course = sync.active_modules(state.rows(course.MODULES), t("f_outline")).select(F.col("id").alias("module_id"), "course_id")
     asked = questions.fresh_questions(lessons, t("f_object"), t("f_question"), t("f_material")).select(F.col("lesson_id").alias("id"))
     asked = lessons.join(asked, "id", "left_semi").join(of_course, "module_id").groupBy("course_id").agg(F.min("id").alias("id"))  # a row a course

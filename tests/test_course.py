@@ -9,7 +9,7 @@ from lectern.functions.choices import answer_label, choice_texts
 from lectern.functions.text import bloom_bucket, node_order, strip
 from lectern.operators import lesson_text, lookup, outline, questions, select, snapshot, sync, variants
 from lectern.operators.numbering import number_rows
-from lectern.plans import course, package
+from lectern.plans import course, course_queries, package
 
 OUTLINE = "id bigint, parent_id bigint, course_id bigint, ord int, title string, description string"
 MATERIAL = "id bigint, module_node_id bigint, outline_node_id bigint, status string, created_at timestamp_ntz"
@@ -320,3 +320,19 @@ def test_first_lesson_sends_no_outline_through_the_driver(spark, tmp_path, small
     lessons = spark.createDataFrame([(3, 1, "outline", 0, ""), (2, 1, "material", 9, "")], LESSON)
     courses = spark.createDataFrame([(1, True)], "id bigint, is_approved boolean")
     assert [r.lesson_id for r in select.first_lesson(courses, modules, lessons, tree, 1).collect()] == [3]  # the node's order comes before none
+
+
+def test_build_package_call_joins_variants_once(spark, monkeypatch):
+    """Calls read variants from a table of their own; the join with all lessons would run anew, and be broadcast, in each of them."""
+    class Asked(Exception):
+        pass
+
+    def asked(spark, store, lesson_id):
+        raise Asked(*store.variants.inputFiles())
+
+    monkeypatch.setattr(course_queries, "_course_ids", lambda t: [1])
+    monkeypatch.setattr(course, "first_lesson_node", lambda spark, store, c: spark.range(1).select(F.col("id").alias("lesson_id")))
+    monkeypatch.setattr(course, "build_package", asked)
+    with pytest.raises(Asked) as files:
+        course_queries.QUERIES["build_package_call"](spark, "/root/testdata/sf0.001")
+    assert files.value.args and all("/variants-" in f for f in files.value.args)
