@@ -4,7 +4,8 @@ For BPE, the last token of a text's prefix follows from the last tokens of its s
 prefixes: it is the one token that ends there and is compatible with the last token of what
 comes before it. So distinct words are put in order, which is a trie walked depth first; the
 last-token states of a shared prefix are computed once and stay on a stack while the walk is
-below it. A word's tokens are read back from its end. The cost is linear in a word's length.
+below it. A state is computed when a token that could come after it asks for it, most are never asked for.
+A word's tokens are read back from its end. The cost is linear in a word's length.
 
 Vocabularies: files of the tokenizers library whose model is BPE, here with lower-casing,
 white space dropped and an end-of-word mark. Decoding joins the tokens' names by blanks, as
@@ -36,6 +37,8 @@ from lectern.llm.batches import fresh_fields, in_tasks, kept, with_columns
 KEPT, KEPT_CHARACTERS = 80_000, 64
 #: Pairs of tokens whose compatibility a task keeps.
 KEPT_PAIRS = 200_000
+#: Letters of a word from which on its states are computed from its beginning, as one that asks for another asks no deeper than so many.
+DEEP = 200
 #: White space to Python, but not to the vocabulary's pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = regex.compile(r"(?V1)[\s--\x1c-\x1f]+")
@@ -155,8 +158,8 @@ class TrieEncoder:
         known = self._fits[left << 20 | right] = self.merged(self.symbols(pair[0]) + self.symbols(pair[1])) == pair
         return known
 
-    def last(self, text: str, upto: int, states: list[int], ending: str) -> int:
-        """The last token of text[:upto]; states[i] is that of text[:i]. `ending` marks the end of a word."""
+    def last(self, text: str, upto: int, states: list[int | None], ending: str) -> int:
+        """The last token of text[:upto]; states[i] is that of text[:i], filled in where it is asked for. `ending` marks the end of a word."""
         vocab, fits, start = self.vocab.get, self._fits.get, upto - self.longest
         if start <= 0:
             token = vocab(text[:upto] + ending)
@@ -166,8 +169,11 @@ class TrieEncoder:
         for i in range(start, upto):
             token = vocab(text[i:upto] + ending)
             if token is not None:
-                known = fits(states[i] << 20 | token)
-                if known or known is None and self.fits(states[i], token):
+                left = states[i]
+                if left is None:
+                    left = states[i] = self.last(text, i, states, "")
+                known = fits(left << 20 | token)
+                if known or known is None and self.fits(left, token):
                     return token
         raise ValueError(f"no token ends {text[:upto]!r}")
 
@@ -178,9 +184,11 @@ class TrieEncoder:
             shared, most = 0, min(len(before), len(word), len(states) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            while len(states) < len(word):
-                states.append(self.last(word, len(states), states, ""))
+            states[shared + 1 :] = [None] * (len(word) - shared - 1)
+            if len(word) > DEEP:
+                for i in range(shared, len(word)):
+                    if states[i] is None:
+                        states[i] = self.last(word, i, states, "")
             token = self.last(word, len(word), states, self.end)
             ids, at = [token], len(word) - sizes[token]
             while at:

@@ -52,6 +52,24 @@ def test_memory_is_bounded():
         assert max(map(len, known.now)) <= bpe.KEPT_CHARACTERS
 
 
+def test_most_states_are_never_computed(monkeypatch):
+    r, asked = random.Random(4), []
+    last = bpe.TrieEncoder.last
+    monkeypatch.setattr(bpe.TrieEncoder, "last", lambda self, text, upto, states, ending: asked.append(upto) or last(self, text, upto, states, ending))
+    words = {"".join(r.choice(["tra", "lo", "ben", "ish", "qu", "er", "x"]) for _ in range(5)) for _ in range(300)}
+    same([" ".join(sorted(words))])
+    letters = len({word[:i] for word in words for i in range(1, len(word) + 1)}) + len(words)
+    assert len(words) <= len(asked) < letters / 2
+
+
+def test_words_about_the_depth():
+    r = random.Random(5)
+    for of in ("x", "ab", "traloben", "é", "漢字"):
+        for n in (bpe.DEEP - 1, bpe.DEEP, bpe.DEEP + 1, 5 * bpe.DEEP):
+            word = "".join(r.choice(of) for _ in range(n))
+            same([f"{word} {word[: n // 2]} {word[: n // 2]}s {word[:-1]} {word}{word[:9]}"])
+
+
 @pytest.mark.parametrize("part, value", [("normalizer", None), ("post_processor", {"type": "x"}), ("decoder", {"type": "ByteLevel"}), ("model", {"dropout": 0.1})])
 def test_other_files_are_refused(tmp_path, part, value):
     with open(PATH, encoding="utf-8") as f:
