@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import ANSWER_LABELS, strip
+from lectern.functions.text import ANSWER_LABELS, bound, strip
 
 #: kind: map, list or none. shown: the texts that a learner sees, of a map those of labels whose value counts as true. low: the texts
 #: that an answer may equal, stripped and in lower case; a map has one for each answer label.
@@ -55,24 +55,30 @@ def _struct(kind: Column, shown: Column, low: Column) -> Column:
 
 def plain_items(choices: Column) -> Column:
     """ITEMS of plain choices; of nulls and of anything else that is no container, no item."""
+    return bound(F.regexp_extract_all(choices, F.lit(rf"{_TEXT}|[^ \t\n\r,:\[\]{{}}]++"), F.lit(0)), lambda tokens: _items_of(choices, tokens))
+
+
+def _items_of(choices: Column, tokens: Column) -> Column:
     first = F.regexp_extract(choices, r"\A[ \t\n\r]*+(.)", 1)
-    tokens = F.regexp_extract_all(choices, F.lit(rf"{_TEXT}|[^ \t\n\r,:\[\]{{}}]++"), F.lit(0))
     low = lambda texts: F.transform(texts, lambda t: F.lower(strip(t)))
 
     names, values = (F.reverse(F.filter(tokens, lambda t, i: i % 2 == k)) for k in (0, 1))  # so that the last of repeated names comes first
-    of = [F.get(values, F.array_position(names, f'"{label}"').cast("int") - 1) for label in ANSWER_LABELS]  # null where a label is missing
-    filled = F.transform(F.filter(F.array(*of), lambda t: t.isNotNull() & _filled(t)), _shown)
-    labelled = low(F.array(*[F.coalesce(_shown(t), F.lit("")) for t in of]))
+    of_label = lambda names, values: F.array(*[F.get(values, F.array_position(names, f'"{label}"').cast("int") - 1) for label in ANSWER_LABELS])
+    of = bound(names, lambda n: bound(values, lambda v: of_label(n, v)))  # null where a label is missing
+    filled = lambda of: F.transform(F.filter(of, lambda t: t.isNotNull() & _filled(t)), _shown)
+    labelled = lambda of: low(F.transform(of, lambda t: F.coalesce(_shown(t), F.lit(""))))
 
     listed = F.transform(F.slice(tokens, 1, 4), _shown)
     body = F.trim(F.translate(choices, "\t\n\r", "   "))
     letters = F.slice(F.regexp_extract_all(_shown(body), F.lit("(?s)."), F.lit(0)), 1, 4)
-    row = F.when(first == '"', letters).otherwise(listed)
+    row = lambda texts: _struct(F.lit("list"), texts, low(texts))
     none = F.array().cast("array<string>")
-    return (
-        F.when((first == "{") & (F.size(tokens) > 0), _struct(F.lit("map"), filled, labelled))
-        .when(first.isin("[", "{", '"'), _struct(F.lit("list"), row, low(row)))
-        .otherwise(_struct(F.lit("none"), none, none))
+    return bound(
+        first,
+        lambda first: F.when((first == "{") & (F.size(tokens) > 0), bound(of, lambda x: _struct(F.lit("map"), filled(x), labelled(x))))
+        .when(first == '"', bound(letters, row))
+        .when(first.isin("[", "{"), bound(listed, row))
+        .otherwise(_struct(F.lit("none"), none, none)),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +12,18 @@ BLOOM_BUCKETS = ("remember", "understand", "analyze")
 VARIANT_KEYS = ("normal", "elaborated", "simplified")
 ANSWER_LABELS = ("A", "B", "C", "D")
 
-#: All white space of Unicode and the four ASCII separators, at either end.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: All white space of Unicode and the four ASCII separators.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def strip(x: Column) -> Column:
-    """Without white space at both ends, Unicode white space included; `trim` only knows the blank."""
-    return F.regexp_replace(x, _EDGES, "")
+    """Without white space at both ends, Unicode white space included. Only the ends are looked at, whatever lies between."""
+    return F.trim(x, F.lit(WHITE))
 
 
 def bloom_bucket(level: Column) -> Column:

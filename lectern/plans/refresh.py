@@ -11,10 +11,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.plans.package import packages
 from lectern.sources.shared import saved
 
+#: Kinds of columns whose values are hashed as they are, nulls told apart; others, which may hold nulls inside, go by their JSON.
+PLAIN = (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 @dataclass
 class Inputs:
@@ -41,7 +45,8 @@ def differing(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     if old is new:
         return old.where("false")
     columns = old.columns
-    hashed = lambda df, n: df.select(F.col(key).alias("_key"), *[F.xxhash64(F.lit(seed), F.to_json(F.struct(*columns))).alias(f"_h{seed}") for seed in (1, 2)], F.lit(n).alias("_n"))
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c) if isinstance(old.schema[c].dataType, PLAIN) else F.to_json(F.struct(c)))]  # a hash passes over nulls
+    hashed = lambda df, n: df.select(F.col(key).alias("_key"), *[F.xxhash64(F.lit(seed), *parts).alias(f"_h{seed}") for seed in (1, 2)], F.lit(n).alias("_n"))
     both = hashed(old, -1).unionByName(hashed(new, 1)).groupBy("_key", "_h1", "_h2").agg(F.sum("_n").alias("_n"))
     keys = both.where("_n <> 0").select("_key").distinct()
     rows = old.select(*columns).unionByName(new.select(*columns))

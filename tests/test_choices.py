@@ -94,3 +94,9 @@ values = st.recursive(scalars, lambda x: st.lists(x, max_size=5) | st.dictionari
 def test_any_json(spark, cases):
     rows = [(blank + json.dumps(v, ensure_ascii=e) + blank, form, a) for v, e, form, a, blank in cases]
     check(spark, [r for r in rows if "\\u" not in r[0] or "\\ud" not in r[0].lower()])
+
+
+def test_choices_are_cut_once(spark):
+    df = spark.createDataFrame([("[]",)], "choices string").select(choices.plain_items(F.col("choices")).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2  # one for tokens, one for letters

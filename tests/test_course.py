@@ -1,6 +1,7 @@
 """Hand-written edge cases of the course operators."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,13 @@ def test_bloom_bucket(spark):
     assert got == ["analyze", "analyze", "remember", "understand", "analyze", "analyze", "analyze"]
 
 
+def test_strip_looks_at_the_ends_only(spark):
+    df = spark.range(1).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 400_000), F.lit("b\n")).alias("x"))  # a search for blanks before the end would take their square
+    began = time.monotonic()
+    assert df.select(F.length(strip(F.col("x"))).alias("n")).distinct().first().n == 400_002
+    assert time.monotonic() - began < 20
+
+
 def test_strip_is_unicode(spark):
     spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0      　"
     df = spark.createDataFrame([(c + "a" + c,) for c in spaces + "​"], "x string")

@@ -60,3 +60,15 @@ def test_refresh_equals_a_rebuild(spark, names):
     rows = lambda df: sorted(r.document for r in df.select(F.to_json(F.struct("*")).alias("document")).collect())
     assert {r.lesson_id for r in refresh.affected(before, after).collect()} == set().union(*[CHANGES[name][1] for name in names])
     assert rows(refresh.refreshed(before.packages(), before, after)) == rows(after.packages())
+
+
+def test_differences_of_one_kind_each(spark):
+    rows = [(1, None, "a", "2024-01-01 00:00:00.000001", [None, 1]), (2, "a", None, "2024-01-01 00:00:00", [1]), (3, "x", "y", None, None)]
+    made = lambda rows: spark.createDataFrame(rows, "id bigint, a string, b string, at string, n array<int>").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    news = [
+        [("a", None), (1, {})], [(None, "a"), (2, {})], [(None, "a"), (1, {"at": "2024-01-01 00:00:00.000002"})], [(None, "a"), (1, {"n": [1, None]})], [("x", "y"), (3, {"n": []})],
+    ]
+    for (a, b), (at, more) in news:
+        new = [r if r[0] != at else (at, a, b, more.get("at", r[3]), more.get("n", r[4])) for r in rows]
+        assert {r.id for r in refresh.differing(made(rows), made(new)).collect()} == {at}
+    assert refresh.differing(made(rows), made(rows[::-1])).isEmpty()
